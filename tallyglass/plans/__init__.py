@@ -1,4 +1,4 @@
 """Every registered query; importing the package fills the registry."""
 
-from . import code, texts, timeseries  # noqa: F401
+from . import audit, code, monitoring, texts, timeseries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import code_metrics, graph, report
 from ..operators.code_nodes import code_nodes, parse_errors, parse_files
 from .corpus import NODES_SQL, SMELLS_SQL, corpus_files
+from ..session import stored
 from .registry import at, query, rounded, table
 
 
@@ -158,7 +159,7 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT src AS code_id, dst AS affected FROM contains UNION SELECT dst, src FROM calls""",
 )
 def impact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = nodes(spark, sf_dir)
+    every = stored(nodes(spark, sf_dir), "nodes")
     calls = graph.call_edges(graph.node_latest(every))
     return graph.impact_map(graph.contains_edges(every), calls)
 
@@ -282,7 +283,7 @@ advice AS (SELECT [a FOR a IN [
 SELECT unnest(range(len(lines))) AS position, unnest(lines) AS recommendation FROM advice""",
 )
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = measured(spark, sf_dir)
+    rows = stored(measured(spark, sf_dir).drop("code", "events"), "measured")
     return report.recommendations(report.quality_sections(rows), graph.global_metrics(rows))
 
 
@@ -308,7 +309,7 @@ UNION ALL SELECT 5, code_id, 0, printf('- **%s**: Maintainability=%.1f, Complexi
   FROM risky""",
 )
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = measured(spark, sf_dir)
+    rows = stored(measured(spark, sf_dir).drop("code", "events"), "measured")
     summary = graph.global_metrics(rows)
     advice = report.recommendations(report.quality_sections(rows), summary)
     return report.markdown_lines(rows, summary, advice)
