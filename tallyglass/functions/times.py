@@ -32,6 +32,15 @@ def from_micros(us: Column) -> Column:
     )
 
 
+def event_time(ts: Column) -> Column:
+    """The instant of a ``timestamp_ntz`` read as UTC; watermarks need that type."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def from_event_time(instant: Column) -> Column:
+    return from_micros(F.unix_micros(instant))
+
+
 def seconds_interval(seconds: int | float) -> Column:
     return F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
 

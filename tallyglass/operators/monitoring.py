@@ -184,14 +184,14 @@ ALERT = [
 ]
 
 
-def breaches(samples: DataFrame, rules: DataFrame) -> DataFrame:
+def breaches(samples: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One alert row per sample and rule it breaks, before removing repeats.
 
     Rules are a small list kept by people; the join leaves it to Spark to see
     whether it can be sent to every task.
     """
     second = F.floor(epoch_micros(F.col("ts")) / MICROS).cast("string")
-    hit = samples.select("metric", "ts", "value").join(
+    hit = samples.select("metric", "ts", "value", *keep).join(
         rules.where(F.col("condition").isNull()), "metric"
     )
     return hit.where(F.col("value") >= F.col("threshold")).select(
@@ -204,6 +204,7 @@ def breaches(samples: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("metric").alias("metric_name"),
         "threshold",
         F.col("value").alias("current_value"),
+        *keep,
     )
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import code_metrics, graph, report
 from ..operators.code_nodes import code_nodes, parse_errors, parse_files
-from .corpus import NODES_SQL, SMELLS_SQL, corpus_files
-from ..session import stored
+from ..sources import files as source_files
+from ..sources import sinks
+from .corpus import NODES_SQL, SMELLS_SQL, corpus_files, write_files
+from ..session import stored, work_folder
 from .registry import at, query, rounded, table
 
 
@@ -350,3 +352,65 @@ SELECT node_id, passed FROM results WHERE node_id NOT IN (SELECT code_id FROM ch
 )
 def valid_test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.valid_test_results(results(spark, sf_dir), changes(spark, sf_dir))
+
+
+@query(
+    "source_scan",
+    f"""WITH {NODES_SQL} SELECT 'brand_' || nm || '.py' AS name, CAST(loc + comments AS INT) AS lines
+FROM scored WHERE kind = 'file'
+UNION ALL SELECT DISTINCT 'broken_' || (p_partkey // 500) || '.py', 1 FROM part""",
+)
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "project")
+    write_files(corpus_files(spark, sf_dir), folder)
+    scanned = source_files.source_scan(spark, folder)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    return scanned.select(name, F.size(t.lines(F.col("content"))).alias("lines"))
+
+
+@query(
+    "archive_scan",
+    f"""WITH {NODES_SQL} SELECT 'brand_' || nm || '.zip/src/brand_' || nm || '.py' AS name,
+  CAST(loc + comments AS INT) AS lines FROM scored WHERE kind = 'file'
+UNION ALL SELECT DISTINCT 'broken_' || b || '.zip/src/broken_' || b || '.py', 1
+FROM (SELECT p_partkey // 500 AS b FROM part)""",
+)
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "archives")
+    write_files(corpus_files(spark, sf_dir), folder, zipped=True)
+    scanned = source_files.archive_scan(spark, folder)
+    name = F.array_join(F.slice(F.split("path", "/"), -3, 3), "/").alias("name")
+    return scanned.select(name, F.size(t.lines(F.col("content"))).alias("lines"))
+
+
+@query(
+    "graph_save_load",
+    f"""WITH {NODES_SQL}, {CALLS_SQL} SELECT code_id, kind, loc, cyclomatic,
+  (SELECT count(*) FROM calls WHERE src = code_id) AS calls FROM latest""",
+)
+def graph_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "graph")
+    rows = latest(spark, sf_dir)
+    sinks.graph_save(folder, nodes=code_metrics.with_metrics(rows))
+    loaded = sinks.graph_load(spark, folder, "nodes")
+    sinks.graph_save(folder, edges=graph.call_edges(loaded))
+    edges = sinks.graph_load(spark, folder, "edges")
+    counts = edges.groupBy(F.col("src").alias("code_id")).agg(F.count(F.lit(1)).alias("calls"))
+    return loaded.join(counts, "code_id", "left").select(
+        "code_id", "kind", "loc", "cyclomatic", F.coalesce("calls", F.lit(0)).alias("calls")
+    )
+
+
+@query(
+    "report_sink",
+    f"""WITH {SECTIONS_SQL} SELECT section, count(*) AS entries FROM sections GROUP BY section""",
+)
+def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "report")
+    rows = stored(measured(spark, sf_dir).drop("code", "events"), "measured")
+    summary, sections = graph.global_metrics(rows), report.quality_sections(rows)
+    advice = report.recommendations(sections, summary)
+    lines = report.markdown_lines(rows, summary, advice)
+    sinks.report_sink(folder, summary, sections, advice, lines)
+    written = spark.read.schema("section string, node_id string").json(f"{folder}/sections")
+    return written.groupBy("section").agg(F.count(F.lit(1)).alias("entries"))

@@ -6,6 +6,13 @@ parts there are.  A part is one function whose shape follows its key and size.
 
 from __future__ import annotations
 
+import io
+import os
+import zipfile
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,6 +70,32 @@ def corpus_files(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFram
     return good.union(broken)
 
 
+def write_files(files: DataFrame, folder: str, zipped: bool = False) -> None:
+    """Write each file of ``(path, content)`` below a folder, or as an archive of its own."""
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = (
+            fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        )
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data, target = content.encode(), inner + path
+                if zipped:
+                    packed = io.BytesIO()
+                    with zipfile.ZipFile(packed, "w") as archive:
+                        archive.writestr(f"src/{os.path.basename(path)}", data)
+                        archive.writestr("README.txt", "not code")
+                    data, target = packed.getvalue(), target.removesuffix(".py") + ".zip"
+                system.create_dir(os.path.dirname(target), recursive=True)
+                with system.open_output_stream(target) as stream:
+                    stream.write(data)
+                yield pa.RecordBatch.from_arrays([pa.array([target])], names=["path"])
+
+    files.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode(
+        "overwrite"
+    ).save()
+
+
 # True answers of the corpus, one row per raw node.
 NODES_SQL = f"""fns AS (
   SELECT *, s % 7 AS m, (k % 2 = 1) AS odd, prev IS NOT NULL AS calls FROM (

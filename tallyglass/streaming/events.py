@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.times import MICROS, epoch_micros
+from ..functions.times import MICROS, epoch_micros, event_time
 from ..operators.audit import MAX_ATTEMPTS, RATE_SECONDS, AttemptWindow
 from ..operators.monitoring import breaches
 
@@ -23,8 +23,9 @@ Channel = Callable[[DataFrame, int], None]
 
 def stream_alerts(samples: DataFrame, rules: DataFrame, delay: str = "2 minutes") -> DataFrame:
     """Alerts of an arriving sample stream, each id once."""
-    late = samples.withWatermark("ts", delay)
-    return breaches(late, rules).dropDuplicatesWithinWatermark(["alert_id"])
+    timed = samples.withColumn("_at", event_time(F.col("ts"))).withWatermark("_at", delay)
+    found = breaches(timed, rules, keep=["_at"])
+    return found.dropDuplicatesWithinWatermark(["alert_id"]).drop("_at")
 
 
 def alert_writer(
@@ -38,8 +39,8 @@ def alert_writer(
             for channel in channels:
                 try:
                     channel(kept, number)
-                except Exception:  # noqa: BLE001 - channels are user code
-                    log.exception("alert channel failed")
+                except Exception as error:  # noqa: BLE001 - channels are user code
+                    log.warning("alert channel failed: %s", error)
         finally:
             kept.unpersist()
 
@@ -48,7 +49,8 @@ def alert_writer(
 
 def stream_dedup(events: DataFrame, key: str = "event_id", delay: str = "10 minutes") -> DataFrame:
     """Arriving events, each id once within the watermark delay."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+    timed = events.withColumn("_at", event_time(F.col("ts"))).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
 def stream_rate_limit(
@@ -100,11 +102,12 @@ def stream_rate_limit(
             }
         )
 
-    keyed = attempts.withWatermark("ts", delay).select(
+    timed = attempts.withColumn("_at", event_time(F.col("ts"))).withWatermark("_at", delay)
+    keyed = timed.select(
         F.col("identifier").cast("string").alias("identifier"),
         F.col("attempt_id").cast("bigint").alias("attempt_id"),
         epoch_micros(F.col("ts")).alias("us"),
-        "ts",
+        "_at",
     )
     return keyed.groupBy("identifier").applyInPandasWithState(
         decide,

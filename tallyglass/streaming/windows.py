@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.stats import PERCENTILES, weighted_stats
+from ..functions.times import event_time, from_event_time
 
 SERIES = ["metric_name", "metric_type"]
 STATS = ["count", "sum", "avg", "min", "max", "std", *PERCENTILES]
@@ -20,13 +21,20 @@ def window_frequency(
     State is one small row per value, spread over all tasks, rather than one
     growing list per series; rows later than ``delay`` are dropped.
     """
-    window = F.window("ts", size, step) if step else F.window("ts", size)
+    window = F.window("_at", size, step) if step else F.window("_at", size)
     counted = (
-        points.withWatermark("ts", delay)
+        points.withColumn("_at", event_time(F.col("ts")))
+        .withWatermark("_at", delay)
         .groupBy(window.alias("w"), *SERIES, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *SERIES, "value", "n")
+    return counted.select(
+        from_event_time(F.col("w.start")).alias("start"),
+        from_event_time(F.col("w.end")).alias("end"),
+        *SERIES,
+        "value",
+        "n",
+    )
 
 
 def window_stats(freq: DataFrame) -> DataFrame:
@@ -42,7 +50,12 @@ def stats_writer(freq: DataFrame, folder: str, checkpoint: str) -> DataStreamWri
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        window_stats(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        # The statistics read the batch more than once; state is read only once.
+        kept = batch.persist()
+        try:
+            window_stats(kept).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        finally:
+            kept.unpersist()
 
     return (
         freq.writeStream.outputMode("append")
