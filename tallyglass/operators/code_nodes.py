@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ast
 import os
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -48,6 +47,15 @@ _ROW_ARROW = pa.schema(
     ]
 )
 _BRANCH = (ast.If, ast.While, ast.For, ast.ExceptHandler)
+_SOURCES = (
+    *_BRANCH,
+    ast.BoolOp,
+    ast.FunctionDef,
+    ast.ClassDef,
+    ast.Import,
+    ast.ImportFrom,
+)
+_LEAVES = {ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.Pass, ast.Break, ast.Continue}
 _ROWS_PER_BATCH = 512
 
 
@@ -65,16 +73,16 @@ def _is_singleton(node: ast.ClassDef) -> bool:
     return False
 
 
-def _events_of(node: ast.AST, root: ast.AST, depth: int) -> Iterator[dict]:
-    """Events of a single syntax node; a root's own decorators lie outside its segment."""
+def _events_of(node: ast.AST, own_decorators: bool) -> Iterator[dict]:
+    """Events of a single syntax node."""
     if isinstance(node, _BRANCH):
-        yield _event("branch", depth=depth)
+        yield _event("branch")
     elif isinstance(node, ast.BoolOp):
         yield _event("bool", n=len(node.values) - 1)
     elif isinstance(node, (ast.FunctionDef, ast.ClassDef)):
         facts = {
             "documented": bool(ast.get_docstring(node)),
-            "decorated": node is not root and bool(node.decorator_list),
+            "decorated": own_decorators and bool(node.decorator_list),
         }
         if isinstance(node, ast.FunctionDef):
             params = len(node.args.args)
@@ -90,19 +98,55 @@ def _events_of(node: ast.AST, root: ast.AST, depth: int) -> Iterator[dict]:
         yield _event("import", node.module.partition(".")[0])
 
 
-def syntax_events(root: ast.AST) -> list[dict]:
-    """Events below a node, level by level; depth counts enclosing branches."""
-    found: list[dict] = []
-    waiting = deque([(root, 0)])
+class _Scope:
+    """A file, class or function on the way down, and the events inside it."""
+
+    def __init__(self, node: ast.AST, depth: int = 0, level: int = 0):
+        self.node, self.depth, self.level = node, depth, level
+        self.found: list[tuple[int, dict]] = []
+
+    def add(self, event: dict, depth: int, level: int) -> None:
+        self.found.append((level - self.level, {**event, "depth": depth - self.depth}))
+
+    def events(self) -> list[dict]:
+        """Events level by level, left to right within a level."""
+        return [event for _, event in sorted(self.found, key=lambda pair: pair[0])]
+
+
+def syntax_events(tree: ast.Module) -> dict[ast.AST, list[dict]]:
+    """Events of the file and of every class, method and module-level function.
+
+    One walk over the tree serves all of them: an event goes to each enclosing
+    scope, its depth counted in branches from there.  Decorators lie outside the
+    segment of the node they decorate.
+    """
+    top = _Scope(tree)
+    scopes = [top]
+    # (node, enclosing branches, level, scopes around it, parent)
+    waiting: list[tuple] = [(tree, 0, 0, (top,), None)]
     while waiting:
-        node, depth = waiting.popleft()
-        found.extend(_events_of(node, root, depth))
+        node, depth, level, around, parent = waiting.pop()
+        outer, scope = around, None
+        if isinstance(node, ast.ClassDef) or (
+            isinstance(node, ast.FunctionDef)
+            and isinstance(parent, (ast.ClassDef, ast.Module))
+        ):
+            scope = _Scope(node, depth, level)
+            scopes.append(scope)
+            around = (*around, scope)
+        if isinstance(node, _SOURCES):
+            for event in _events_of(node, own_decorators=True):
+                for each in outer:
+                    each.add(event, depth, level)
+                if scope is not None:
+                    scope.add({**event, "decorated": False}, depth, level)
         inner = depth + isinstance(node, _BRANCH)
-        outside = getattr(node, "decorator_list", []) if node is root else []
-        for child in ast.iter_child_nodes(node):
-            if child not in outside:
-                waiting.append((child, inner))
-    return found
+        outside = node.decorator_list if scope is not None else ()
+        children = [c for c in ast.iter_child_nodes(node) if type(c) not in _LEAVES]
+        for child in reversed(children):
+            scopes_here = outer if child in outside else around
+            waiting.append((child, inner, level + 1, scopes_here, node))
+    return {scope.node: scope.events() for scope in scopes}
 
 
 def _segment(lines: list[str], node: ast.stmt) -> str:
@@ -122,6 +166,7 @@ def _file_rows(path: str, content: str | None, qualified: bool) -> Iterator[dict
         yield {"path": path, "kind": "error", "name": str(error)}
         return
     lines = content.split("\n")
+    events = syntax_events(tree)
     inside = f"{path}::" if qualified else ""
 
     def row(kind: str, name: str, parent: str, node: ast.stmt) -> dict:
@@ -133,7 +178,7 @@ def _file_rows(path: str, content: str | None, qualified: bool) -> Iterator[dict
             "parent_id": parent,
             "line": node.lineno,
             "code": _segment(lines, node),
-            "events": syntax_events(node),
+            "events": events[node],
         }
 
     base = os.path.basename(path)
@@ -146,9 +191,9 @@ def _file_rows(path: str, content: str | None, qualified: bool) -> Iterator[dict
         "parent_id": None,
         "line": 1,
         "code": content,
-        "events": syntax_events(tree),
+        "events": events[tree],
     }
-    for node in ast.walk(tree):
+    for node in events:
         if isinstance(node, ast.ClassDef):
             made = row("class", node.name, file_id, node)
             yield made
@@ -160,12 +205,18 @@ def _file_rows(path: str, content: str | None, qualified: bool) -> Iterator[dict
             yield row("func", node.name, file_id, node)
 
 
-def parse_files(files: DataFrame, qualified_ids: bool = False) -> DataFrame:
+def parse_files(
+    files: DataFrame, qualified_ids: bool = False, partitions: int | None = None
+) -> DataFrame:
     """Node rows of ``(path, content)`` files, and one ``error`` row per unreadable file.
 
     Ids use file base names, so equal names in different folders collide;
-    ``qualified_ids`` keys them by the full path.
+    ``qualified_ids`` keys them by the full path.  Parsing costs far more than
+    moving the text, so files are first spread evenly over ``partitions`` (the
+    session's shuffle partitions unless given).
     """
+    spark = files.sparkSession
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -179,7 +230,7 @@ def parse_files(files: DataFrame, qualified_ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=_ROW_ARROW)
 
     text = files.select("path", F.regexp_replace("content", "\r\n?", "\n").alias("content"))
-    return text.mapInArrow(parse, PARSED)
+    return text.repartition(partitions, "path").mapInArrow(parse, PARSED)
 
 
 def code_nodes(parsed: DataFrame) -> DataFrame:

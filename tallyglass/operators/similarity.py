@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.skew import newest_rows, salted_join
-from ..functions.text import tokens
 
 MAX_BROADCAST_QUERIES = 4_096
 _CORPUS_BLOCK = 50_000
@@ -122,54 +124,42 @@ def describe_hits(hits: DataFrame, measured: DataFrame) -> DataFrame:
     return salted_join(hits, facts, ["id"], "left")
 
 
-def hashed_weights(docs: DataFrame, id_: str, text: str, width: int = 256) -> DataFrame:
-    """Sparse unit vectors of texts: signed token counts hashed into ``width`` dimensions.
+def hashing_model(width: int = 256) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """A model without weights: signed token counts hashed into a unit vector."""
 
-    Equal tokens of a text merge before any shuffle; a text has at most ``width`` rows.
-    """
-    words = docs.select(id_, F.explode(tokens(F.col(text))).alias("token"))
-    counted = words.groupBy(id_, "token").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.md5(F.col("token").cast("binary"))
-    dim = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % width
-    sign = F.when(F.substring(digest, 9, 1) < "8", 1).otherwise(-1)
-    summed = counted.groupBy(id_, dim.cast("int").alias("dim")).agg(
-        F.sum(F.col("n") * sign).alias("weight")
-    )
-    norms = summed.groupBy(id_).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
-    unit = F.when(F.col("_norm") > 0, F.col("weight") / F.col("_norm")).otherwise(0.0)
-    return summed.join(norms, id_).select(id_, "dim", unit.alias("weight"))
-
-
-def hashing_encoder(docs: DataFrame, id_: str, text: str, width: int = 256) -> DataFrame:
-    """Dense ``(id, embedding)`` of the hashed weights; needs no model."""
-    sparse = hashed_weights(docs, id_, text, width)
-    entries = F.map_from_entries(F.collect_list(F.struct("dim", "weight")))
-    packed = sparse.groupBy(id_).agg(entries.alias("_w"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0)).cast("float"),
-    )
-    known = packed.select(id_, dense.alias("embedding"))
-    empty = F.array_repeat(F.lit(0.0).cast("float"), width)
-    return docs.select(id_).join(known, id_, "left").select(
-        id_, F.coalesce("embedding", empty).alias("embedding")
-    )
+    def make_predict() -> Callable[[np.ndarray], np.ndarray]:
+        token = re.compile(r"\w+|\W")
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            vectors = np.zeros((len(texts), width))
+            for vector, text in zip(vectors, texts):
+                for word, count in Counter(token.findall(text)).items():
+                    digest = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+                    sign = 1 if digest[4] < 128 else -1
+                    vector[int.from_bytes(digest[:4]) % width] += sign * count
+            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+            return vectors / np.where(norms > 0, norms, 1)
+
+        return predict
+
+    return make_predict
 
 
 def encode_model(
     docs: DataFrame,
     id_: str,
     text: str,
-    make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]] = hashing_model(),
     batch_size: int = 32,
+    element: T.DataType = T.FloatType(),
 ) -> DataFrame:
-    """``(id, embedding)`` from any model.
+    """``(id, embedding)`` from any model; the default needs no download.
 
     ``make_predict`` loads the model once per Python worker and returns a
     function from a batch of texts to a two-dimensional float array.
     """
     predict = predict_batch_udf(
-        make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
+        make_predict, return_type=T.ArrayType(element), batch_size=batch_size
     )
     return docs.select(id_, predict(F.col(text)).alias("embedding"))
 

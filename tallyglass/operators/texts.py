@@ -27,7 +27,7 @@ def security_scan(
     docs: DataFrame,
     id_: str,
     text: str = "text",
-    patterns: list[tuple[str, str]] = t.SECURITY_PATTERNS,
+    patterns: list[tuple[str, str, list[str]]] = t.SECURITY_PATTERNS,
 ) -> DataFrame:
     """One row per text and message found; ``patterns`` may be replaced."""
     issues = t.security_issues(F.col(text), patterns)
@@ -43,7 +43,9 @@ def repeated_lines(docs: DataFrame, id_: str, text: str = "text") -> DataFrame:
 def token_features(
     docs: DataFrame, id_: str, text: str = "text", max_chars: int | None = None
 ) -> DataFrame:
-    """Count of every token per text, with the token's stable bucket."""
-    exploded = docs.select(id_, F.explode(t.tokens(F.col(text), max_chars)).alias("token"))
-    counted = exploded.groupBy(id_, "token").agg(F.count(F.lit(1)).alias("n"))
+    """Count of every token per text, with the token's stable bucket.
+
+    Texts are counted row by row, without a shuffle.
+    """
+    counted = docs.select(id_, F.inline(t.token_counts(F.col(text), max_chars)))
     return counted.withColumn("bucket", t.token_bucket(F.col("token")))

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rounded(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
     """Round doubles so that summation order does not show in a comparison."""
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: F.round(n, 6 if n == "sum" else digits) for n in names})
 
 
 def at(text: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import similarity as s
 from .registry import query, rounded, table
@@ -66,11 +67,18 @@ unit AS (SELECT doc_id, dim, weight / sqrt(sum(weight * weight) OVER (PARTITION
 
 @query(
     "encode_hashing",
-    f"WITH {_weights_sql(64)} SELECT doc_id, dim, round(coalesce(weight, 0), 8) AS weight FROM unit",
+    f"WITH {_weights_sql(64)} SELECT doc_id, dim, round(weight, 8) AS weight FROM unit WHERE weight <> 0",
 )
 def encode_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = s.hashed_weights(table(spark, sf_dir, "documents"), "doc_id", "text", 64)
-    return rounded(weights, "weight")
+    encoded = s.encode_model(
+        table(spark, sf_dir, "documents"),
+        "doc_id",
+        "text",
+        s.hashing_model(64),
+        element=T.DoubleType(),
+    )
+    cells = encoded.select("doc_id", F.posexplode("embedding").alias("dim", "weight"))
+    return rounded(cells.where(F.col("weight") != 0), "weight")
 
 
 def _letter_model():
@@ -104,7 +112,7 @@ def encode_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
 
     def encode(snippets: DataFrame) -> DataFrame:
-        return s.hashing_encoder(snippets, "key", "code", 32)
+        return s.encode_model(snippets, "key", "code", s.hashing_model(32))
 
     english = documents.where(F.col("lang") == "en").select(
         s.snippet_key("hashing", "text").alias("key"), F.col("text").alias("code")

@@ -27,7 +27,7 @@ def issues_sql(text: str = "text") -> str:
     cases = ",\n    ".join(
         f"CASE WHEN regexp_matches({text}, {quoted('(?i)' + pattern_sql(p))}) "
         f"THEN {quoted(m)} END"
-        for p, m in t.SECURITY_PATTERNS
+        for p, m, _ in t.SECURITY_PATTERNS
     )
     return f"[m for m in [{cases}] if m IS NOT NULL]"
 

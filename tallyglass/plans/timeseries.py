@@ -19,7 +19,8 @@ STATS_SQL = """count(*) AS count, sum(value) AS sum, avg(value) AS avg, min(valu
   max(value) AS max, stddev_pop(value) AS std, quantile_cont(value, 0.5) AS p50,
   quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95) AS p95,
   quantile_cont(value, 0.99) AS p99"""
-ROUNDED_SQL = ", ".join(f"round({c}, 8) AS {c}" for c in FLOATS)
+DIGITS = {"sum": 6}
+ROUNDED_SQL = ", ".join(f"round({c}, {DIGITS.get(c, 8)}) AS {c}" for c in FLOATS)
 
 
 def bucket_sql(granularity: str, column: str = "ts") -> str:
