@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .skew import salted_join
+
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 # Value slices per doubling of magnitude, and an offset that keeps slices of
@@ -24,93 +26,95 @@ def value_slice(value: Column) -> Column:
     )
 
 
-def _slice_pivot(slice_: Column) -> Column:
-    """A value inside the slice, as reference point for the squares."""
-    size = F.pow(F.lit(2.0), (F.abs(slice_) - _OFFSET) / F.lit(float(_PER_DOUBLING)))
-    return F.when(slice_ == 0, F.lit(0.0)).otherwise(F.signum(slice_) * size)
-
-
 def frequency(points: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Count of each distinct value per group; equal values merge map-side."""
     return points.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def weighted_stats(
+def moments(value: str = "value") -> list[Column]:
+    """count, sum, avg, min, max and population std as partial aggregates."""
+    return [
+        F.count(F.lit(1)).alias("count"),
+        F.sum(value).alias("sum"),
+        F.avg(value).alias("avg"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.stddev_pop(value).alias("std"),
+    ]
+
+
+def weighted_moments(freq: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """The same moments from distinct values with their count ``n``.
+
+    Squares are taken about the group's mean in a second pass, which stays exact
+    for large values close together.
+    """
+    weighted = F.col("n") * F.col(value)
+    first = freq.groupBy(*keys).agg(
+        F.sum("n").alias("count"),
+        F.sum(weighted).alias("sum"),
+        (F.sum(weighted) / F.sum("n")).alias("avg"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+    )
+    off = F.col(value) - F.col("avg")
+    around = salted_join(freq.select(*keys, value, "n"), first.select(*keys, "avg"), list(keys))
+    second = around.groupBy(*keys).agg(
+        F.sqrt(F.sum(F.col("n") * off * off) / F.sum("n")).alias("std")
+    )
+    return first.join(second, list(keys))
+
+
+def exact_percentiles(
     freq: DataFrame,
     keys: Sequence[str],
     value: str = "value",
     percentiles: dict[str, float] = PERCENTILES,
 ) -> DataFrame:
-    """count, sum, avg, min, max, population std and percentiles per group.
+    """Linearly interpolated percentiles per group.
 
     ``freq`` has one row per (group, distinct value) with its count ``n``.
-    Groups are cut into value slices.  One row per slice is enough for the
-    moments and for locating the slices that hold a wanted rank; only the values
-    of those slices are sorted.  Percentiles interpolate linearly.
+    Groups are cut into value slices.  One count per slice locates the slices
+    that hold a wanted rank, and only the values of those slices are sorted.
     """
     keys = list(keys)
     rows = freq.select(*keys, F.col(value).alias("_v"), F.col("n").alias("_n")).withColumn(
         "_slice", value_slice(F.col("_v"))
     )
-    off = F.col("_v") - _slice_pivot(F.col("_slice"))
-    per_slice = rows.groupBy(*keys, "_slice").agg(
-        F.sum("_n").alias("_n"),
-        F.sum(F.col("_n") * F.col("_v")).alias("_sum"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.sum(F.col("_n") * off).alias("_off"),
-        F.sum(F.col("_n") * off * off).alias("_off2"),
-    )
     whole = W.partitionBy(*keys)
     upto = whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     per_slice = (
-        per_slice.withColumn("_count", F.sum("_n").over(whole))
-        .withColumn("_mean", F.sum("_sum").over(whole) / F.col("_count"))
-        .withColumn("_end", F.sum("_n").over(upto))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-    shift = F.col("_mean") - _slice_pivot(F.col("_slice"))
-    squares = F.col("_off2") - 2 * shift * F.col("_off") + F.col("_n") * shift * shift
-    totals = per_slice.groupBy(*keys).agg(
-        F.sum("_n").alias("count"),
-        F.sum("_sum").alias("sum"),
-        (F.sum("_sum") / F.sum("_n")).alias("avg"),
-        F.min("_min").alias("min"),
-        F.max("_max").alias("max"),
-        F.when(F.min("_min") == F.max("_max"), F.lit(0.0))
-        .otherwise(F.sqrt(F.greatest(F.sum(squares), F.lit(0.0)) / F.sum("_n")))
-        .alias("std"),
+        rows.groupBy(*keys, "_slice")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_count", F.sum("_n").over(whole))
+        .withColumn("_start", F.sum("_n").over(upto) - F.col("_n"))
     )
-
     position = {
         name: (F.col("_count") - 1).cast("double") * F.lit(q) for name, q in percentiles.items()
     }
-    ranks = [edge(p) for p in position.values() for edge in (F.floor, F.ceil)]
 
-    def holds(start: Column, end: Column, rank: Column) -> Column:
-        return (start <= rank) & (rank < end)
+    def holds(start: Column, count: Column, rank: Column) -> Column:
+        return (start <= rank) & (rank < start + count)
 
     wanted = F.lit(False)
-    for rank in ranks:
-        wanted = wanted | holds(F.col("_start"), F.col("_end"), rank)
-    targets = per_slice.where(wanted).select(
-        *keys, "_slice", "_count", F.col("_start").alias("_base")
-    )
+    for at in position.values():
+        for edge in (F.floor, F.ceil):
+            wanted = wanted | holds(F.col("_start"), F.col("_n"), edge(at))
+    targets = per_slice.where(wanted).select(*keys, "_slice", "_count", "_start")
     inside = (
         W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     picked = rows.join(targets, [*keys, "_slice"]).withColumn(
-        "_to", F.col("_base") + F.sum("_n").over(inside)
+        "_from", F.col("_start") + F.sum("_n").over(inside) - F.col("_n")
     )
-    picked = picked.withColumn("_from", F.col("_to") - F.col("_n"))
     columns = []
     for name, at in position.items():
         for edge, tag in ((F.floor, "lo"), (F.ceil, "hi")):
-            here = holds(F.col("_from"), F.col("_to"), edge(at))
+            here = holds(F.col("_from"), F.col("_n"), edge(at))
             columns.append(F.max(F.when(here, F.col("_v"))).alias(f"_{name}_{tag}"))
         columns.append(F.max(at - F.floor(at)).alias(f"_{name}_w"))
     values = picked.groupBy(*keys).agg(*columns)
-    values = values.select(
+    return values.select(
         *keys,
         *[
             (
@@ -120,4 +124,18 @@ def weighted_stats(
             for name in percentiles
         ],
     )
-    return totals.join(values, keys)
+
+
+def grouped_stats(points: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Moments and percentiles of plain rows."""
+    direct = points.groupBy(*keys).agg(*moments(value))
+    return direct.join(
+        exact_percentiles(frequency(points, keys, value), keys, value), list(keys)
+    )
+
+
+def weighted_stats(freq: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Moments and percentiles of distinct values with their count."""
+    return weighted_moments(freq, keys, value).join(
+        exact_percentiles(freq, keys, value), list(keys)
+    )

@@ -85,9 +85,16 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+# Letters that ignore-case matching equates to an ASCII letter but lower case
+# does not (fixed values).
+_ALIKE = {"\u0130": "i", "\u0131": "i", "\u017f": "s"}
+
+
 def _folded(text: Column) -> Column:
     """Lower case in which letters that ignore-case matching equates look the same."""
-    return F.lower(F.upper(F.replace(text, F.lit("\u0130"), F.lit("i"))))
+    for letter, plain in _ALIKE.items():
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
 
 
 def security_issues(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import newest_rows, previous_value
-from ..functions.stats import PERCENTILES, frequency, weighted_stats
+from ..functions.stats import PERCENTILES, grouped_stats, moments
 from ..functions.times import (
     GRANULARITY_SECONDS,
     MICROS,
@@ -23,17 +23,6 @@ MOMENTS = ["count", "sum", "avg", "min", "max", "std"]
 STATS = [*MOMENTS, *PERCENTILES]
 
 
-def _moments(value: str) -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("count"),
-        F.sum(value).alias("sum"),
-        F.avg(value).alias("avg"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.stddev_pop(value).alias("std"),
-    ]
-
-
 def aggregate_tumbling(
     points: DataFrame, granularity: str, percentiles: bool = True
 ) -> DataFrame:
@@ -44,9 +33,9 @@ def aggregate_tumbling(
     keyed = points.select(*SERIES, tumbling_start(F.col("ts"), granularity).alias("ts"), "value")
     keys = [*SERIES, "ts"]
     if percentiles:
-        stats, columns = weighted_stats(frequency(keyed, keys), keys), STATS
+        stats, columns = grouped_stats(keyed, keys), STATS
     else:
-        stats, columns = keyed.groupBy(*keys).agg(*_moments("value")), MOMENTS
+        stats, columns = keyed.groupBy(*keys).agg(*moments()), MOMENTS
     return stats.withColumn("granularity", F.lit(granularity)).select(*AGG_KEY, *columns)
 
 
@@ -73,9 +62,8 @@ def aggregate_trailing(points: DataFrame, granularity: str, ends: DataFrame) ->
     placed = points.select(*SERIES, "ts", "value", bucket(F.col("ts")).alias("_bucket"))
     inside = F.col("ts").between(F.col("end_ts") - seconds_interval(seconds), F.col("end_ts"))
     keys = [*SERIES, "end_ts"]
-    freq = frequency(placed.join(windows, "_bucket").where(inside), keys)
     return (
-        weighted_stats(freq, keys)
+        grouped_stats(placed.join(windows, "_bucket").where(inside), keys)
         .withColumnRenamed("end_ts", "ts")
         .withColumn("granularity", F.lit(granularity))
         .select(*AGG_KEY, *STATS)

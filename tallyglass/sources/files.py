@@ -7,7 +7,6 @@ file systems instead.
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterable, Iterator
 
@@ -19,27 +18,23 @@ _PATHS = "path string"
 _FILES = "path string, content string"
 
 
-def _file_system(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+def _open_root(root: str) -> tuple[fs.FileSystem, str, str]:
+    """File system of a folder, its path there, and what full paths start with."""
+    root = root.rstrip("/")
+    if "://" not in root and not root.startswith("file:"):
+        return fs.LocalFileSystem(), root, ""
+    system, inner = fs.FileSystem.from_uri(root)
+    return system, inner, root[: len(root) - len(inner)] if root.endswith(inner) else ""
 
 
-def _prefix(root: str, inner: str) -> str:
-    """What to put before a file system's own path to get a full path again."""
-    return root[: len(root) - len(inner)] if root.endswith(inner) else ""
-
-
-def list_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+def _list_files(spark: SparkSession, system: fs.FileSystem, inner: str, suffix: str) -> DataFrame:
     """Paths below a folder with a suffix.
 
     Only the entries directly below the folder are listed by the driver; each is
     then walked by a task.
     """
-    system, inner = _file_system(root.rstrip("/"))
-    prefix = _prefix(root.rstrip("/"), inner)
     entries = system.get_file_info(fs.FileSelector(inner))
-    top = [(prefix + e.path, e.type == fs.FileType.Directory) for e in entries]
+    top = [(e.path, e.type == fs.FileType.Directory) for e in entries]
     if not top:
         return spark.createDataFrame([], _PATHS)
 
@@ -48,20 +43,17 @@ def list_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
             for path, is_folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = [path]
                 if is_folder:
-                    system, inner = _file_system(path)
-                    below = system.get_file_info(fs.FileSelector(inner, recursive=True))
-                    before = _prefix(path, inner)
-                    found = [before + i.path for i in below if i.type == fs.FileType.File]
+                    below = system.get_file_info(fs.FileSelector(path, recursive=True))
+                    found = [info.path for info in below if info.type == fs.FileType.File]
                 names = [p for p in found if p.endswith(suffix)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
 
     spread = spark.createDataFrame(top, "path string, folder boolean").repartition("path")
-    return spread.mapInArrow(walk, _PATHS)
+    return spread.mapInArrow(walk, _PATHS).repartition("path")
 
 
-def _read(path: str) -> bytes:
-    system, inner = _file_system(path)
-    with system.open_input_stream(inner) as stream:
+def _read(system: fs.FileSystem, path: str) -> bytes:
+    with system.open_input_stream(path) as stream:
         return stream.read()
 
 
@@ -80,13 +72,14 @@ def _batch(path: str, content: str | None) -> pa.RecordBatch:
 
 def source_scan(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
     """Every file with the suffix below a folder."""
+    system, inner, prefix = _open_root(root)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                yield _batch(path, _text(_read(path)))
+                yield _batch(prefix + path, _text(_read(system, path)))
 
-    return list_files(spark, root, suffix).repartition("path").mapInArrow(read, _FILES)
+    return _list_files(spark, system, inner, suffix).mapInArrow(read, _FILES)
 
 
 def archive_scan(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
@@ -94,13 +87,14 @@ def archive_scan(spark: SparkSession, root: str, suffix: str = ".py") -> DataFra
 
     Member names are only data: nothing is extracted to disk.
     """
+    system, inner, prefix = _open_root(root)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with zipfile.ZipFile(io.BytesIO(_read(path))) as archive:
+                with system.open_input_file(path) as stored, zipfile.ZipFile(stored) as archive:
                     for member in archive.namelist():
                         if member.endswith(suffix):
-                            yield _batch(f"{path}/{member}", _text(archive.read(member)))
+                            yield _batch(f"{prefix}{path}/{member}", _text(archive.read(member)))
 
-    return list_files(spark, root, ".zip").repartition("path").mapInArrow(read, _FILES)
+    return _list_files(spark, system, inner, ".zip").mapInArrow(read, _FILES)
