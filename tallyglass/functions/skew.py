@@ -109,6 +109,11 @@ def salted_join(
     return salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
 
 
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table marked for broadcast if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def newest_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], count: int = 1
 ) -> DataFrame:

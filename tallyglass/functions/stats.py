@@ -12,6 +12,9 @@ from .skew import salted_join
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
+# Largest group that may be held in memory by one aggregation.
+DIRECT_ROWS = 100_000
+
 # Value slices per doubling of magnitude, and an offset that keeps slices of
 # positive values above zero (log2 of a double lies within +-1075).
 _PER_DOUBLING = 4096
@@ -126,16 +129,42 @@ def exact_percentiles(
     )
 
 
-def grouped_stats(points: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Moments and percentiles of plain rows."""
-    direct = points.groupBy(*keys).agg(*moments(value))
-    return direct.join(
-        exact_percentiles(frequency(points, keys, value), keys, value), list(keys)
-    )
+def _largest(groups: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; one light pass over the key columns."""
+    sizes = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
 
 
-def weighted_stats(freq: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Moments and percentiles of distinct values with their count."""
-    return weighted_moments(freq, keys, value).join(
-        exact_percentiles(freq, keys, value), list(keys)
-    )
+def _unpacked(df: DataFrame) -> DataFrame:
+    """The array of percentiles as columns."""
+    picks = {name: F.col("_p")[i] for i, name in enumerate(PERCENTILES)}
+    return df.withColumns(picks).drop("_p")
+
+
+def grouped_stats(
+    points: DataFrame, keys: Sequence[str], value: str = "value", direct: int = DIRECT_ROWS
+) -> DataFrame:
+    """Moments and percentiles of plain rows.
+
+    Where no group has more than ``direct`` rows, one aggregation holds each group
+    in memory; otherwise percentiles are found slice by slice.
+    """
+    keys = list(keys)
+    if _largest(points, keys) <= direct:
+        wanted = F.percentile(value, list(PERCENTILES.values())).alias("_p")
+        return _unpacked(points.groupBy(*keys).agg(*moments(value), wanted))
+    plain = points.groupBy(*keys).agg(*moments(value))
+    return plain.join(exact_percentiles(frequency(points, keys, value), keys, value), keys)
+
+
+def weighted_stats(
+    freq: DataFrame, keys: Sequence[str], value: str = "value", direct: int = DIRECT_ROWS
+) -> DataFrame:
+    """Moments and percentiles of distinct values with their count ``n``."""
+    keys = list(keys)
+    if _largest(freq, keys) <= direct:
+        wanted = F.percentile(value, list(PERCENTILES.values()), F.col("n")).alias("_p")
+        found = _unpacked(freq.groupBy(*keys).agg(wanted))
+    else:
+        found = exact_percentiles(freq, keys, value)
+    return weighted_moments(freq, keys, value).join(found, keys)

@@ -36,7 +36,8 @@ def call_edges(latest: DataFrame) -> DataFrame:
     """Caller to every function or method whose short name it calls.
 
     An equi-join on the name; names called from a large share of all nodes are
-    salted.  Both sides are distinct, so an edge comes out once.
+    salted.  Both sides are distinct, so an edge comes out once.  The nodes are
+    read several times: give it a stored table rather than a running parse.
     """
     callables = latest.where(F.col("kind").isin("func", "method"))
     calls = callables.select(

@@ -182,9 +182,9 @@ def encode_incremental(
     and the rows to append to the store.  Copies of a text are encoded once.
     """
     keyed = snippets.select(id_, F.col(text).alias("code"), snippet_key(model, text).alias("key"))
-    unknown = keyed.select("key", "code").join(store.select("key"), "key", "left_anti")
-    once = unknown.groupBy("key").agg(F.any_value("code").alias("code"))
-    fresh = encode(once).select("key", "embedding")
+    once = keyed.groupBy("key").agg(F.any_value("code").alias("code"))
+    unknown = once.join(store.select("key"), "key", "left_anti")
+    fresh = encode(unknown).select("key", "embedding")
     known = store.select("key", "embedding", F.lit(True).alias("reused")).unionByName(
         fresh.withColumn("reused", F.lit(False))
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import newest_rows, previous_value
+from ..functions.skew import newest_rows, previous_value, small_side
 from ..functions.stats import PERCENTILES, grouped_stats, moments
 from ..functions.times import (
     GRANULARITY_SECONDS,
@@ -43,7 +43,8 @@ def aggregate_trailing(points: DataFrame, granularity: str, ends: DataFrame) ->
     """Statistics over ``[end - granularity, end]``, both inclusive, for each ``end_ts``.
 
     A window touches exactly two aligned buckets of its own length, so points
-    meet their windows by an equi-join on the bucket.  ``real_time`` has no
+    meet their windows by an equi-join on the bucket, which a short list of ends
+    does without moving the points.  ``real_time`` has no
     window and gives no rows.
     """
     if granularity == "real_time":
@@ -63,7 +64,7 @@ def aggregate_trailing(points: DataFrame, granularity: str, ends: DataFrame) ->
     inside = F.col("ts").between(F.col("end_ts") - seconds_interval(seconds), F.col("end_ts"))
     keys = [*SERIES, "end_ts"]
     return (
-        grouped_stats(placed.join(windows, "_bucket").where(inside), keys)
+        grouped_stats(placed.join(small_side(windows), "_bucket").where(inside), keys)
         .withColumnRenamed("end_ts", "ts")
         .withColumn("granularity", F.lit(granularity))
         .select(*AGG_KEY, *STATS)

@@ -152,7 +152,7 @@ def contains_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("call_edges", f"WITH {NODES_SQL}, {CALLS_SQL} SELECT * FROM calls")
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.call_edges(latest(spark, sf_dir))
+    return graph.call_edges(stored(latest(spark, sf_dir).drop("events"), "latest"))
 
 
 @query(
@@ -161,7 +161,7 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT src AS code_id, dst AS affected FROM contains UNION SELECT dst, src FROM calls""",
 )
 def impact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = stored(nodes(spark, sf_dir), "nodes")
+    every = stored(nodes(spark, sf_dir).drop("events"), "nodes")
     calls = graph.call_edges(graph.node_latest(every))
     return graph.impact_map(graph.contains_edges(every), calls)
 

@@ -14,8 +14,9 @@ from tallyglass.operators import timeseries as ts
 START = dt.datetime(2024, 3, 1)
 
 
+@pytest.mark.parametrize("direct", [0, 10_000])
 @pytest.mark.parametrize("weighted", [False, True])
-def test_stats_match_numpy(spark, weighted):
+def test_stats_match_numpy(spark, weighted, direct):
     rng = random.Random(4)
     groups = {
         "same": [7.25] * 50,
@@ -30,9 +31,9 @@ def test_stats_match_numpy(spark, weighted):
     rng.shuffle(rows)
     points = spark.createDataFrame(rows, "g string, value double")
     if weighted:
-        stats = weighted_stats(frequency(points, ["g"]), ["g"])
+        stats = weighted_stats(frequency(points, ["g"]), ["g"], direct=direct)
     else:
-        stats = grouped_stats(points, ["g"])
+        stats = grouped_stats(points, ["g"], direct=direct)
     found = {r.g: r for r in stats.collect()}
     assert set(found) == set(groups)
     for g, values in groups.items():
