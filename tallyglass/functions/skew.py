@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# Rows up to which a checked side is broadcast.
+SMALL_ROWS = 100_000
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -109,9 +113,30 @@ def salted_join(
     return salted.drop("_hot").join(repeated.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
 
 
-def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+def _is_small(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def small_side(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """The table marked for broadcast if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if _is_small(df, most) else df
+
+
+def lookup_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    most: int = SMALL_ROWS,
+) -> DataFrame:
+    """Join rows to a lookup table, safe when most rows look up the same key.
+
+    A lookup of at most ``most`` (narrow) rows is broadcast and the left side does
+    not move; a larger one is joined with salted hot keys.
+    """
+    if _is_small(right, most):
+        return left.join(F.broadcast(right), list(keys), how)
+    return salted_join(left, right, keys, how)
 
 
 def newest_rows(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .skew import salted_join
+from .skew import lookup_join
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -61,7 +61,7 @@ def weighted_moments(freq: DataFrame, keys: Sequence[str], value: str = "value")
         F.max(value).alias("max"),
     )
     off = F.col(value) - F.col("avg")
-    around = salted_join(freq.select(*keys, value, "n"), first.select(*keys, "avg"), list(keys))
+    around = lookup_join(freq.select(*keys, value, "n"), first.select(*keys, "avg"), list(keys))
     second = around.groupBy(*keys).agg(
         F.sqrt(F.sum(F.col("n") * off * off) / F.sum("n")).alias("std")
     )

@@ -17,17 +17,19 @@ GRANULARITY_SECONDS = {
 }
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 of a ``timestamp_ntz``."""
-    days = F.date_diff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    seconds = (days * 24 + F.hour(ts)) * 3600 + F.minute(ts) * 60
-    fraction = (F.extract(F.lit("SECOND"), ts) * MICROS).cast("bigint")
-    return seconds * MICROS + fraction
+    seconds = (ts - _epoch()).cast("interval second").cast("decimal(20,6)")
+    return (seconds * MICROS).cast("bigint")
 
 
 def from_micros(us: Column) -> Column:
     """The ``timestamp_ntz`` of microseconds since 1970-01-01."""
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+    return _epoch() + F.make_dt_interval(
         secs=(us.cast("decimal(20,0)") / F.lit(MICROS).cast("decimal(8,0)")).cast("decimal(18,6)")
     )
 
@@ -47,6 +49,4 @@ def seconds_interval(seconds: int | float) -> Column:
 
 def tumbling_start(ts: Column, granularity: str) -> Column:
     """Start of the aligned bucket of ``ts``; buckets count from 1970-01-01."""
-    width = GRANULARITY_SECONDS[granularity] * MICROS
-    us = epoch_micros(ts)
-    return from_micros(us - F.pmod(us, F.lit(width)))
+    return F.window(ts, f"{GRANULARITY_SECONDS[granularity]} seconds")["start"]

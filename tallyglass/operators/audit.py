@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.skew import running_total, salted_join
+from ..functions.skew import lookup_join, running_total
 from ..functions.times import MICROS, epoch_micros, seconds_interval
 
 SESSION_SECONDS = 24 * 3600
@@ -40,8 +40,7 @@ def audit_search(
 def session_validity(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Status of each request: unknown, ip_mismatch, expired or valid, first match wins.
 
-    A session may be asked for by a large share of all requests, so the join is
-    salted.
+    A session may be asked for by a large share of all requests.
     """
     known = sessions.select(
         "session_id",
@@ -49,7 +48,7 @@ def session_validity(requests: DataFrame, sessions: DataFrame) -> DataFrame:
         F.col("ip_address").alias("_ip"),
         (F.col("created_at") + seconds_interval(SESSION_SECONDS)).alias("expires_at"),
     )
-    joined = salted_join(requests, known, ["session_id"], "left")
+    joined = lookup_join(requests, known, ["session_id"], "left")
     status = (
         F.when(F.col("expires_at").isNull(), "unknown")
         .when(F.col("_ip") != F.col("ip_address"), "ip_mismatch")

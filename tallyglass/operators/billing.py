@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.skew import newest_rows, salted_join
+from ..functions.skew import lookup_join, newest_rows
 from ..functions.times import seconds_interval
 
 DAY = 86_400
@@ -79,7 +79,7 @@ def subscribe(requests: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFra
     for cycle, length in CYCLE_DAYS.items():
         days = F.when(F.col("billing_cycle") == cycle, length).otherwise(days)
     terms = plans.select("plan_id", days.alias("_days"), "trial_days")
-    joined = salted_join(requests, terms, ["plan_id"])
+    joined = lookup_join(requests, terms, ["plan_id"])
     start = F.col("start_date")
     trial_end = F.when(
         F.col("trial_days") > 0, start + F.make_dt_interval(F.col("trial_days"))
@@ -158,7 +158,7 @@ def payment_apply(invoices: DataFrame, payments: DataFrame) -> tuple[DataFrame,
     time of its latest payment.
     """
     owners = invoices.select("invoice_id", "customer_id")
-    booked = salted_join(payments, owners, ["invoice_id"], "left").select(
+    booked = lookup_join(payments, owners, ["invoice_id"], "left").select(
         "payment_id",
         "invoice_id",
         F.coalesce("customer_id", F.lit("")).alias("customer_id"),
@@ -193,7 +193,7 @@ def usage_stats(
     limits = plans.select(
         "plan_id", "max_prod", "max_nonprod", F.lit(True).alias("_planned")
     )
-    with_plan = salted_join(current, limits, ["plan_id"], "left")
+    with_plan = lookup_join(current, limits, ["plan_id"], "left")
     joined = customers.select("customer_id").join(with_plan, "customer_id", "left")
     joined = joined.join(usage, "customer_id", "left")
     error = F.when(F.col("subscription_id").isNull(), "no active subscription").when(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.skew import newest_rows, salted_join
+from ..functions.skew import lookup_join, newest_rows
 
 METRICS = ["cyclomatic", "cognitive", "loc", "comment_ratio", "maintainability"]
 
@@ -35,8 +35,8 @@ def called_names(code: Column) -> Column:
 def call_edges(latest: DataFrame) -> DataFrame:
     """Caller to every function or method whose short name it calls.
 
-    An equi-join on the name; names called from a large share of all nodes are
-    salted.  Both sides are distinct, so an edge comes out once.  The nodes are
+    An equi-join on the name that stands names called from a large share of all
+    nodes.  Both sides are distinct, so an edge comes out once.  The nodes are
     read several times: give it a stored table rather than a running parse.
     """
     callables = latest.where(F.col("kind").isin("func", "method"))
@@ -47,7 +47,7 @@ def call_edges(latest: DataFrame) -> DataFrame:
         F.col("code_id").alias("dst"),
         F.element_at(F.split("name", r"\."), -1).alias("short"),
     )
-    joined = salted_join(calls, names, ["short"])
+    joined = lookup_join(calls, names, ["short"])
     return joined.where(F.col("src") != F.col("dst")).select(
         "src", "dst", F.lit("calls").alias("kind")
     )

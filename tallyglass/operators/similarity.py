@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.skew import newest_rows, salted_join
+from ..functions.skew import lookup_join, newest_rows, salted_join
 
 MAX_BROADCAST_QUERIES = 4_096
 _CORPUS_BLOCK = 50_000
@@ -121,7 +121,7 @@ def describe_hits(hits: DataFrame, measured: DataFrame) -> DataFrame:
         "loc",
         "maintainability",
     )
-    return salted_join(hits, facts, ["id"], "left")
+    return lookup_join(hits, facts, ["id"], "left")
 
 
 def hashing_model(width: int = 256) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:

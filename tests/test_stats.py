@@ -138,11 +138,14 @@ def test_salted_join_equals_plain_join(spark, how):
         [(1 if i % 3 else i, i) for i in range(500)] + [(None, -1)], "k long, a long"
     )
     right = spark.createDataFrame([(k, k * 10) for k in range(0, 300)], "k long, b long")
-    salted = skew.salted_join(left, right, ["k"], how)
     plain = left.join(right, "k", how)
-    assert sorted(map(str, salted.select(*plain.columns).collect())) == sorted(
-        map(str, plain.collect())
-    )
+    expected = sorted(map(str, plain.collect()))
+    for joined in (
+        skew.salted_join(left, right, ["k"], how),
+        skew.lookup_join(left, right, ["k"], how),
+        skew.lookup_join(left, right, ["k"], how, most=10),
+    ):
+        assert sorted(map(str, joined.select(*plain.columns).collect())) == expected
 
 
 def test_times_do_not_depend_on_the_zone(spark):
