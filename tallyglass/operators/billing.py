@@ -96,7 +96,7 @@ def subscribe(requests: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFra
         start.alias("created_at"),
         start.alias("updated_at"),
     )
-    rejected = requests.join(plans.select("plan_id"), "plan_id", "left_anti")
+    rejected = lookup_join(requests, plans.select("plan_id"), ["plan_id"], "left_anti")
     return created, rejected
 
 

@@ -142,6 +142,6 @@ def apply_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def valid_test_results(results: DataFrame, changes: DataFrame) -> DataFrame:
-    """Test results of nodes that did not change."""
+    """Test results of nodes that did not change; changes are best a stored table."""
     changed = changes.select(F.col("code_id").alias("node_id"))
-    return results.join(changed, "node_id", "left_anti")
+    return lookup_join(results, changed, ["node_id"], "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import lookup_join
 from ..functions.text import hmac_sha256
 
 KEY_PATTERN = r"\A(TRIAL|STARTUP|ENTERPRISE)((?s).{8})\s*([+-]?\d+)\s*\z"
@@ -92,7 +93,7 @@ def license_status(licenses: DataFrame, activations: DataFrame, as_of: Column) -
         F.col("fingerprint").alias("_print"),
         F.lit(True).alias("_known"),
     )
-    joined = activations.join(terms, "license_id", "left")
+    joined = lookup_join(activations, terms, ["license_id"], "left")
     ended = F.coalesce(as_of > F.col("expires_at"), F.lit(False))
     status = (
         F.when(F.col("_known").isNull() | ~F.col("_print").eqNullSafe(F.col("fingerprint")), "invalid")

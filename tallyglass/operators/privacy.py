@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.skew import lookup_join
+
 PERSONAL_FIELDS = ["email", "phone", "name", "address"]
 # Days each kind of data is kept, and the age at which personal data is
 # anonymised (fixed values).
@@ -81,7 +83,7 @@ def user_export(requests: DataFrame, tables: Mapping[str, tuple[DataFrame, str]]
         rows = df.select(
             F.col(user).alias("user_id"), F.lit(source).alias("source"), record.alias("record")
         )
-        parts.append(rows.join(wanted, "user_id", "left_semi"))
+        parts.append(lookup_join(rows, wanted, ["user_id"]))
     export = parts[0]
     for part in parts[1:]:
         export = export.unionByName(part)
@@ -91,7 +93,7 @@ def user_export(requests: DataFrame, tables: Mapping[str, tuple[DataFrame, str]]
 def user_erase(df: DataFrame, user: str, requests: DataFrame) -> DataFrame:
     """The table without the rows of users that asked for erasure."""
     erased = requests.select(F.col("user_id").alias(user)).distinct()
-    return df.join(erased, user, "left_anti")
+    return lookup_join(df, erased, [user], "left_anti")
 
 
 def erase_events(requests: DataFrame, at: Column) -> DataFrame:

@@ -114,9 +114,12 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, threshold: float) -> Data
 
 def describe_hits(hits: DataFrame, measured: DataFrame) -> DataFrame:
     """Hits with the purpose, complexity, lines and maintainability of their nodes."""
+    kind = F.col("kind")
+    title = F.when(kind == "func", "Function").otherwise(F.initcap(kind))
+    named = F.when(kind == "file", F.col("path")).otherwise(F.col("name"))
     facts = measured.select(
         F.col("code_id").alias("id"),
-        F.concat(F.initcap("kind"), F.lit(": "), "name").alias("purpose"),
+        F.concat_ws(": ", title, named).alias("purpose"),
         "cyclomatic",
         "loc",
         "maintainability",

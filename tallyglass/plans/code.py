@@ -351,7 +351,8 @@ def node_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT node_id, passed FROM results WHERE node_id NOT IN (SELECT code_id FROM changed)""",
 )
 def valid_test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.valid_test_results(results(spark, sf_dir), changes(spark, sf_dir))
+    changed = stored(changes(spark, sf_dir).select("code_id"), "changes")
+    return graph.valid_test_results(results(spark, sf_dir), changed)
 
 
 @query(

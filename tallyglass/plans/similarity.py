@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import similarity as s
+from ..session import stored
+from .code import measured
+from .corpus import NODES_SQL
 from .registry import query, rounded, table
 
 THRESHOLD = 0.3
@@ -56,6 +59,27 @@ def similar_code_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hits, "similarity", digits=6)
 
 
+@query(
+    "similar_code_described",
+    f"""WITH {NODES_SQL} SELECT code_id AS query_id, code_id AS id, 1.0::DOUBLE AS similarity,
+  'Class: ' || split_part(code_id, ':', 2) AS purpose, cyclomatic, loc,
+  round(maintainability, 6) AS maintainability FROM latest WHERE kind = 'class'""",
+)
+def similar_code_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class searched in the encoded corpus; only itself is this close."""
+    rows = stored(measured(spark, sf_dir).drop("events"), "measured")
+    encoded = stored(
+        s.encode_model(
+            rows.select("code_id", "kind", "code"), "code_id", "code", s.hashing_model(256)
+        ),
+        "encoded",
+    )
+    classes = rows.where(F.col("kind") == "class").select("code_id")
+    wanted = encoded.join(classes, "code_id").withColumnRenamed("code_id", "query_id")
+    hits = s.similar_code(encoded.withColumnRenamed("code_id", "id"), wanted, 0.99999)
+    return rounded(s.describe_hits(hits, rows), "similarity", "maintainability", digits=6)
+
+
 def _weights_sql(width: int) -> str:
     return rf"""words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]')) AS token
   FROM documents),
