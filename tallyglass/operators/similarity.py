@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from ..functions.skew import lookup_join, newest_rows, salted_join
 
 MAX_BROADCAST_QUERIES = 4_096
-_CORPUS_BLOCK = 50_000
+_CORPUS_BLOCK = 10_000
+_ROWS_AT_ONCE = 1_024
 HITS = "query_id string, id string, similarity double"
 
 
@@ -35,6 +36,19 @@ def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left @ right.T) / np.maximum(norms, 1e-8)
 
 
+def _hits(
+    corpus: np.ndarray, wanted: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both matrices at least as similar as the threshold, and how similar."""
+    found = [(np.array([], int), np.array([], int), np.array([], float))]
+    for start in range(0, len(corpus), _ROWS_AT_ONCE):
+        scores = _cosines(corpus[start : start + _ROWS_AT_ONCE], wanted)
+        at, which = np.nonzero(scores >= threshold)
+        found.append((at + start, which, scores[at, which]))
+    rows, columns, values = (np.concatenate(part) for part in zip(*found))
+    return rows, columns, values
+
+
 def similar_code(
     vectors: DataFrame, queries: DataFrame, threshold: float = 0.8, top: int | None = None
 ) -> DataFrame:
@@ -67,13 +81,12 @@ def _by_scan(vectors: DataFrame, queries: list[tuple], threshold: float) -> Data
         for batch in batches:
             if not len(batch) or not len(names):
                 continue
-            scores = _cosines(_matrix(batch.column(1)), wanted)
-            at, which = np.nonzero(scores >= threshold)
+            at, which, scores = _hits(_matrix(batch.column(1)), wanted, threshold)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names[which], pa.string()),
                     batch.column(0).take(pa.array(at)),
-                    pa.array(scores[at, which]),
+                    pa.array(scores),
                 ],
                 names=["query_id", "id", "similarity"],
             )
@@ -97,13 +110,14 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, threshold: float) -> Data
     def cell(corpus: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if corpus.empty or wanted.empty:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        scores = _cosines(_matrix(corpus["embedding"]), _matrix(wanted["embedding"]))
-        at, which = np.nonzero(scores >= threshold)
+        at, which, scores = _hits(
+            _matrix(corpus["embedding"]), _matrix(wanted["embedding"]), threshold
+        )
         return pd.DataFrame(
             {
                 "query_id": wanted["query_id"].to_numpy()[which],
                 "id": corpus["id"].to_numpy()[at],
-                "similarity": scores[at, which],
+                "similarity": scores,
             }
         )
 

@@ -12,11 +12,11 @@ import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import open_root
 from .registry import table
 
 BLOCK = 500
@@ -73,10 +73,9 @@ def corpus_files(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFram
 def write_files(files: DataFrame, folder: str, zipped: bool = False) -> None:
     """Write each file of ``(path, content)`` below a folder, or as an archive of its own."""
 
+    system, inner, _ = open_root(folder)
+
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, inner = (
-            fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-        )
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data, target = content.encode(), inner + path

@@ -38,12 +38,13 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     The setting names storage every executor can reach.  Only a local session
     without the setting gets a temporary folder of its own.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         shared = tempfile.mkdtemp(prefix="tallyglass-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        context.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/tallyglass/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -18,10 +18,12 @@ _PATHS = "path string"
 _FILES = "path string, content string"
 
 
-def _open_root(root: str) -> tuple[fs.FileSystem, str, str]:
+def open_root(root: str) -> tuple[fs.FileSystem, str, str]:
     """File system of a folder, its path there, and what full paths start with."""
     root = root.rstrip("/")
-    if "://" not in root and not root.startswith("file:"):
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = root.removeprefix("file:")
+    if "://" not in root:
         return fs.LocalFileSystem(), root, ""
     system, inner = fs.FileSystem.from_uri(root)
     return system, inner, root[: len(root) - len(inner)] if root.endswith(inner) else ""
@@ -72,7 +74,7 @@ def _batch(path: str, content: str | None) -> pa.RecordBatch:
 
 def source_scan(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
     """Every file with the suffix below a folder."""
-    system, inner, prefix = _open_root(root)
+    system, inner, prefix = open_root(root)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +89,7 @@ def archive_scan(spark: SparkSession, root: str, suffix: str = ".py") -> DataFra
 
     Member names are only data: nothing is extracted to disk.
     """
-    system, inner, prefix = _open_root(root)
+    system, inner, prefix = open_root(root)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import hmac
 import zipfile
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyglass.functions.text import hmac_sha256, token_counts
 from tallyglass.operators import billing, licenses, monitoring, privacy, recorders, similarity
 from tallyglass.operators import timeseries as ts
+from tallyglass.session import work_folder
 from tallyglass.sources import files, sinks
 
 START = dt.datetime(2024, 5, 1)
@@ -246,6 +248,7 @@ def test_similar_code_on_both_paths(spark, monkeypatch, most):
     corpus[0] = 0
     monkeypatch.setattr(similarity, "MAX_BROADCAST_QUERIES", most)
     monkeypatch.setattr(similarity, "_CORPUS_BLOCK", 25)
+    monkeypatch.setattr(similarity, "_ROWS_AT_ONCE", 7)
     schema = "{} string, embedding array<float>"
     vectors = spark.createDataFrame(
         [(f"v{i}", [float(x) for x in v]) for i, v in enumerate(corpus)], schema.format("id")
@@ -261,6 +264,50 @@ def test_similar_code_on_both_paths(spark, monkeypatch, most):
     assert top.count() == 18
 
 
+def test_describe_hits(spark):
+    hits = spark.createDataFrame(
+        [("q", "func:f", 0.9), ("q", "file:a.py", 0.8)],
+        "query_id string, id string, similarity double",
+    )
+    nodes = spark.createDataFrame(
+        [("func:f", "func", "f", "x/a.py", 2, 3, 50.0), ("file:a.py", "file", "a.py", "x/a.py", 1, 9, 60.0)],
+        "code_id string, kind string, name string, path string, cyclomatic int, loc int, "
+        "maintainability double",
+    )
+    got = {r.id: (r.purpose, r.loc) for r in similarity.describe_hits(hits, nodes).collect()}
+    assert got == {"func:f": ("Function: f", 3), "file:a.py": ("File: x/a.py", 9)}
+
+
+@pytest.mark.parametrize(
+    "setting, own, master, expected",
+    [
+        ("/shared/x/", None, "spark://host", "/shared/x/tallyglass/p-"),
+        (None, "file:/cp", "spark://host", "file:/cp/tallyglass/p-"),
+        (None, None, "local[2]", "/tmp/"),
+        (None, None, "spark://host", None),
+    ],
+)
+def test_work_folder_follows_the_session(monkeypatch, setting, own, master, expected):
+    monkeypatch.setattr("tempfile.mkdtemp", lambda prefix: f"/tmp/{prefix}")
+    chosen = []
+    context = SimpleNamespace(
+        master=master, getCheckpointDir=lambda: own, setCheckpointDir=chosen.append
+    )
+    conf = SimpleNamespace(get=lambda key, default: setting)
+    session = SimpleNamespace(conf=conf, sparkContext=context)
+    if expected is None:
+        with pytest.raises(ValueError):
+            work_folder(session, "p")
+    else:
+        assert work_folder(session, "p").startswith(expected)
+    assert bool(chosen) == (expected == "/tmp/")
+
+
+def test_open_root_understands_local_uris():
+    for root in ("/a/b/", "file:/a/b", "file:///a/b"):
+        assert files.open_root(root)[1] == "/a/b"
+
+
 def test_encode_incremental_reuses_and_encodes_once(spark):
     snippets = spark.createDataFrame(
         [(1, "a b"), (2, "a b"), (3, "c"), (4, "")], "id int, code string"
