@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import monitoring
 from ..session import work_folder
@@ -33,12 +34,24 @@ def arriving_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run(spark: SparkSession, writer: DataStreamWriter) -> None:
+    """Run to the end; a local session keeps no more state partitions than threads."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        windows.run_available(writer)
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_windows(
     spark: SparkSession, sf_dir: str, size: str, step: str | None, delay: str
 ) -> DataFrame:
     folder = work_folder(spark, "window-stats")
     freq = windows.window_frequency(arriving_points(spark, sf_dir), size, step, delay)
-    windows.run_available(windows.stats_writer(freq, folder, work_folder(spark, "progress")))
+    run(spark, windows.stats_writer(freq, folder, work_folder(spark, "progress")))
     stats = spark.read.parquet(folder).drop("batch")
     return rounded(stats, *FLOATS)
 
@@ -88,7 +101,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = live.stream_alerts(samples, monitoring.alert_rules(spark))
     progress = work_folder(spark, "progress")
-    windows.run_available(live.alert_writer(found, [broken, store], progress))
+    run(spark, live.alert_writer(found, [broken, store], progress))
     return spark.read.parquet(folder).select("alert_id", "severity", "title")
 
 
@@ -99,9 +112,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "audit")
     unique = live.stream_dedup(twice)
     writer = unique.writeStream.format("parquet").option("path", folder)
-    windows.run_available(
-        writer.option("checkpointLocation", work_folder(spark, "progress"))
-    )
+    run(spark, writer.option("checkpointLocation", work_folder(spark, "progress")))
     return spark.read.schema(events.schema).parquet(folder)
 
 
@@ -120,8 +131,6 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "decisions")
     decided = live.stream_rate_limit(attempts, window_seconds=12 * 3600)
     writer = decided.writeStream.format("parquet").option("path", folder)
-    windows.run_available(
-        writer.option("checkpointLocation", work_folder(spark, "progress"))
-    )
+    run(spark, writer.option("checkpointLocation", work_folder(spark, "progress")))
     stored = spark.read.schema(decided.schema).parquet(folder)
     return stored.select("identifier", "attempt_id", "allowed")
