@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    exact_dedup,
     license_scan,
+    near_dups,
     packing,
     quality_model,
     quality_rules,
@@ -202,6 +204,38 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op8_exact_dedup",
+    r"""
+    WITH bodies AS (
+        SELECT doc_id, length(coalesce(text, '')) AS points,
+            regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+        FROM documents),
+    ranked AS (
+        SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id,
+            count(*) OVER (PARTITION BY body) AS group_size
+        FROM bodies WINDOW w AS (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST))
+    SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256
+    FROM ranked
+    """,
+)
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = exact_dedup.dedup(texts(spark, sf_dir))
+    return decided.select(
+        F.col("id").alias("doc_id"),
+        "keep_id",
+        "group_size",
+        "kept",
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
+@query("op9_dart_minhash")
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.near_duplicates(texts(spark, sf_dir))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query("op10_quality_model")
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir)
