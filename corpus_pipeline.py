@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tallyglass.llm import bpe, packing, quality_model, quality_rules
+from tallyglass.llm import bpe, exact_dedup, near_dups, packing, quality_model, quality_rules
 from tallyglass.llm.queries import LEAST_QUALITY, WORD_FILE, train_labels, vocabulary
+from tallyglass.llm.ragged import where_made
 from tallyglass.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,18 +17,34 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels, does not reject."""
     model = quality_model.fit(docs, train_labels(spark, sf_dir), "quality")
-    scored = quality_model.score(docs, model, out="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+
+    def good(rows: DataFrame, text: str) -> DataFrame:
+        return quality_model.score(rows, model, text).where(F.col("score") >= LEAST_QUALITY)
+
+    return where_made(docs, "text", good)
 
 
 def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule of the newest policy."""
-    rows = quality_rules.ledger(docs, out="_failed")
-    return rows.where(~quality_rules.fails("2", "_failed")).select(*docs.columns)
+
+    def regular(rows: DataFrame, text: str) -> DataFrame:
+        return quality_rules.ledger(rows, text).where(~quality_rules.fails("2"))
+
+    return where_made(docs, "text", regular)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.without_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dups.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 4096 with the documents' pieces."""
+    """Token sequences of 4096: one row per piece of a document, with its ids."""
     coded = bpe.encode(docs, vocabulary(WORD_FILE), keep=["doc_id"])
     return packing.pack(coded, keep=["doc_id"])
 
@@ -35,6 +52,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", keep_good),
     ("quality_rules", keep_regular),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
     ("packing", pack),
 ]
 
@@ -43,6 +62,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -178,7 +178,8 @@ def _merge(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Classes (node, class) after links between classes; the smallest node names a class.
 
     Each class hooks to its smallest neighbour and chains of hooks are cut short, so the
-    rounds grow with the logarithm of the longest chain.
+    rounds grow with the logarithm of the longest chain.  Rows are two numbers; a class
+    with very many links is split by adaptive execution.
     """
     names = classes.select("node", "class")
     edges = links
@@ -191,21 +192,19 @@ def _merge(classes: DataFrame, links: DataFrame) -> DataFrame:
         hooks = _written(hooks, "hooks")
         while True:  # pointer jumping
             next_hop = hooks.select(F.col("from").alias("to"), F.col("to").alias("far"))
-            jumped = salted_join(hooks, next_hop, ["to"], "left").select(
+            jumped = hooks.join(next_hop, "to", "left").select(
                 "from", F.coalesce("far", "to").alias("far"), "to"
             )
             jumped = _written(jumped, "hooks")
             hooks = jumped.select("from", F.col("far").alias("to"))
             if not jumped.where(F.col("far") != F.col("to")).limit(1).count():
                 break
-        names = salted_join(
-            names.select("node", F.col("class").alias("from")), hooks, ["from"], "left"
-        ).select("node", F.coalesce("to", "from").alias("class"))
-        names = _written(names, "classes")
-        left = salted_join(edges.select(F.col("u").alias("from"), "v"), hooks, ["from"], "left")
-        left = left.select(F.coalesce("to", "from").alias("u"), F.col("v").alias("from"))
-        right = salted_join(left, hooks, ["from"], "left")
-        edges = right.select("u", F.coalesce("to", "from").alias("v")).where("u != v").distinct()
+        names = names.select("node", F.col("class").alias("from")).join(hooks, "from", "left")
+        names = _written(names.select("node", F.coalesce("to", "from").alias("class")), "classes")
+        for old, new in (("u", "v"), ("v", "u")):  # both ends, the other way round each time
+            edges = edges.select(F.col(old).alias("from"), new).join(hooks, "from", "left")
+            edges = edges.select(F.coalesce("to", "from").alias(old), new)
+        edges = edges.where("u != v").distinct()
         edges = _written(edges, "edges")
         if not edges.limit(1).count():
             return names
@@ -293,9 +292,9 @@ def _components(rows: DataFrame, nodes: DataFrame, text: str, settings: Settings
         links = _written(_similar(pairs, sets, settings), "links")
         if links.limit(1).count():
             class_of = lambda n: merged.select(F.col("node").alias(n), F.col("class"))
-            edges = salted_join(links, class_of("a"), ["a"]).select("b", F.col("class").alias("u"))
-            edges = salted_join(edges, class_of("b"), ["b"]).select("u", F.col("class").alias("v"))
-            merged = _merge(merged, edges)
+            edges = links.join(class_of("a"), "a").select("b", F.col("class").alias("u"))
+            edges = edges.join(class_of("b"), "b").select("u", F.col("class").alias("v"))
+            merged = _merge(merged, _written(edges.distinct(), "edges"))
         members = members.drop("class").join(
             leaders.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti"
         )

@@ -69,6 +69,17 @@ def with_columns(
     return out.toDF(*kept, *[f.name for f in adds])
 
 
+def where_made(df: DataFrame, column: str, make: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Rows and columns of ``df`` for which ``make`` keeps a row.
+
+    ``make`` gets the table with its columns renamed, so that what it adds cannot clash,
+    and the new name of ``column``; what it adds is dropped again.
+    """
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    made = make(df.toDF(*names), names[df.columns.index(column)])
+    return made.select(*names).toDF(*df.columns)
+
+
 def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows holding about ``most`` bytes in one column."""
     if batch.num_rows == 0:
