@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -193,8 +194,8 @@ def token_bucket(token: Column, buckets: int = 10_000) -> Column:
 def hmac_sha256(secret: str, message: Column) -> Column:
     """Keyed hash of a string column in built-in expressions (RFC 2104), as hex."""
     key = secret.encode()
-    if len(key) > 64:
-        raise ValueError("secrets longer than one 64-byte block are not supported")
+    if len(key) > 64:  # longer than a block: the key is the secret's digest
+        key = hashlib.sha256(key).digest()
     key = key.ljust(64, b"\0")
     inner = F.lit(bytes(b ^ 0x36 for b in key))
     outer = F.lit(bytes(b ^ 0x5C for b in key))

@@ -37,25 +37,36 @@ def audit_search(
     return found.orderBy(F.desc("ts"))
 
 
-def session_validity(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+def session_validity(
+    requests: DataFrame, sessions: DataFrame, ended: DataFrame | None = None
+) -> DataFrame:
     """Status of each request: unknown, ip_mismatch, expired or valid, first match wins.
 
-    A session may be asked for by a large share of all requests.
+    ``ended`` lists closed sessions (``session_id``, ``ended_at``); from then on a session
+    is unknown.  A request without an address does not match a session that has one.  A
+    session may be asked for by a large share of all requests.
     """
+    if ended is None:
+        sessions = sessions.withColumn("ended_at", F.lit(None).cast("timestamp_ntz"))
+    else:
+        first = ended.groupBy("session_id").agg(F.min("ended_at").alias("ended_at"))
+        sessions = sessions.join(first, "session_id", "left")
     known = sessions.select(
         "session_id",
+        F.lit(True).alias("_known"),
+        F.col("ended_at").alias("_ended"),
         "user_id",
         F.col("ip_address").alias("_ip"),
         (F.col("created_at") + seconds_interval(SESSION_SECONDS)).alias("expires_at"),
     )
     joined = lookup_join(requests, known, ["session_id"], "left")
     status = (
-        F.when(F.col("expires_at").isNull(), "unknown")
-        .when(F.col("_ip") != F.col("ip_address"), "ip_mismatch")
+        F.when(F.col("_known").isNull() | (F.col("ts") >= F.col("_ended")), "unknown")
+        .when(~F.col("_ip").eqNullSafe(F.col("ip_address")), "ip_mismatch")
         .when(F.col("ts") > F.col("expires_at"), "expired")
         .otherwise("valid")
     )
-    return joined.withColumn("status", status).drop("_ip")
+    return joined.withColumn("status", status).drop("_ip", "_known", "_ended")
 
 
 def session_violations(validity: DataFrame) -> DataFrame:

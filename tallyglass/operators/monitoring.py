@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.skew import small_side
 from ..functions.times import MICROS, epoch_micros
 
 # Upper bounds of duration buckets in seconds (fixed values; +Inf is added).
@@ -73,7 +74,7 @@ def log_search(
         found = found.where(F.col("level") == level.upper())
     if text:
         found = found.where(F.lower("message").contains(text.lower()))
-    return found.orderBy(F.desc("ts")).limit(limit)
+    return found.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
 
 
 def counters(samples: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -187,13 +188,11 @@ ALERT = [
 def breaches(samples: DataFrame, rules: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One alert row per sample and rule it breaks, before removing repeats.
 
-    Rules are a small list kept by people; the join leaves it to Spark to see
-    whether it can be sent to every task.
+    The samples never move: rules go to every task if a count shows them to be few.
     """
     second = F.floor(epoch_micros(F.col("ts")) / MICROS).cast("string")
-    hit = samples.select("metric", "ts", "value", *keep).join(
-        rules.where(F.col("condition").isNull()), "metric"
-    )
+    plain = small_side(rules.where(F.col("condition").isNull()))
+    hit = samples.select("metric", "ts", "value", *keep).join(plain, "metric")
     return hit.where(F.col("value") >= F.col("threshold")).select(
         F.concat("name", F.lit("_"), second).alias("alert_id"),
         "ts",
@@ -218,13 +217,14 @@ def alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
 def alerts_labelled(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules with a ``label=value`` condition against the counter of that label.
 
-    ``samples`` has a ``labels`` map; values are summed per rule before the test.
+    ``samples`` has a ``labels`` map; values are summed per rule before the test.  On a
+    stream the sum runs on, so a rule fires once its counter has reached the threshold.
     """
     parts = F.split("condition", "=", 2)
     labelled = rules.where(F.col("condition").isNotNull()).select(
         "*", parts[0].alias("_label"), parts[1].alias("_wanted")
     )
-    counted = samples.select("metric", "labels", "value").join(labelled, "metric")
+    counted = samples.select("metric", "labels", "value").join(small_side(labelled), "metric")
     counted = counted.where(F.try_element_at("labels", F.col("_label")) == F.col("_wanted"))
     totals = counted.groupBy("name", "metric", "condition", "severity", "threshold").agg(
         F.sum("value").alias("current_value")

@@ -18,7 +18,9 @@ from ..functions.times import (
 )
 
 SERIES = ["metric_name", "metric_type"]
-AGG_KEY = [*SERIES, "granularity", "ts"]
+# A stored table holds several granularities; rows of one never meet those of another.
+LEVEL = [*SERIES, "granularity"]
+AGG_KEY = [*LEVEL, "ts"]
 MOMENTS = ["count", "sum", "avg", "min", "max", "std"]
 STATS = [*MOMENTS, *PERCENTILES]
 
@@ -106,8 +108,8 @@ def trend_of(current: Column, previous: Column) -> Column:
 
 def trend(aggregates: DataFrame) -> DataFrame:
     """Latest average of each series against the one before it."""
-    last_two = newest_rows(aggregates.select(*SERIES, "ts", "avg"), SERIES, [F.desc("ts")], 2)
-    pairs = last_two.groupBy(*SERIES).agg(
+    last_two = newest_rows(aggregates.select(*AGG_KEY, "avg"), LEVEL, [F.desc("ts")], 2)
+    pairs = last_two.groupBy(*LEVEL).agg(
         F.max("ts").alias("ts"),
         F.max_by("avg", "ts").alias("current"),
         F.when(F.count(F.lit(1)) == 2, F.min_by("avg", "ts")).alias("previous"),
@@ -117,22 +119,22 @@ def trend(aggregates: DataFrame) -> DataFrame:
 
 def trend_series(aggregates: DataFrame) -> DataFrame:
     """The same comparison for every aggregate row of a series."""
-    rows = aggregates.select(*SERIES, "ts", F.col("avg").alias("current"))
+    rows = aggregates.select(*AGG_KEY, F.col("avg").alias("current"))
     slices = tumbling_start(F.col("ts"), "month")
-    compared = previous_value(rows, SERIES, "ts", "current", "previous", slices)
+    compared = previous_value(rows, LEVEL, "ts", "current", "previous", slices)
     return compared.withColumn("trend", trend_of(F.col("current"), F.col("previous")))
 
 
 def latest_distribution(aggregates: DataFrame) -> DataFrame:
-    """Distribution columns of the newest aggregate of each series."""
-    newest = newest_rows(aggregates, SERIES, [F.desc("ts")])
-    return newest.select(*SERIES, "ts", "min", "max", "avg", "std", *PERCENTILES)
+    """Distribution columns of the newest aggregate of each series and granularity."""
+    newest = newest_rows(aggregates, LEVEL, [F.desc("ts")])
+    return newest.select(*AGG_KEY, "min", "max", "avg", "std", *PERCENTILES)
 
 
 def usage_success(aggregates: DataFrame) -> DataFrame:
-    """Total, successful and success rate per series from tumbling aggregates."""
+    """Total, successful and success rate per series and granularity."""
     return (
-        aggregates.groupBy(*SERIES)
+        aggregates.groupBy(*LEVEL)
         .agg(F.sum("count").alias("total"), F.sum("sum").alias("successful"))
         .withColumn("success_rate", F.col("successful") / F.greatest("total", F.lit(1)))
     )
@@ -219,8 +221,8 @@ def metrics_report(aggregates: DataFrame, as_of: Column, hours: int = 24) -> Dat
 
 
 def recent_points(points: DataFrame, count: int = 20) -> DataFrame:
-    """Last ``count`` points of each chart series."""
-    newest = newest_rows(points, ["metric_name"], [F.desc("ts")], count)
+    """Last ``count`` points of each chart series; at equal times the larger values."""
+    newest = newest_rows(points, ["metric_name"], [F.desc("ts"), F.desc("value")], count)
     return newest.select("metric_name", "ts", "value")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import seconds_interval
 from ..operators import audit, privacy
 from .registry import at, query, table
 
@@ -42,13 +43,17 @@ SESSIONS_SQL = """sessions AS (
   FROM events WHERE event_type = 'signup'),
 requests AS (
   SELECT event_id AS request_id, event_id - event_id * 7 % 997 AS session_id,
-    '10.0.0.' || (event_id % 2) AS ip_address, ts
+    CASE WHEN event_id % 11 <> 0 THEN '10.0.0.' || (event_id % 2) END AS ip_address, ts
   FROM events WHERE event_type <> 'signup'),
+ended AS (SELECT event_id AS session_id, ts + INTERVAL 1 HOUR AS ended_at
+  FROM events WHERE event_type = 'signup' AND event_id % 5 = 0),
 checked AS (
   SELECT request_id, r.session_id, ip_address, ts, s.user_id,
-    CASE WHEN s.session_id IS NULL THEN 'unknown' WHEN s.ip <> ip_address THEN 'ip_mismatch'
+    CASE WHEN s.session_id IS NULL OR ts >= ended_at THEN 'unknown'
+      WHEN s.ip IS DISTINCT FROM ip_address THEN 'ip_mismatch'
       WHEN ts > created_at + INTERVAL 24 HOUR THEN 'expired' ELSE 'valid' END AS status
-  FROM requests r LEFT JOIN sessions s ON r.session_id = s.session_id)"""
+  FROM requests r LEFT JOIN sessions s ON r.session_id = s.session_id
+    LEFT JOIN ended e ON r.session_id = e.session_id)"""
 
 
 def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +67,16 @@ def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = events.where(F.col("event_type") != "signup").select(
         F.col("event_id").alias("request_id"),
         (F.col("event_id") - F.col("event_id") * 7 % 997).alias("session_id"),
-        F.concat(F.lit("10.0.0."), (F.col("event_id") % 2).cast("string")).alias("ip_address"),
+        F.when(
+            F.col("event_id") % 11 != 0,
+            F.concat(F.lit("10.0.0."), (F.col("event_id") % 2).cast("string")),
+        ).alias("ip_address"),
         "ts",
     )
-    return audit.session_validity(requests, sessions)
+    ended = sessions.where(F.col("session_id") % 5 == 0).select(
+        "session_id", (F.col("created_at") + seconds_interval(3600)).alias("ended_at")
+    )
+    return audit.session_validity(requests, sessions, ended)
 
 
 @query(

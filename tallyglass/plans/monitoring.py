@@ -31,7 +31,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "log_search",
     f"""WITH {LOGS_SQL} SELECT * FROM logs
 WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' AND level = 'ERROR'
-ORDER BY ts DESC LIMIT 1000""",
+ORDER BY ts DESC, event_id DESC LIMIT 1000""",
 )
 def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.log_search(logs(spark, sf_dir), at(START), at(END), "ERROR")
@@ -42,7 +42,7 @@ def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {LOGS_SQL} SELECT * FROM logs
 WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' AND level = 'INFO'
   AND contains(lower(message), 'purchase')
-ORDER BY ts DESC LIMIT 100""",
+ORDER BY ts DESC, event_id DESC LIMIT 100""",
 )
 def log_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.log_search(logs(spark, sf_dir), at(START), at(END), "info", "Purchase", 100)
@@ -59,13 +59,26 @@ def metrics_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.metrics_read(spark, folder)
 
 
+@query(
+    "metrics_read_range",
+    f"""SELECT ts, {TYPE_SQL} AS metric_type, event_type AS metric_name, value, props AS metadata,
+  '{{"user_id":"' || user_id || '"}}' AS tags FROM events
+WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-07 12:00:00'""",
+)
+def metrics_read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the folders of three days are read."""
+    folder = work_folder(spark, "metrics")
+    sinks.metrics_append(metric_points(spark, sf_dir), folder)
+    return sinks.metrics_read(spark, folder, at("2024-01-05 06:00:00"), at("2024-01-07 12:00:00"))
+
+
 @query("log_append", f"WITH {LOGS_SQL} SELECT * FROM logs")
 def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "logs")
     rows = logs(spark, sf_dir)
     sinks.log_append(rows.where(F.col("level") == "ERROR"), folder)
     sinks.log_append(rows.union(rows), folder)
-    return spark.read.schema(rows.schema).parquet(folder)
+    return sinks.log_read(spark, folder, rows.schema)
 
 
 REQUESTS_SQL = """requests AS (SELECT ts, event_id, 'requests_total' AS metric,
@@ -303,7 +316,7 @@ def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "profile_summary_latest",
     f"""WITH {PROFILES_SQL} {SUMMARY_SQL}
-FROM (SELECT * FROM profiles ORDER BY ts DESC LIMIT 1000) GROUP BY operation""",
+FROM (SELECT * FROM profiles ORDER BY ts DESC, event_id DESC LIMIT 1000) GROUP BY operation""",
 )
 def profile_summary_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profiles.profile_summary(run_profiles(spark, sf_dir), last=1000)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.times import GRANULARITY_SECONDS, seconds_interval, tumbling_start
 from ..operators import timeseries as ts
+from ..session import work_folder
+from ..sources import sinks
 from .fixtures import POINTS_SQL, RECORDED_SQL, metric_points, recorded_points
 from .registry import at, query, rounded, table
 
@@ -37,6 +39,8 @@ def tumbling_sql(granularity: str, source: str = "points", name: str = "aggs") -
 
 HOURLY = f"WITH {POINTS_SQL}, {tumbling_sql('hour')}"
 DAILY = f"WITH {POINTS_SQL}, {tumbling_sql('day')}"
+MIXED = f"""WITH {POINTS_SQL}, {tumbling_sql('hour', name='hours')}, {tumbling_sql('day', name='days')},
+aggs AS (SELECT * FROM hours UNION ALL SELECT * FROM days)"""
 KEY_SQL = "metric_name, metric_type, granularity, ts"
 MINUTES = f"WITH {RECORDED_SQL}, {tumbling_sql('minute', 'recorded')}"
 
@@ -45,8 +49,12 @@ def hourly(spark: SparkSession, sf_dir: str, percentiles: bool = True) -> DataFr
     return ts.aggregate_tumbling(metric_points(spark, sf_dir), "hour", percentiles)
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.aggregate_tumbling(metric_points(spark, sf_dir), "day")
+def mixed(spark: SparkSession, sf_dir: str, percentiles: bool = True) -> DataFrame:
+    """Hourly and daily aggregates in one table."""
+    points = metric_points(spark, sf_dir)
+    return ts.aggregate_tumbling(points, "hour", percentiles).unionByName(
+        ts.aggregate_tumbling(points, "day", percentiles)
+    )
 
 
 def by_minute(spark: SparkSession, sf_dir: str, percentiles: bool = True) -> DataFrame:
@@ -121,8 +129,14 @@ def upsert_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value", F.col("value") * 2
     )
     fresh = ts.aggregate_tumbling(doubled, "day", False)
-    merged = ts.upsert_aggregates(stored, fresh).select(*ts.AGG_KEY, "count", "sum")
-    return rounded(merged, "sum", digits=6)
+    folder = work_folder(spark, "aggregates")
+    for part in (stored, fresh):
+        # Each in two runs, so that runs meet in the same days.
+        for type_is_usage in (True, False):
+            some = part.where((F.col("metric_type") == "usage") == type_is_usage)
+            sinks.aggregates_write(some, folder)
+    merged = sinks.aggregates_read(spark, folder, stored.schema)
+    return rounded(merged.select(*ts.AGG_KEY, "count", "sum"), "sum", digits=6)
 
 
 @query(
@@ -145,29 +159,31 @@ def metric_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TREND_SQL = """CASE WHEN current > previous * 1.1 THEN 'increasing'
   WHEN current < previous * 0.9 THEN 'decreasing' ELSE 'stable' END"""
-SERIES_SQL = """series AS (SELECT metric_name, metric_type, ts, avg AS current,
-  lag(avg) OVER (PARTITION BY metric_name, metric_type ORDER BY ts) AS previous FROM aggs)"""
+SERIES_SQL = """series AS (SELECT metric_name, metric_type, granularity, ts, avg AS current,
+  lag(avg) OVER (PARTITION BY metric_name, metric_type, granularity ORDER BY ts) AS previous
+  FROM aggs)"""
 
 
 @query(
     "trend",
-    f"""{HOURLY}, {SERIES_SQL}
-SELECT metric_name, metric_type, ts, round(current, 8) AS current,
+    f"""{MIXED}, {SERIES_SQL}
+SELECT metric_name, metric_type, granularity, ts, round(current, 8) AS current,
   round(previous, 8) AS previous, {TREND_SQL} AS trend
-FROM series QUALIFY row_number() OVER (PARTITION BY metric_name, metric_type ORDER BY ts DESC) = 1""",
+FROM series QUALIFY row_number() OVER (
+  PARTITION BY metric_name, metric_type, granularity ORDER BY ts DESC) = 1""",
 )
 def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ts.trend(hourly(spark, sf_dir, False)), "current", "previous")
+    return rounded(ts.trend(mixed(spark, sf_dir, False)), "current", "previous")
 
 
 @query(
     "trend_series",
-    f"""{HOURLY}, {SERIES_SQL}
-SELECT metric_name, metric_type, ts, round(current, 8) AS current,
+    f"""{MIXED}, {SERIES_SQL}
+SELECT metric_name, metric_type, granularity, ts, round(current, 8) AS current,
   round(previous, 8) AS previous, {TREND_SQL} AS trend FROM series""",
 )
 def trend_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ts.trend_series(hourly(spark, sf_dir, False)), "current", "previous")
+    return rounded(ts.trend_series(mixed(spark, sf_dir, False)), "current", "previous")
 
 
 DISTRIBUTION = [c for c in FLOATS if c != "sum"]
@@ -175,24 +191,27 @@ DISTRIBUTION = [c for c in FLOATS if c != "sum"]
 
 @query(
     "latest_distribution",
-    f"""{DAILY} SELECT metric_name, metric_type, ts,
+    f"""{MIXED} SELECT {KEY_SQL},
   {", ".join(f"round({c}, 8) AS {c}" for c in DISTRIBUTION)}
-FROM aggs QUALIFY row_number() OVER (PARTITION BY metric_name, metric_type ORDER BY ts DESC) = 1""",
+FROM aggs QUALIFY row_number() OVER (
+  PARTITION BY metric_name, metric_type, granularity ORDER BY ts DESC) = 1""",
 )
 def latest_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ts.latest_distribution(daily(spark, sf_dir)), *DISTRIBUTION)
+    return rounded(ts.latest_distribution(mixed(spark, sf_dir)), *DISTRIBUTION)
 
 
 @query(
     "usage_success",
     f"""WITH {RECORDED_SQL}
-SELECT metric_name, metric_type, count(*) AS total, sum(value) AS successful,
+SELECT metric_name, metric_type, granularity, count(*) AS total, sum(value) AS successful,
   round(sum(value) / greatest(count(*), 1), 8) AS success_rate
-FROM recorded WHERE metric_type = 'usage' GROUP BY metric_name, metric_type""",
+FROM recorded, (VALUES ('hour'), ('day')) AS levels(granularity)
+WHERE metric_type = 'usage' GROUP BY metric_name, metric_type, granularity""",
 )
 def usage_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = recorded_points(spark, sf_dir).where(F.col("metric_type") == "usage")
-    return rounded(ts.usage_success(ts.aggregate_tumbling(usage, "hour", False)), "success_rate")
+    levels = [ts.aggregate_tumbling(usage, level, False) for level in ("hour", "day")]
+    return rounded(ts.usage_success(levels[0].unionByName(levels[1])), "success_rate")
 
 
 @query(
@@ -267,7 +286,7 @@ def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "recent_points",
     """SELECT event_type AS metric_name, ts, value FROM events
-QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) <= 20""",
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) <= 20""",
 )
 def recent_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.recent_points(metric_points(spark, sf_dir))

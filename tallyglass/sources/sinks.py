@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
+
+from ..operators.timeseries import upsert_aggregates
+from ..session import stored as merged_version
 
 
 def graph_save(folder: str, **tables: DataFrame) -> None:
@@ -35,37 +39,77 @@ def _as_json(column: str):
 
 
 def metrics_append(points: DataFrame, folder: str) -> None:
-    """Append points; one folder per metric type, tags as JSON."""
-    stored = points.withColumn("tags", _as_json("tags"))
-    stored.write.mode("append").partitionBy("metric_type").parquet(folder)
+    """Append points; one folder per metric type and day, tags as JSON."""
+    stored = points.withColumn("tags", _as_json("tags")).withColumn("date", F.to_date("ts"))
+    stored.write.mode("append").partitionBy("metric_type", "date").parquet(folder)
 
 
-def metrics_read(spark: SparkSession, folder: str) -> DataFrame:
+def metrics_read(
+    spark: SparkSession, folder: str, start: Column | None = None, end: Column | None = None
+) -> DataFrame:
+    """Stored points, between two times (inclusive) if given; only their days are read."""
     schema = (
         "ts timestamp_ntz, metric_name string, value double, metadata string, tags string, "
-        "metric_type string"
+        "metric_type string, date date"
     )
-    return spark.read.schema(schema).parquet(folder)
+    points = spark.read.schema(schema).parquet(folder)
+    if start is not None:
+        points = points.where((F.col("date") >= F.to_date(start)) & (F.col("ts") >= start))
+    if end is not None:
+        points = points.where((F.col("date") <= F.to_date(end)) & (F.col("ts") <= end))
+    return points.drop("date")
 
 
-def log_append(events: DataFrame, folder: str, key: str = "event_id") -> None:
-    """Append events whose id is neither stored nor repeated within the batch."""
-    fresh = events.dropDuplicates([key])
-    spark = events.sparkSession
+def _stored(spark: SparkSession, folder: str, schema: StructType) -> DataFrame | None:
+    """The table in a folder, or nothing if the folder does not exist yet."""
     try:
-        stored = spark.read.schema(events.schema).parquet(folder).select(key)
-        fresh = fresh.join(stored, key, "left_anti")
-    except AnalysisException:
-        pass  # nothing stored yet
-    fresh.write.mode("append").parquet(folder)
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def log_append(events: DataFrame, folder: str, key: str = "event_id") -> None:
+    """Append events whose id is neither stored nor repeated within the batch.
+
+    One folder per day; an id belongs to one time, so only the days of the batch are
+    searched for stored ids.
+    """
+    dated = events.dropDuplicates([key]).withColumn("date", F.to_date("ts"))
+    stored = _stored(events.sparkSession, folder, dated.schema)
+    if stored is not None:
+        days = F.broadcast(dated.select("date").distinct())  # at most a row a day
+        known = stored.select("date", key).join(days, "date", "left_semi")
+        dated = dated.join(known.select(key), key, "left_anti")
+    dated.write.mode("append").partitionBy("date").parquet(folder)
+
+
+def log_read(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    dated = StructType([*schema.fields, StructField("date", DateType())])
+    return spark.read.schema(dated).parquet(folder).drop("date")
 
 
 def aggregates_write(aggregates: DataFrame, folder: str) -> None:
-    """Replace the stored days that the aggregates cover, leaving other days alone."""
+    """Merge aggregates into the stored ones: a row replaces the one with its key.
+
+    Days the aggregates touch are merged into a new version, which is written in full
+    before it takes their place; other days and other series of those days stay.
+    """
     dated = aggregates.withColumn("date", F.to_date("ts"))
+    stored = _stored(aggregates.sparkSession, folder, dated.schema)
+    if stored is not None:
+        touched = F.broadcast(dated.select("granularity", "date").distinct())
+        same_days = stored.join(touched, ["granularity", "date"], "left_semi")
+        dated = merged_version(upsert_aggregates(same_days, dated), "aggregates")
     (
         dated.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("granularity", "date")
         .parquet(folder)
     )
+
+
+def aggregates_read(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    dated = StructType([*schema.fields, StructField("date", DateType())])
+    return spark.read.schema(dated).parquet(folder).drop("date")

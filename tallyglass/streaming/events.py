@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.times import MICROS, epoch_micros, event_time
 from ..operators.audit import MAX_ATTEMPTS, RATE_SECONDS, AttemptWindow
-from ..operators.monitoring import breaches
+from ..operators.monitoring import ALERT, alerts_labelled, breaches
 
 log = logging.getLogger(__name__)
 
@@ -22,20 +22,40 @@ Channel = Callable[[DataFrame, int], None]
 
 
 def stream_alerts(samples: DataFrame, rules: DataFrame, delay: str = "2 minutes") -> DataFrame:
-    """Alerts of an arriving sample stream, each id once."""
+    """Alerts of an arriving sample stream: the earliest breach of each rule and second.
+
+    An alert comes out when the watermark passes its second, so the order of arrival does
+    not matter; rows later than ``delay`` are dropped.
+    """
     timed = samples.withColumn("_at", event_time(F.col("ts"))).withWatermark("_at", delay)
     found = breaches(timed, rules, keep=["_at"])
-    return found.dropDuplicatesWithinWatermark(["alert_id"]).drop("_at")
+    first = F.min_by(F.struct(*ALERT[1:]), F.struct("ts", "current_value")).alias("_a")
+    second = F.window("_at", "1 second").alias("_second")
+    return found.groupBy(second, "alert_id").agg(first).select("alert_id", "_a.*")
+
+
+def stream_alerts_labelled(samples: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules with a label condition on arriving samples, in update mode.
+
+    State is one running sum per rule; a rule comes out in every batch that moves its sum
+    at or above the threshold.
+    """
+    return alerts_labelled(samples, rules)
 
 
 def alert_writer(
-    alerts: DataFrame, channels: Sequence[Channel], checkpoint: str
+    alerts: DataFrame, store: Channel, channels: Sequence[Channel], checkpoint: str
 ) -> DataStreamWriter:
-    """Hand every batch of alerts to all channels; a failing one does not stop the rest."""
+    """Store every batch of alerts, then hand it to all channels.
+
+    A failed store fails the batch, which is then repeated.  A failing channel is logged
+    and does not stop the rest.
+    """
 
     def deliver(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         try:
+            store(kept, number)
             for channel in channels:
                 try:
                     channel(kept, number)

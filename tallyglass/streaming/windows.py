@@ -64,6 +64,34 @@ def stats_writer(freq: DataFrame, folder: str, checkpoint: str) -> DataStreamWri
     )
 
 
+# Ids and value of the row that ends a replay; no rule or window of the data holds them.
+CLOSING_ID = -1
+CLOSING_VALUE = -1.7e308
+
+
+def replay(events: DataFrame, folder: str, pieces: int = 4, after_days: int = 400) -> None:
+    """Write a finite table as a folder that a stream reads to its very end.
+
+    The rows are cut into ``pieces`` files by time.  A last file holds one row, a copy of
+    the newest event with id and user -1, a value no rule reaches and a time ``after_days``
+    later: it moves the watermark past all events, so that no window stays open.  A table
+    without times raises an error instead of giving an empty stream.
+    """
+    newest = events.where(F.col("ts").isNotNull()).orderBy(F.desc("ts")).limit(1)
+    if not newest.count():
+        raise ValueError("there are no events to replay")
+    events.repartitionByRange(pieces, "ts").write.parquet(folder)
+    closing = newest.withColumns(
+        {
+            "ts": F.col("ts") + F.make_dt_interval(days=F.lit(after_days)),
+            "event_id": F.lit(CLOSING_ID).cast(events.schema["event_id"].dataType),
+            "user_id": F.lit(CLOSING_ID).cast(events.schema["user_id"].dataType),
+            "value": F.lit(CLOSING_VALUE),
+        }
+    )
+    closing.select(*events.columns).write.mode("append").parquet(folder)
+
+
 def run_available(writer: DataStreamWriter) -> None:
     """Process all data there is, then stop."""
     writer.trigger(availableNow=True).start().awaitTermination()

@@ -8,9 +8,10 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from tallyglass.functions.text import hmac_sha256, token_counts
-from tallyglass.operators import billing, licenses, monitoring, privacy, recorders, similarity
+from tallyglass.operators import audit, billing, licenses, monitoring, privacy, recorders, similarity
 from tallyglass.operators import timeseries as ts
 from tallyglass.session import work_folder
 from tallyglass.sources import files, sinks
@@ -57,21 +58,91 @@ def test_archive_scan(spark, tmp_path):
 
 def test_log_append_is_unique_across_and_within_batches(spark, tmp_path):
     folder = str(tmp_path / "log")
-    first = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "event_id string, n int")
-    second = spark.createDataFrame([("b", 2), ("c", 3)], "event_id string, n int")
+    schema = "event_id string, ts timestamp_ntz"
+    day = dt.timedelta(days=1)
+    rows = {"a": START, "b": START + day, "c": START + 2 * day}
+    first = spark.createDataFrame([(i, rows[i]) for i in "aba"], schema)
+    second = spark.createDataFrame([(i, rows[i]) for i in "bc"], schema)
     sinks.log_append(first, folder)
     sinks.log_append(second, folder)
-    assert sorted(r.event_id for r in spark.read.parquet(folder).collect()) == ["a", "b", "c"]
+    back = sinks.log_read(spark, folder, first.schema)
+    assert sorted(r.event_id for r in back.collect()) == ["a", "b", "c"]
+    assert "PartitionFilters: [isnotnull(date" in plan_of(
+        spark.read.parquet(folder).where("date = DATE '2024-05-02'")
+    )
+
+
+def test_log_append_does_not_hide_other_errors(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", START)], "event_id string, ts timestamp_ntz")
+    sinks.log_append(rows, folder)
+    with pytest.raises(AnalysisException):
+        sinks.log_append(rows.withColumnRenamed("event_id", "id"), folder)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
 
 
-def test_aggregates_write_replaces_only_its_days(spark, tmp_path):
+def test_points_of_a_time_range_prune_days(spark, tmp_path):
+    folder = str(tmp_path / "points")
+    day = dt.timedelta(days=1)
+    points = spark.createDataFrame(
+        [(START + n * day, "m", float(n), None, {}, "t") for n in range(5)],
+        "ts timestamp_ntz, metric_name string, value double, metadata string, "
+        "tags map<string,string>, metric_type string",
+    )
+    sinks.metrics_append(points, folder)
+    some = sinks.metrics_read(spark, folder, F.lit(START + day), F.lit(START + 2 * day))
+    assert sorted(r["value"] for r in some.collect()) == [1.0, 2.0]
+    assert "PartitionFilters: [isnotnull(date" in plan_of(some)
+
+
+def test_aggregates_write_loses_nothing(spark, tmp_path):
     folder = str(tmp_path / "aggs")
-    schema = "metric_name string, granularity string, ts timestamp_ntz, count long"
+    schema = "metric_name string, metric_type string, granularity string, ts timestamp_ntz, count long"
     day = dt.timedelta(days=1)
-    old = [("m", "hour", START, 1), ("m", "hour", START + day, 2)]
-    sinks.aggregates_write(spark.createDataFrame(old, schema), folder)
-    sinks.aggregates_write(spark.createDataFrame([("m", "hour", START, 9)], schema), folder)
-    assert sorted(r["count"] for r in spark.read.parquet(folder).collect()) == [2, 9]
+
+    def write(*rows):
+        frame = spark.createDataFrame([(m, "t", g, at, n) for m, g, at, n in rows], schema)
+        sinks.aggregates_write(frame, folder)
+        return frame.schema
+
+    write(("a", "hour", START, 1), ("a", "hour", START + day, 2))
+    write(("b", "hour", START, 3), ("a", "day", START, 4))
+    shape = write(("a", "hour", START, 9))
+    back = sinks.aggregates_read(spark, folder, shape).collect()
+    assert sorted((r.metric_name, r.granularity, r["count"]) for r in back) == [
+        ("a", "day", 4), ("a", "hour", 2), ("a", "hour", 9), ("b", "hour", 3),
+    ]
+
+
+def test_sessions_without_address_and_after_logout(spark):
+    hour = dt.timedelta(hours=1)
+    sessions = spark.createDataFrame(
+        [("s", 1, "10.0.0.1", START), ("n", 2, None, START), ("o", 3, "10.0.0.1", None)],
+        "session_id string, user_id long, ip_address string, created_at timestamp_ntz",
+    )
+    ended = spark.createDataFrame([("s", START + hour)], "session_id string, ended_at timestamp_ntz")
+    requests = spark.createDataFrame(
+        [
+            (1, "s", "10.0.0.1", START), (2, "s", None, START), (3, "s", "10.0.0.1", START + hour),
+            (4, "n", None, START), (5, "n", "10.0.0.1", START), (6, "x", None, START),
+            (7, "o", "10.0.0.1", START), (8, "n", None, START + 25 * hour),
+        ],
+        "request_id long, session_id string, ip_address string, ts timestamp_ntz",
+    )
+    rows = audit.session_validity(requests, sessions, ended).collect()
+    assert {r.request_id: r.status for r in rows} == {
+        1: "valid", 2: "ip_mismatch", 3: "unknown", 4: "valid", 5: "ip_mismatch", 6: "unknown",
+        7: "valid", 8: "expired",
+    }
+
+
+def test_keyed_hash_of_any_secret(spark):
+    for secret in ("k", "k" * 64, "k" * 65, "long " * 40):
+        row = spark.range(1).select(hmac_sha256(secret, F.lit("message")).alias("h")).first()
+        assert row.h == hmac.new(secret.encode(), b"message", "sha256").hexdigest()
 
 
 def test_graph_round_trip(spark, tmp_path):
