@@ -20,6 +20,9 @@ DIRECT_ROWS = 100_000
 _PER_DOUBLING = 4096
 _OFFSET = 5_000_000
 
+# Parts of a slice that holds a wanted rank.
+_PARTS = 4096
+
 
 def value_slice(value: Column) -> Column:
     """A slice number that never decreases with ``value``."""
@@ -35,9 +38,9 @@ def frequency(points: DataFrame, keys: Sequence[str], value: str = "value") -> D
 
 
 def moments(value: str = "value") -> list[Column]:
-    """count, sum, avg, min, max and population std as partial aggregates."""
+    """count (of values that are not null), sum, avg, min, max and population std."""
     return [
-        F.count(F.lit(1)).alias("count"),
+        F.count(value).alias("count"),
         F.sum(value).alias("sum"),
         F.avg(value).alias("avg"),
         F.min(value).alias("min"),
@@ -77,8 +80,10 @@ def exact_percentiles(
     """Linearly interpolated percentiles per group.
 
     ``freq`` has one row per (group, distinct value) with its count ``n``.
-    Groups are cut into value slices.  One count per slice locates the slices
-    that hold a wanted rank, and only the values of those slices are sorted.
+    Groups are cut into value slices by magnitude.  One count per slice locates the
+    slices that hold a wanted rank; these are cut again between their smallest and
+    largest value, so values close together spread too, and only the parts that hold a
+    wanted rank are sorted.
     """
     keys = list(keys)
     rows = freq.select(*keys, F.col(value).alias("_v"), F.col("n").alias("_n")).withColumn(
@@ -88,7 +93,7 @@ def exact_percentiles(
     upto = whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     per_slice = (
         rows.groupBy(*keys, "_slice")
-        .agg(F.sum("_n").alias("_n"))
+        .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
         .withColumn("_count", F.sum("_n").over(whole))
         .withColumn("_start", F.sum("_n").over(upto) - F.col("_n"))
     )
@@ -103,12 +108,25 @@ def exact_percentiles(
     for at in position.values():
         for edge in (F.floor, F.ceil):
             wanted = wanted | holds(F.col("_start"), F.col("_n"), edge(at))
-    targets = per_slice.where(wanted).select(*keys, "_slice", "_count", "_start")
-    inside = (
-        W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    targets = per_slice.where(wanted).select(*keys, "_slice", "_count", "_start", "_low", "_high")
+    # The slices found are cut again, evenly between their own smallest and largest value.
+    part = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    narrow = F.coalesce(F.floor(part * _PARTS), F.lit(0))
+    some = rows.join(targets, [*keys, "_slice"]).withColumn(
+        "_part", F.when(F.col("_high") > F.col("_low"), narrow).otherwise(F.lit(0))
+    )
+    before = W.partitionBy(*keys, "_slice").orderBy("_part")
+    before = before.rowsBetween(W.unboundedPreceding, W.currentRow)
+    per_part = (
+        some.groupBy(*keys, "_slice", "_part", "_count", "_start")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_start", F.col("_start") + F.sum("_n").over(before) - F.col("_n"))
     )
-    picked = rows.join(targets, [*keys, "_slice"]).withColumn(
-        "_from", F.col("_start") + F.sum("_n").over(inside) - F.col("_n")
+    found = per_part.where(wanted).select(*keys, "_slice", "_part", F.col("_start").alias("_base"))
+    inside = W.partitionBy(*keys, "_slice", "_part").orderBy("_v")
+    inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    picked = some.join(found, [*keys, "_slice", "_part"]).withColumn(
+        "_from", F.col("_base") + F.sum("_n").over(inside) - F.col("_n")
     )
     columns = []
     for name, at in position.items():
@@ -144,12 +162,13 @@ def _unpacked(df: DataFrame) -> DataFrame:
 def grouped_stats(
     points: DataFrame, keys: Sequence[str], value: str = "value", direct: int = DIRECT_ROWS
 ) -> DataFrame:
-    """Moments and percentiles of plain rows.
+    """Moments and percentiles of plain rows; null values count nowhere.
 
     Where no group has more than ``direct`` rows, one aggregation holds each group
-    in memory; otherwise percentiles are found slice by slice.
+    in memory; otherwise percentiles are found slice by slice, with the same result.
     """
     keys = list(keys)
+    points = points.where(F.col(value).isNotNull())
     if _largest(points, keys) <= direct:
         wanted = F.percentile(value, list(PERCENTILES.values())).alias("_p")
         return _unpacked(points.groupBy(*keys).agg(*moments(value), wanted))
@@ -160,8 +179,9 @@ def grouped_stats(
 def weighted_stats(
     freq: DataFrame, keys: Sequence[str], value: str = "value", direct: int = DIRECT_ROWS
 ) -> DataFrame:
-    """Moments and percentiles of distinct values with their count ``n``."""
+    """The same from distinct values with their count ``n``; null values count nowhere."""
     keys = list(keys)
+    freq = freq.where(F.col(value).isNotNull())
     if _largest(freq, keys) <= direct:
         wanted = F.percentile(value, list(PERCENTILES.values()), F.col("n")).alias("_p")
         found = _unpacked(freq.groupBy(*keys).agg(wanted))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import newest_rows, previous_value, small_side
-from ..functions.stats import PERCENTILES, grouped_stats, moments
+from ..functions.stats import PERCENTILES, exact_percentiles, frequency, grouped_stats, moments
 from ..functions.times import (
     GRANULARITY_SECONDS,
     MICROS,
@@ -30,9 +30,11 @@ def aggregate_tumbling(
 ) -> DataFrame:
     """Statistics per series and aligned ``[start, end)`` bucket.
 
-    Without percentiles one partial aggregation is enough.
+    Null values count nowhere; a bucket of nothing else has no row.  Without percentiles
+    one partial aggregation is enough.
     """
-    keyed = points.select(*SERIES, tumbling_start(F.col("ts"), granularity).alias("ts"), "value")
+    valued = points.where(F.col("value").isNotNull())
+    keyed = valued.select(*SERIES, tumbling_start(F.col("ts"), granularity).alias("ts"), "value")
     keys = [*SERIES, "ts"]
     if percentiles:
         stats, columns = grouped_stats(keyed, keys), STATS
@@ -163,6 +165,10 @@ def _period(aggregates: DataFrame, as_of: Column, hours: int) -> DataFrame:
     )
 
 
+def _wanted(sections: Sequence[str]) -> list[str]:
+    return sorted({i[2] for i in [*OVERVIEW_ITEMS, *USAGE_ITEMS] if i[0] in sections})
+
+
 def overview(
     aggregates: DataFrame, as_of: Column, hours: int, sections: Sequence[str]
 ) -> DataFrame:
@@ -171,19 +177,21 @@ def overview(
     Items without data show 0 and ``stable``.  The item list is fixed, so the
     left join starts from a handful of rows.
     """
-    spark = aggregates.sparkSession
-    items = spark.createDataFrame(
-        [i for i in OVERVIEW_ITEMS if i[0] in sections],
-        "section string, item string, metric_name string, metric_type string, detail string",
-    )
-    names = {i[2] for i in OVERVIEW_ITEMS if i[0] in sections}
-    rows = _period(aggregates, as_of, hours).where(F.col("metric_name").isin(*sorted(names)))
+    rows = _period(aggregates, as_of, hours).where(F.col("metric_name").isin(_wanted(sections)))
     last_two = newest_rows(rows, SERIES, [F.desc("ts")], 2)
     newest = F.struct("avg", "min", "max", "std", *PERCENTILES)
     summary = last_two.groupBy(*SERIES).agg(
         F.max_by(newest, "ts").alias("_new"),
         F.when(F.count(F.lit(1)) == 2, F.min_by("avg", "ts")).alias("_previous"),
     )
+    return _shown(summary, sections)
+
+
+def _shown(summary: DataFrame, sections: Sequence[str]) -> DataFrame:
+    items = summary.sparkSession.createDataFrame(
+        [i for i in OVERVIEW_ITEMS if i[0] in sections],
+        "section string, item string, metric_name string, metric_type string, detail string",
+    )
     shown = items.join(summary, SERIES, "left")
     spread = F.col("detail") == "distribution"
     return shown.select(
@@ -196,6 +204,54 @@ def overview(
     )
 
 
+def _recent_minutes(
+    points: DataFrame, as_of: Column, hours: int, sections: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Points of the dashboard's series in the period, and their minutes without percentiles.
+
+    The time range reaches the scan: a minute counts when it starts in the period.
+    """
+    start = as_of - seconds_interval(hours * 3600)
+    minute = seconds_interval(GRANULARITY_SECONDS["minute"])
+    inside = points.where((F.col("ts") >= start) & (F.col("ts") < as_of + minute))
+    inside = inside.where(F.col("metric_name").isin(_wanted(sections)))
+    return inside, _period(aggregate_tumbling(inside, "minute", False), as_of, hours)
+
+
+def _overview_of_minutes(
+    inside: DataFrame, minutes: DataFrame, sections: Sequence[str]
+) -> DataFrame:
+    names = _wanted(sections)
+    own = minutes.where(F.col("metric_name").isin(names))
+    last_two = newest_rows(own, SERIES, [F.desc("ts")], 2)
+    moments_of = F.struct("avg", "min", "max", "std")
+    summary = last_two.groupBy(*SERIES).agg(
+        F.max("ts").alias("_minute"),
+        F.max_by(moments_of, "ts").alias("_new"),
+        F.when(F.count(F.lit(1)) == 2, F.min_by("avg", "ts")).alias("_previous"),
+    )
+    # One row per series of the fixed item list.
+    newest = F.broadcast(summary.select(*SERIES, F.col("_minute")))
+    keyed = inside.where(F.col("value").isNotNull()).select(
+        *SERIES, tumbling_start(F.col("ts"), "minute").alias("_minute"), "value"
+    )
+    last = keyed.join(newest, [*SERIES, "_minute"])
+    found = exact_percentiles(frequency(last, SERIES), SERIES)
+    fields = [F.col(f"_new.{c}").alias(c) for c in ("avg", "min", "max", "std")]
+    summary = summary.join(F.broadcast(found), SERIES).select(
+        *SERIES, F.struct(*fields, *PERCENTILES).alias("_new"), "_previous"
+    )
+    return _shown(summary, sections)
+
+
+def overview_of_points(
+    points: DataFrame, as_of: Column, hours: int, sections: Sequence[str]
+) -> DataFrame:
+    """The same items from raw points; only each series' newest minute gets percentiles."""
+    inside, minutes = _recent_minutes(points, as_of, hours, sections)
+    return _overview_of_minutes(inside, minutes, sections)
+
+
 def usage_overview(aggregates: DataFrame, as_of: Column, hours: int) -> DataFrame:
     """Total, successful and success rate of commands and licence validations."""
     spark = aggregates.sparkSession
@@ -220,6 +276,15 @@ def metrics_report(aggregates: DataFrame, as_of: Column, hours: int = 24) -> Dat
     )
 
 
+def report_of_points(points: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """All four dashboard sections from raw points, read twice: for minutes and percentiles."""
+    sections = ["quality", "performance", "testing"]
+    inside, minutes = _recent_minutes(points, as_of, hours, [*sections, "usage"])
+    return _overview_of_minutes(inside, minutes, sections).unionByName(
+        usage_overview(minutes, as_of, hours), allowMissingColumns=True
+    )
+
+
 def recent_points(points: DataFrame, count: int = 20) -> DataFrame:
     """Last ``count`` points of each chart series; at equal times the larger values."""
     newest = newest_rows(points, ["metric_name"], [F.desc("ts"), F.desc("value")], count)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import GRANULARITY_SECONDS, seconds_interval, tumbling_start
@@ -74,6 +76,34 @@ for _granularity in GRANULARITY_SECONDS:
     _register_tumbling(_granularity)
 
 
+# Every fourth value missing, and values close together far from zero.
+NULLS_SQL = """points AS (SELECT ts, metric_type, metric_name,
+  CASE WHEN user_id % 4 <> 0 THEN value END AS value FROM all_points)"""
+CLOSE_SQL = """points AS (SELECT ts, metric_type, metric_name, 1.7e9::DOUBLE + value AS value
+  FROM all_points)"""
+
+
+def _register_values(name: str, source_sql: str, value: Callable[[], Column]) -> None:
+    all_sql = POINTS_SQL.replace("points AS", "all_points AS")
+    shown = [c for c in FLOATS if c not in ("sum", "avg", "std")]
+    sql = f"""WITH {all_sql}, {source_sql}, {tumbling_sql('day')}
+SELECT {KEY_SQL}, count, {", ".join(f"round({c}, 5) AS {c}" for c in shown)}, round(std, 2) AS std
+FROM aggs WHERE count > 0"""
+    sql = sql.replace("count(*) AS count", "count(value) AS count")
+
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        points = metric_points(spark, sf_dir).withColumn("user_id", F.col("tags.user_id").cast("long"))
+        found = ts.aggregate_tumbling(points.withColumn("value", value()), "day")
+        return rounded(rounded(found.drop("sum", "avg"), *shown, digits=5), "std", digits=2)
+
+
+_register_values(
+    "agg_tumbling_nulls", NULLS_SQL, lambda: F.when(F.col("user_id") % 4 != 0, F.col("value"))
+)
+_register_values("agg_tumbling_close", CLOSE_SQL, lambda: F.lit(1.7e9) + F.col("value"))
+
+
 def _register_trailing(granularity: str) -> None:
     name = "agg_trailing" if granularity == "week" else f"agg_trailing_{granularity}"
     width = GRANULARITY_SECONDS[granularity]
@@ -217,11 +247,28 @@ def usage_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "metrics_unpivot",
     f"""WITH {RECORDED_SQL}
-SELECT ts, metric_type, metric_name, round(value, 8) AS value FROM recorded""",
+SELECT ts, metric_type, metric_name, round(value, 8) AS value,
+  CASE WHEN metric_name <> 'command_usage' THEN metadata END AS metadata,
+  CASE WHEN metric_name = 'command_usage' THEN metadata ->> 'command' END AS command,
+  CASE WHEN metric_name = 'command_usage' THEN metadata ->> 'success' END AS success,
+  tag, tag_value FROM recorded""",
 )
 def metrics_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column; the number inside the command's JSON is left to its own two fields."""
     points = recorded_points(spark, sf_dir)
-    return rounded(points.select("ts", "metric_type", "metric_name", "value"), "value")
+    of_command = F.col("metric_name") == "command_usage"
+    shown = points.select(
+        "ts",
+        "metric_type",
+        "metric_name",
+        "value",
+        F.when(~of_command, F.col("metadata")).alias("metadata"),
+        F.when(of_command, F.get_json_object("metadata", "$.command")).alias("command"),
+        F.when(of_command, F.get_json_object("metadata", "$.success")).alias("success"),
+        F.map_keys("tags")[0].alias("tag"),
+        F.map_values("tags")[0].alias("tag_value"),
+    )
+    return rounded(shown, "value")
 
 
 def overview_sql(sections: list[str]) -> str:
@@ -250,8 +297,8 @@ SHOWN = ["current", "min", "max", "avg", "std", "p50", "p90", "p95", "p99"]
 def _register_overview(section: str) -> None:
     @query(f"overview_{section}", f"{MINUTES} {overview_sql([section])}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = ts.overview(by_minute(spark, sf_dir), at(AS_OF), HOURS, [section])
-        return rounded(found, *SHOWN)
+        points = recorded_points(spark, sf_dir)
+        return rounded(ts.overview_of_points(points, at(AS_OF), HOURS, [section]), *SHOWN)
 
 
 for _section in ("quality", "performance", "testing"):
@@ -279,6 +326,18 @@ used AS ({USAGE_SQL})
 SELECT * FROM shown UNION ALL BY NAME SELECT * FROM used""",
 )
 def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = recorded_points(spark, sf_dir)
+    return rounded(ts.report_of_points(points, at(AS_OF), HOURS), *SHOWN, "success_rate")
+
+
+@query(
+    "metrics_report_stored",
+    f"""{MINUTES}, shown AS ({overview_sql(["quality", "performance", "testing"])}),
+used AS ({USAGE_SQL})
+SELECT * FROM shown UNION ALL BY NAME SELECT * FROM used""",
+)
+def metrics_report_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report from a stored table of all aggregates."""
     found = ts.metrics_report(by_minute(spark, sf_dir), at(AS_OF), HOURS)
     return rounded(found, *SHOWN, "success_rate")
 

@@ -1,9 +1,12 @@
-"""Session settings and the shared work folder."""
+"""Session settings, the shared work folder, and the package on the executors."""
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +56,31 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     folder = work_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@functools.cache
+def _package() -> str:
+    """A ZIP of this package, built once per driver process."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tallyglass-"), "tallyglass.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(here)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(here)))
+    return target
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application.
+
+    Python workers import it from there, whatever their working folder.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        context.addPyFile(_package())
+        _shipped.add(context.applicationId)

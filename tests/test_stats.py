@@ -7,7 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tallyglass.functions import skew
-from tallyglass.functions.stats import frequency, grouped_stats, weighted_stats
+from tallyglass.functions.stats import (
+    exact_percentiles,
+    frequency,
+    grouped_stats,
+    weighted_stats,
+)
 from tallyglass.functions.times import epoch_micros, from_micros, tumbling_start
 from tallyglass.operators import timeseries as ts
 
@@ -24,10 +29,12 @@ def test_stats_match_numpy(spark, weighted, direct):
         "two": [1.0, 2.0],
         "mixed": [rng.uniform(-1e6, 1e6) for _ in range(700)] + [0.0, -0.0, 1e-300, -1e-300],
         "narrow": [1e9 + rng.random() for _ in range(300)],
+        "narrower": [1.7e9 + n / 1e6 for n in range(500)] + [1e12, -1e12],
         # a third of all values are one value
         "hot": [5.0] * 400 + [rng.gauss(0, 1) for _ in range(800)],
     }
     rows = [(g, float(v)) for g, values in groups.items() for v in values]
+    rows += [(g, None) for g in groups for _ in range(40)]  # nulls count nowhere
     rng.shuffle(rows)
     points = spark.createDataFrame(rows, "g string, value double")
     if weighted:
@@ -48,6 +55,25 @@ def test_stats_match_numpy(spark, weighted, direct):
             assert row[f"p{p}"] == pytest.approx(expected, rel=1e-12, abs=1e-12)
 
 
+def test_close_values_are_cut_apart(spark):
+    """Values of one slice spread over its parts, so no part is large."""
+    freq = spark.range(50_000).select(
+        F.lit("g").alias("g"), (F.col("id") / 1e6 + 1.7e9).alias("value"), F.lit(1).alias("n")
+    )
+    row = exact_percentiles(freq, ["g"]).first()
+    assert row["p50"] == pytest.approx(1.7e9 + 24_999.5e-6, abs=1e-6)
+    low, high = freq.agg(F.min("value"), F.max("value")).first()
+    part = F.floor((F.col("value") - low) / (high - low) * 4096)
+    assert freq.groupBy(part.alias("p")).count().agg(F.max("count")).first()[0] < 50
+
+
+def test_buckets_without_values_have_no_row(spark):
+    rows = [("m", "t", START, None), ("m", "t", START + dt.timedelta(hours=1), 1.0)]
+    for percentiles in (True, False):
+        found = ts.aggregate_tumbling(points_of(spark, rows), "hour", percentiles).collect()
+        assert [(r["ts"], r["count"]) for r in found] == [(START + dt.timedelta(hours=1), 1)]
+
+
 def points_of(spark, rows):
     return spark.createDataFrame(
         rows, "metric_name string, metric_type string, ts timestamp_ntz, value double"
