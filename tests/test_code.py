@@ -21,44 +21,37 @@ def by_id(df):
     return {r.code_id: r for r in df.collect()}
 
 
-def test_simple_function(spark):
-    nodes = by_id(
-        analyse(
-            spark,
-            (
-                "a.py",
-                """
-                def simple_function(x):
-                    if x > 0:
-                        return x
-                    else:
-                        return -x
-                """,
-            ),
-        )[0]
+def one_file(spark, code):
+    return by_id(analyse(spark, ("shop.py", code))[0])
+
+
+def test_one_branch_counts_once(spark):
+    nodes = one_file(
+        spark,
+        """
+        def price(order, *, gift=False):
+            total = sum(order)
+            while total > 100:
+                total -= 5
+            return total
+        """,
     )
-    assert nodes["func:simple_function"].cyclomatic == 2
-    assert nodes["func:simple_function"].cognitive == 1
+    assert (nodes["func:price"].cyclomatic, nodes["func:price"].cognitive) == (2, 1)
 
 
 def test_security_messages_in_order(spark):
-    nodes = by_id(
-        analyse(
-            spark,
-            (
-                "a.py",
-                """
-                def unsafe(user_input):
-                    eval(user_input)
-                    exec("print(1)")
-                    import pickle
-                    pickle.loads(user_input)
-                    note = "os.system('x')"
-                """,
-            ),
-        )[0]
+    # The order of the calls in the text does not matter.
+    nodes = one_file(
+        spark,
+        """
+        def restore(blob, plan):
+            state = pickle.loads(blob)
+            os.system(plan.command)
+            exec(plan.setup, state)
+            return eval(plan.result, state)
+        """,
     )
-    assert nodes["func:unsafe"].security_issues == [
+    assert nodes["func:restore"].security_issues == [
         "Use of eval() is dangerous",
         "Use of exec() is dangerous",
         "Pickle deserialization can be unsafe",
@@ -66,48 +59,40 @@ def test_security_messages_in_order(spark):
     ]
 
 
-def test_many_params_and_nested_loops(spark):
-    nodes = by_id(
-        analyse(
-            spark,
-            (
-                "a.py",
-                """
-                def long_name(a, b, c, d, e, f, g):
-                    for i in a:
-                        for j in b:
-                            for k in c:
-                                print(i, j, k)
-                """,
-            ),
-        )[0]
+def test_parameters_and_nesting(spark):
+    nodes = one_file(
+        spark,
+        """
+        def ship(order, address, carrier, weight, insured, express):
+            if order:
+                while weight:
+                    for parcel in order:
+                        weight -= parcel
+        """,
     )
-    node = nodes["func:long_name"]
-    assert node.code_smells == ["Function 'long_name' has too many parameters (7)"]
-    assert (node.cyclomatic, node.cognitive) == (4, 6)
+    node = nodes["func:ship"]
+    assert node.code_smells == ["Function 'ship' has too many parameters (6)"]
+    # One each, and one more for every level of nesting.
+    assert (node.cyclomatic, node.cognitive) == (1 + 3, 1 + 2 + 3)
 
 
-def test_nodes_and_edges(spark):
+def test_a_call_of_itself_is_no_edge(spark):
     measured, _ = analyse(
         spark,
         (
-            "a.py",
+            "tree.py",
             """
-            def factorial(n):
-                return 1 if n < 2 else n * factorial(n - 1)
+            class Node:
+                def depth(self):
+                    return 1 + max((c.depth() for c in self.children), default=0)
 
-            class MathUtils:
-                def add(self, a, b):
-                    return a + b
+            def walk(node):
+                for child in node.children:
+                    walk(child)
             """,
         ),
     )
-    assert set(by_id(measured)) == {
-        "file:a.py",
-        "func:factorial",
-        "class:MathUtils",
-        "method:MathUtils.add",
-    }
+    assert set(by_id(measured)) == {"file:tree.py", "class:Node", "method:Node.depth", "func:walk"}
     assert graph.contains_edges(measured).count() == 3
     assert graph.call_edges(measured).count() == 0
 
