@@ -3,8 +3,11 @@
 Documents with the same words are one node.  Signatures are cut into bands; nodes
 that share a band are candidates.  In each round a few leaders per band are compared
 with its other members, and what is found merges classes; a band is done when its
-members are in one class or all have been leaders.  So a large group costs its size
-in comparisons, not its square, and no candidate link between classes is left out.
+members are in one class or all have been leaders.  Bands that stay crowded with
+different classes are regrouped by rare shingles.  So a large group costs its size in
+comparisons, not its square, and no candidate link between classes is left out.
+Large bands, classes and keys are the left sides of equi-joins of narrow rows, which
+adaptive execution splits; nothing gathers a group in one task.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tallyglass.functions.skew import SMALL_ROWS, salted_join
+from tallyglass.functions.skew import SMALL_ROWS
 from tallyglass.session import work_folder
 
 from . import ragged
@@ -27,6 +31,12 @@ from .dart_minhash import band_keys, signatures
 _MOST_BROADCAST = 5 * SMALL_ROWS
 
 
+# One in so many bands is looked at first.
+FIRST_BANDS = 8
+# Members of a band from which on they are regrouped by rare shingles.
+CROWD = 32
+
+
 class Settings(NamedTuple):
     """A pair at the threshold shares no band with odds (1 - 0.8**5)**32, 3 in a million."""
 
@@ -99,12 +109,17 @@ def _staged(docs: DataFrame, text: str, settings: Settings) -> DataFrame:
             worded = np.diff(ends) > 0
             cuts = ragged.offsets_of(np.where(worded, settings.bands, 0))
             bands = ragged.list_column(keys[worded].ravel(), cuts, pa.int64())
-            return [pa.array(word_keys(data, offsets), pa.binary()), bands]
+            sizes = pa.array(np.add.reduceat(np.append(weights, 0), ends[:-1]) * worded)
+            return [pa.array(word_keys(data, offsets), pa.binary()), bands, sizes]
 
         return work
 
     adds = T.StructType(
-        [T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+        [
+            T.StructField("key", T.BinaryType()),
+            T.StructField("bands", T.ArrayType(T.LongType())),
+            T.StructField("size", T.DoubleType()),
+        ]
     )
     made = ragged.with_columns(inner, [own_text], adds, make, names, settings.piece_bytes)
     made = made.withColumn("row", F.monotonically_increasing_id())
@@ -150,7 +165,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
         sets = sets.drop("times")
     left = sets.toDF("a", *[f"{c}_a" for c in sets.columns[1:]])
     right = sets.toDF("b", *[f"{c}_b" for c in sets.columns[1:]])
-    both = salted_join(pairs, left, ["a"]).join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     size = lambda s: F.size(f"items_{s}")
     if settings.counted:
         count = lambda s: F.map_from_arrays(f"items_{s}", f"times_{s}")
@@ -177,35 +192,26 @@ def _similar(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
 def _merge(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Classes (node, class) after links between classes; the smallest node names a class.
 
-    Each class hooks to its smallest neighbour and chains of hooks are cut short, so the
-    rounds grow with the logarithm of the longest chain.  Rows are two numbers; a class
-    with very many links is split by adaptive execution.
+    In each round a class takes the smallest name among its neighbours and then the one
+    that this name has taken, so chains get shorter by half or more.  Links keep joining
+    what has not met yet until both ends have one name.  Rows are two numbers; a class with
+    very many links is split by adaptive execution.
     """
     names = classes.select("node", "class")
-    edges = links
+    edges = links.select("u", "v")
     while True:
-        both = edges.select("u", "v").unionByName(
-            edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        )
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooks = both.groupBy("u").agg(F.min("v").alias("v"))
         hooks = hooks.select(F.col("u").alias("from"), F.least("u", "v").alias("to"))
+        far = hooks.select(F.col("from").alias("to"), F.col("to").alias("far"))
+        hooks = hooks.join(far, "to").select("from", F.col("far").alias("to"))
         hooks = _written(hooks, "hooks")
-        while True:  # pointer jumping
-            next_hop = hooks.select(F.col("from").alias("to"), F.col("to").alias("far"))
-            jumped = hooks.join(next_hop, "to", "left").select(
-                "from", F.coalesce("far", "to").alias("far"), "to"
-            )
-            jumped = _written(jumped, "hooks")
-            hooks = jumped.select("from", F.col("far").alias("to"))
-            if not jumped.where(F.col("far") != F.col("to")).limit(1).count():
-                break
         names = names.select("node", F.col("class").alias("from")).join(hooks, "from", "left")
         names = _written(names.select("node", F.coalesce("to", "from").alias("class")), "classes")
-        for old, new in (("u", "v"), ("v", "u")):  # both ends, the other way round each time
-            edges = edges.select(F.col(old).alias("from"), new).join(hooks, "from", "left")
-            edges = edges.select(F.coalesce("to", "from").alias(old), new)
-        edges = edges.where("u != v").distinct()
-        edges = _written(edges, "edges")
+        for old, new in (("u", "v"), ("v", "u")):
+            edges = edges.select(F.col(old).alias("from"), new).join(hooks, "from")
+            edges = edges.select(F.col("to").alias(old), new)
+        edges = _written(edges.where("u != v").distinct(), "edges")
         if not edges.limit(1).count():
             return names
 
@@ -241,45 +247,42 @@ def classes(
     whole = whole.select(
         "class", F.col("f.id").alias("class_id"), F.col("f.node").alias("keep_row"), "class_size"
     )
-    per_key = salted_join(named.select("key", "class"), whole, ["class"]).drop("class")
+    per_key = named.select("key", "class").join(whole, "class").drop("class")
     narrow = rows.select("row", F.col(own_id).alias("id"), "key")
-    decided = salted_join(narrow, per_key, ["key"]).drop("key")
-    return rows, decided
+    return rows, narrow.join(per_key, "key").drop("key")
 
 
 def _components(rows: DataFrame, nodes: DataFrame, text: str, settings: Settings) -> DataFrame:
     """Class of every node that shares a band with another."""
-    banded = rows.select(F.col("row").alias("node"), "bands").join(nodes, "node", "left_semi")
-    members = banded.select("node", F.explode("bands").alias("band"))
+    banded = rows.select(F.col("row").alias("node"), "bands", "size").join(nodes, "node", "left_semi")
+    members = banded.select("node", "size", F.explode("bands").alias("band"))
     crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_bands = _written(crowded.select("band"), "crowded")
     if _small(open_bands):
-        members = members.join(F.broadcast(open_bands), "band")
-    else:
-        members = salted_join(members, open_bands, ["band"])
-    members = _written(members.select("band", "node"), "members")
-    found = members.select("node").distinct()
-    merged = _written(found.withColumn("class", F.col("node")), "classes")
+        open_bands = F.broadcast(open_bands)
+    members = members.join(open_bands, "band").select(
+        "band", "node", "size", F.lit(1).alias("rank")
+    )
+    members = _written(members, "members")
+    merged = _written(members.select("node", F.col("node").alias("class")).distinct(), "classes")
     if not merged.limit(1).count():
         return merged
     sets = _written(_sets(rows, merged.select("node"), text, settings), "sets")
-    members = members.withColumn("class", F.col("node"))
-    tested = None
-    leaders_per_band, turn = 1, 0
-    while True:
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders_per_band))
-        # The same nodes lead in many bands, so a pair is seldom compared twice.
-        first = F.xxhash64("node", F.lit(-turn)) if turn else F.lit(0)
-        rank = F.struct(first.alias("first"), "node", "class")
-        leaders = (
-            members.groupBy("band", slot.alias("slot"))
-            .agg(F.min(rank).alias("l"))
-            .select("band", F.col("l.node").alias("leader"), F.col("l.class").alias("leads"))
+
+    def compared(
+        members: DataFrame, merged: DataFrame, leaders: DataFrame, tested: DataFrame | None
+    ) -> tuple[DataFrame, DataFrame]:
+        """Classes after comparing leaders with the other members, and all pairs tested."""
+        # What similar sets of these sizes share; the ranks of a shared shingle tell how
+        # many can be shared from there on, and a band (rank 1) only compares the sizes.
+        share = settings.similarity / (1 + settings.similarity)
+        least = F.ceil((F.col("size") + F.col("leader_size")) * share - 1e-9)
+        near = (F.col("rank") <= F.col("size") - least + 1) & (
+            F.col("leader_rank") <= F.col("leader_size") - least + 1
         )
-        leaders = _written(leaders, "leaders")
         pairs = (
-            salted_join(members, leaders, ["band"])
-            .where(F.col("class") != F.col("leads"))
+            members.join(leaders, "band")
+            .where(near & (F.col("class") != F.col("leads")))
             .select(
                 F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
             )
@@ -295,16 +298,87 @@ def _components(rows: DataFrame, nodes: DataFrame, text: str, settings: Settings
             edges = links.join(class_of("a"), "a").select("b", F.col("class").alias("u"))
             edges = edges.join(class_of("b"), "b").select("u", F.col("class").alias("v"))
             merged = _merge(merged, _written(edges.distinct(), "edges"))
-        members = members.drop("class").join(
-            leaders.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti"
-        )
-        members = members.join(merged, "node")
-        several = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        several = several.where("low < high").select("band")
-        members = _written(salted_join(members, several, ["band"]), "members")
-        if not members.limit(1).count():
-            return merged
-        leaders_per_band, turn = leaders_per_band * 4, turn + 1
+        return merged, tested
+
+    # A part of the bands merges most copies, so that few pairs of the others are left.
+    part = members.where(F.pmod("band", F.lit(FIRST_BANDS)) == 0).withColumn("class", F.col("node"))
+    merged, tested = compared(part, merged, _leaders(part, 1, 0, settings), None)
+    members = _still_open(members, merged)
+    turn = 0
+    while members.limit(1).count():
+        leaders = _written(_leaders(members, 16**turn, turn, settings), "leaders")
+        merged, tested = compared(members, merged, leaders, tested)
+        # A leader has met all members it could be similar to.
+        done = leaders.select("band", F.col("leader").alias("node"))
+        members = members.drop("class").join(done, ["band", "node"], "left_anti")
+        members = _still_open(members, merged)
+        if turn == 0 and not settings.counted:
+            members = _thinned(members, merged, sets, settings)
+        turn += 1
+    return merged
+
+
+def _thinned(
+    members: DataFrame, merged: DataFrame, sets: DataFrame, settings: Settings
+) -> DataFrame:
+    """The open members, those of crowded bands regrouped by their rarest shingles.
+
+    What still crowds a band in many classes shares a passage, not the text.  Two sets of
+    the wanted similarity have one of their rarest shingles in common, if each brings as
+    many as it may lack and one more; so nothing similar is lost, and a shared passage
+    that is the commonest part of its texts brings nobody together.
+    """
+    count = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    crowded = count.where(F.col("n") > CROWD).select("band")
+    crowd = members.join(crowded, "band")
+    if not crowd.limit(1).count():
+        return members
+    nodes = crowd.select("node", "size").distinct()
+    own = sets.join(nodes, "node").select("node", "size", F.explode("items").alias("band"))
+    own = _written(own, "items")
+    # Partial counts: a common shingle reaches the shuffle once per task.
+    shared = own.groupBy("band").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    spread = own.join(shared, "band", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
+    place = F.row_number().over(W.partitionBy("node").orderBy("texts", "band"))
+    kept = lambda least: F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1
+    rare = spread.withColumn("rank", place).where(
+        (F.col("rank") <= kept(settings.similarity)) & (F.col("texts") > 1)
+    )
+    # The smaller set of a pair shares more than the larger: its shingle stands earlier.
+    early = 2 * settings.similarity / (1 + settings.similarity)
+    rare = _written(rare.select("band", "node", "size", "rank"), "rare")
+    useful = rare.where(F.col("rank") <= kept(early)).select("band").distinct()
+    rare = rare.join(useful, "band", "left_semi")
+    calm = members.join(crowded, "band", "left_anti").select("band", "node", "size", "rank")
+    return _still_open(calm.unionByName(rare), merged)
+
+
+def _leaders(members: DataFrame, most: int, turn: int, settings: Settings) -> DataFrame:
+    """At most ``most`` nodes of each band and step of size.
+
+    The same nodes lead in many bands, so a pair is seldom compared twice.
+    """
+    step = F.floor(F.log("size") / F.log(F.lit(1 / settings.similarity)))
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(most))
+    first = F.xxhash64("node", F.lit(-turn)) if turn else F.lit(0)
+    rank = F.struct(first.alias("first"), "node", "class", "size", "rank")
+    found = members.groupBy("band", step.alias("step"), slot.alias("slot"))
+    found = found.agg(F.min(rank).alias("l"))
+    return found.select(
+        "band",
+        F.col("l.node").alias("leader"),
+        F.col("l.class").alias("leads"),
+        F.col("l.size").alias("leader_size"),
+        F.col("l.rank").alias("leader_rank"),
+    )
+
+
+def _still_open(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """Members, with their class, of the bands whose members are in several classes."""
+    members = members.join(merged, "node")
+    classes = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    several = classes.where("low < high").select("band")
+    return _written(members.join(several, "band"), "members")
 
 
 def near_duplicates(

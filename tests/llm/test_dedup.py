@@ -138,14 +138,15 @@ def near_texts():
     for _ in range(25):  # every copy is like the one before, the ends have little in common
         chain = chain[4:] + [word() for _ in range(4)]
         texts.append(" ".join(chain))
-    for _ in range(40):  # a shared passage alone is no copy
-        texts.append(" ".join(passage + [word() for _ in range(60)]))
+    for n in range(60):  # a shared passage alone is no copy, however long
+        texts.append(" ".join(passage + [word() for _ in range(60 if n % 2 else 12)]))
     texts += [texts[20].upper() + "."] * 5 + [" ".join(["same"] * 50)] * 2
     return texts
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_near_classes(make_docs, broadcast, monkeypatch):
+@pytest.mark.parametrize("broadcast, crowd", [(True, 32), (False, 2)])
+def test_near_classes(make_docs, broadcast, crowd, monkeypatch):
+    monkeypatch.setattr(near_dups, "CROWD", crowd)
     if not broadcast:
         monkeypatch.setattr(near_dups, "_MOST_BROADCAST", 0)
     texts = near_texts()
