@@ -24,7 +24,8 @@ def latest(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
 
 
 def measured(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
-    return code_metrics.with_metrics(latest(spark, sf_dir, version))
+    """Metrics first: of a node only its measures and text are sorted, not its syntax events."""
+    return graph.node_latest(code_metrics.with_metrics(nodes(spark, sf_dir, version)).drop("events"))
 
 
 @query("code_nodes", f"WITH {NODES_SQL} SELECT code_id, kind, parent_id, path FROM scored")

@@ -39,7 +39,9 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables, below ``spark.checkpoint.dir``.
 
     The setting names storage every executor can reach.  Only a local session
-    without the setting gets a temporary folder of its own.
+    without the setting gets a temporary folder of its own.  All folders of an
+    application lie below one with its id: results read from them lazily, so they
+    can go once the application has ended.
     """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -48,7 +50,7 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         shared = tempfile.mkdtemp(prefix="tallyglass-")
         context.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/tallyglass/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/tallyglass/{context.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
