@@ -16,7 +16,7 @@ def profile_summary(profiles: DataFrame, last: int | None = None) -> DataFrame:
     ``last`` keeps the newest profiles only, as a bounded profiler would.
     """
     if last is not None:
-        profiles = profiles.orderBy(F.desc("end_time")).limit(last)
+        profiles = profiles.orderBy(F.desc("end_time"), "operation", "duration").limit(last)
     return profiles.groupBy("operation").agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("duration").alias("avg_duration"),
