@@ -316,7 +316,7 @@ def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "profile_summary_latest",
     f"""WITH {PROFILES_SQL} {SUMMARY_SQL}
-FROM (SELECT * FROM profiles ORDER BY ts DESC, event_id DESC LIMIT 1000) GROUP BY operation""",
+FROM (SELECT * FROM profiles ORDER BY ts DESC, operation, duration LIMIT 1000) GROUP BY operation""",
 )
 def profile_summary_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profiles.profile_summary(run_profiles(spark, sf_dir), last=1000)
