@@ -59,6 +59,8 @@ def _stream_session(spark: SparkSession) -> SparkSession:
     prefix = "spark.sql.streaming.stateStore"
     session.conf.set(f"{prefix}.providerClass", _ROCKSDB)
     session.conf.set(f"{prefix}.rocksdb.changelogCheckpointing.enabled", "true")
+    # A store is small where partitions are many: no disk space is set aside in advance.
+    session.conf.set(f"{prefix}.rocksdb.allowFAllocate", "false")
     session.conf.set(f"{prefix}.rocksdb.boundedMemoryUsage", "true")
     session.conf.set(f"{prefix}.rocksdb.maxMemoryUsageMB", "200")
     return session

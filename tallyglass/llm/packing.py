@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from tallyglass.session import ship
 
 from . import ragged
 
@@ -180,6 +181,7 @@ def pack(
         if out:
             yield _batch(out, arrow)
 
+    ship(df.sparkSession)
     source = df.select(
         *[F.col(ragged.quoted(c)).alias(f"k{i}") for i, c in enumerate(kept)],
         F.col(ragged.quoted(ids)).alias("ids"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from tallyglass.session import ship
 
 # Bytes of text handled at once; a longer text makes a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -53,6 +54,7 @@ def with_columns(
         [T.StructField(f"k{i}", f.dataType) for i, f in enumerate(kept_types)]
         + [T.StructField(f"a{i}", f.dataType) for i, f in enumerate(adds)]
     )
+    ship(df.sparkSession)
     count, width = len(kept), len(uses)
     names = inner.fieldNames()
     types = [to_arrow_type(f.dataType) for f in adds]
