@@ -2,9 +2,10 @@
 
 Only documents have labels, so a document is a bag of sentences: each sentence gets
 a probability from its hashed words and character n-grams, and the document's is
-their noisy-or, one minus the chance that no sentence is toxic.  Training follows the
-gradient of the document labels through that combination, and the learned sentence
-scores then point at the offending sentences.
+their noisy-or, one minus the chance that no sentence is toxic.  Sentences without
+evidence are left out, in training and in scoring, so that length alone never makes a
+document toxic.  Training follows the gradient of the document labels through that
+combination, and the learned sentence scores then point at the offending sentences.
 """
 
 from __future__ import annotations
@@ -69,6 +70,15 @@ def sentences(
     return starts, ends, first, sentence, bucket.astype(np.int64)
 
 
+def doubt(odds: np.ndarray, told: np.ndarray, document: np.ndarray, documents: int) -> np.ndarray:
+    """Minus the logarithm of the chance that a document has no toxic sentence.
+
+    Only sentences with evidence for it (``told``) count; the constant part alone is none,
+    so the number of the others does not add up.
+    """
+    return np.bincount(document, np.where(told, np.logaddexp(0, odds), 0), documents)
+
+
 def train(
     sentence: np.ndarray,
     bucket: np.ndarray,
@@ -80,7 +90,8 @@ def train(
 
     ``bucket`` holds the buckets present in each ``sentence`` (numbers into
     ``document``, the document of each sentence); ``labels`` are the documents'.
-    Without documents of both labels every sentence keeps the constant part.
+    Sentences without a bucket change nothing.  Without documents of both labels every
+    sentence keeps the constant part.
     """
     weights = np.zeros(BUCKETS, np.float32)
     if not len(labels) or labels.min() == labels.max():
@@ -89,13 +100,15 @@ def train(
     count, documents = len(document), len(labels)
     learned = np.zeros(len(used))
     seen = np.full(len(used), 1e-6)
+    told = np.bincount(sentence, minlength=count) > 0
     toxic = labels[document] == 1
     for _ in range(settings.epochs):
         odds = np.bincount(sentence, learned[at], count) + settings.bias
         chance = 1 / (1 + np.exp(-odds))
-        clean = np.exp(np.bincount(document, -np.logaddexp(0, odds), documents))
+        counted = told & (odds >= settings.bias)
+        clean = np.exp(-doubt(odds, counted, document, documents))
         pull = (clean / np.maximum(1 - clean, 1e-12))[document]
-        slope = np.where(toxic, -chance * pull, chance) / documents
+        slope = np.where(toxic, -chance * pull, chance) * counted / documents
         change = np.bincount(at, slope[sentence], len(used))
         seen += change * change
         step = settings.rate / np.sqrt(seen)
@@ -199,8 +212,9 @@ def score(
 ) -> DataFrame:
     """Add the document's score and its offending sentences.
 
-    ``out`` is the noisy-or of the sentence scores, 0 to 1; a null, empty or wordless
-    text scores by the constant part of its sentences, 0 without any.  ``spans`` lists
+    ``out`` is the noisy-or of the scores of sentences whose buckets raise them above the
+    constant part, 0 to 1; without such a sentence it is 0, however long the text is, and
+    so for null, empty and wordless texts and for a model without weights.  ``spans`` lists
     the sentences scoring at least one half: ``start`` and ``end`` in characters of the
     text, ``score``.  Whole texts are read, repeated rows score alike, empty tables stay
     empty, and columns with the added names are replaced.
@@ -219,7 +233,7 @@ def score(
             odds = np.bincount(keys // BUCKETS, weights[keys % BUCKETS], len(starts)) + bias
             chance = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
             owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            score = -np.expm1(np.bincount(owner, -np.logaddexp(0, odds), len(first) - 1))
+            score = -np.expm1(-doubt(odds, odds > bias, owner, len(first) - 1))
             bad = np.flatnonzero(chance >= OFFENDING)
             row = np.searchsorted(first, bad, side="right") - 1
             characters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))

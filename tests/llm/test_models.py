@@ -82,6 +82,27 @@ def test_spans_are_in_characters(spark, make_docs):
             assert row["offending"] == [] and row["score"] == 0
 
 
+def test_length_alone_is_not_toxic(spark, make_docs):
+    weights = np.zeros(toxicity.BUCKETS, np.float32)
+    _, _, _, _, buckets = toxicity.sentences(np.frombuffer(b"brute", np.uint8), np.array([0, 5]))
+    weights[buckets] = 40
+    clean = "Good day. " * 10_000
+    texts = ["Good day", clean, clean + "You brute!", "You brute!", clean + "You brute! " + clean]
+    rows = toxicity.score(make_docs(texts), toxicity.Model(weights, -8.0)).collect()
+    scores = [r["score"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    assert scores[0] == pytest.approx(scores[1]) and scores[1] < 0.001
+    assert min(scores[2:]) > 0.99 and sum(len(r["offending"]) for r in rows) == 3
+
+
+def test_training_does_not_count_sentences_without_evidence():
+    sentence, bucket = np.arange(8), np.array([1, 2, 1, 2, 1, 2, 1, 3])
+    labels = np.array([1, 0] * 4)
+    short = toxicity.train(sentence, bucket, np.arange(8), labels)
+    padded = np.concatenate((np.arange(8), np.repeat(np.arange(8), 10_000)))
+    long = toxicity.train(sentence, bucket, padded, labels)
+    assert short.weights[1] > 0 and np.allclose(short.weights, long.weights)
+
+
 def test_sample_is_bounded_and_reads_one_label_per_id(spark, make_docs):
     docs = make_docs([f"t{i}" for i in range(40)])
     labels = spark.createDataFrame(
