@@ -114,6 +114,18 @@ def test_sample_is_bounded_and_reads_one_label_per_id(spark, make_docs):
     assert len(whole) == 40 and whole["t3"] == 1 and whole["t4"] == 1
 
 
+def test_sample_has_one_row_per_id(spark, make_docs):
+    texts = [f"t{i}" for i in range(8)] + ["one", "two", None] * 50
+    docs = make_docs(texts, [*range(8)] + [3] * 150, parts=5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    runs = [
+        sorted(map(str, labelled_sample(d, labels, "toxic", "doc_id", "text", 8).collect()))
+        for d in (docs, docs.repartition(2), docs.orderBy("text"))
+    ]
+    assert len(runs[0]) == 8 and runs[0] == runs[1] == runs[2]
+    assert all(any(f"'t{i}'" in r for r in runs[0]) for i in (0, 1, 2, 4, 5, 6, 7))
+
+
 def test_held_out_rows_are_never_learned_from(spark, sf_dir):
     import zlib
 
