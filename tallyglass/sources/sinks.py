@@ -70,17 +70,23 @@ def _stored(spark: SparkSession, folder: str, schema: StructType) -> DataFrame |
         raise
 
 
+def _of_same(stored: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """Stored rows in the folders (``columns``) of the new rows; null is a folder too."""
+    folders = new.select(*[F.col(c).alias(f"_{c}") for c in columns]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    return stored.join(F.broadcast(folders), same, "left_semi")  # at most a row a day
+
+
 def log_append(events: DataFrame, folder: str, key: str = "event_id") -> None:
     """Append events whose id is neither stored nor repeated within the batch.
 
-    One folder per day; an id belongs to one time, so only the days of the batch are
-    searched for stored ids.
+    One folder per day, and one for rows without a time; an id belongs to one time, so only
+    the days of the batch are searched for stored ids.
     """
     dated = events.dropDuplicates([key]).withColumn("date", F.to_date("ts"))
     stored = _stored(events.sparkSession, folder, dated.schema)
     if stored is not None:
-        days = F.broadcast(dated.select("date").distinct())  # at most a row a day
-        known = stored.select("date", key).join(days, "date", "left_semi")
+        known = _of_same(stored.select("date", key), dated, ["date"])
         dated = dated.join(known.select(key), key, "left_anti")
     dated.write.mode("append").partitionBy("date").parquet(folder)
 
@@ -94,13 +100,13 @@ def aggregates_write(aggregates: DataFrame, folder: str) -> None:
     """Merge aggregates into the stored ones: a row replaces the one with its key.
 
     Days the aggregates touch are merged into a new version, which is written in full
-    before it takes their place; other days and other series of those days stay.
+    before it takes their place; other days and other series of those days stay.  Rows
+    without a time are merged alike.
     """
     dated = aggregates.withColumn("date", F.to_date("ts"))
     stored = _stored(aggregates.sparkSession, folder, dated.schema)
     if stored is not None:
-        touched = F.broadcast(dated.select("granularity", "date").distinct())
-        same_days = stored.join(touched, ["granularity", "date"], "left_semi")
+        same_days = _of_same(stored, dated, ["granularity", "date"])
         dated = merged_version(upsert_aggregates(same_days, dated), "aggregates")
     (
         dated.write.mode("overwrite")

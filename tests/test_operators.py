@@ -117,6 +117,28 @@ def test_aggregates_write_loses_nothing(spark, tmp_path):
     ]
 
 
+def test_second_append_of_rows_without_a_time(spark, tmp_path):
+    log, aggs = str(tmp_path / "log"), str(tmp_path / "aggs")
+    events = spark.createDataFrame(
+        [("a", None), ("b", START)], "event_id string, ts timestamp_ntz"
+    )
+    for _ in range(2):
+        sinks.log_append(events, log)
+    back = sinks.log_read(spark, log, events.schema).collect()
+    assert sorted(r.event_id for r in back) == ["a", "b"]
+
+    schema = "metric_name string, metric_type string, granularity string, ts timestamp_ntz, count long"
+    for name, count in (("a", 1), ("b", 2), ("a", 3)):
+        frame = spark.createDataFrame(
+            [(name, "t", "hour", None, count), (name, "t", None, START, count)], schema
+        )
+        sinks.aggregates_write(frame, aggs)
+    found = sinks.aggregates_read(spark, aggs, frame.schema).collect()
+    assert sorted((r.metric_name, str(r.granularity), r["count"]) for r in found) == [
+        ("a", "None", 3), ("a", "hour", 3), ("b", "None", 2), ("b", "hour", 2),
+    ]
+
+
 def test_sessions_without_address_and_after_logout(spark):
     hour = dt.timedelta(hours=1)
     sessions = spark.createDataFrame(
