@@ -105,6 +105,38 @@ _register_values(
 _register_values("agg_tumbling_close", CLOSE_SQL, lambda: F.lit(1.7e9) + F.col("value"))
 
 
+def _register_sums(name: str, source_sql: str, value: Callable[[], Column], shown: list[str]) -> None:
+    """What depends on the order of sums too, rounded to the digits that no order changes."""
+    all_sql = POINTS_SQL.replace("points AS", "all_points AS")
+    sql = f"""WITH {all_sql}, {source_sql}, {tumbling_sql('day')}
+SELECT {KEY_SQL}, count, {", ".join(shown)} FROM aggs WHERE count > 0"""
+    sql = sql.replace("count(*) AS count", "count(value) AS count")
+
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        points = metric_points(spark, sf_dir).withColumn("user_id", F.col("tags.user_id").cast("long"))
+        found = ts.aggregate_tumbling(points.withColumn("value", value()), "day")
+        return found.selectExpr(*ts.AGG_KEY, "count", *shown)
+
+
+_register_sums(
+    "agg_tumbling_nulls_sums",
+    NULLS_SQL,
+    lambda: F.when(F.col("user_id") % 4 != 0, F.col("value")),
+    ["round(sum, 6) AS sum", "round(avg, 8) AS avg", "round(std, 8) AS std"],
+)
+_register_sums(
+    "agg_tumbling_close_sums",
+    CLOSE_SQL,
+    lambda: F.lit(1.7e9) + F.col("value"),
+    [
+        "round(sum / 1.7e9, 6) AS sum",
+        "round(avg - 1.7e9, 1) AS avg",
+        "round(std, 3) AS std",
+    ],
+)
+
+
 def _register_trailing(granularity: str) -> None:
     name = "agg_trailing" if granularity == "week" else f"agg_trailing_{granularity}"
     width = GRANULARITY_SECONDS[granularity]

@@ -20,6 +20,12 @@ def test_every_query_has_sql():
     assert set(ORACLES) == set(QUERIES)
 
 
+@pytest.mark.parametrize("values", ["nulls", "close"])
+def test_sums_and_deviations_are_compared(spark, sf_dir, values):
+    df = QUERIES[f"agg_tumbling_{values}_sums"](spark, sf_dir)
+    assert {"sum", "avg", "std"} <= set(df.columns)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, con, name):
     df = QUERIES[name](spark, sf_dir)
