@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    best_fit,
     bpe,
     exact_dedup,
     license_scan,
@@ -246,3 +247,9 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"),
     )
+
+
+@query("op13_best_fit")
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(texts(spark, sf_dir), vocabulary(WORD_FILE), keep=["doc_id"])
+    return best_fit.pack(coded, keep=["doc_id"]).drop("ids")
