@@ -16,6 +16,7 @@ from . import (
     license_scan,
     near_dups,
     packing,
+    periodic_runs,
     quality_model,
     quality_rules,
     token_counts,
@@ -249,6 +250,13 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_repeats(texts(spark, sf_dir))
+    found = periodic_runs.periodic_runs(docs, keep=["doc_id"])
+    return found.select("doc_id", *[c.alias(n) for n, c in periodic_runs.digests().items()])
+
+
 @query("op13_best_fit")
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(texts(spark, sf_dir), vocabulary(WORD_FILE), keep=["doc_id"])
