@@ -19,6 +19,7 @@ from . import (
     periodic_runs,
     quality_model,
     quality_rules,
+    spelling,
     token_counts,
     toxicity,
     url_filter,
@@ -257,6 +258,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(n) for n, c in periodic_runs.digests().items()])
 
 
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.frequent_words(texts(spark, sf_dir), every=199)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query("op13_best_fit")
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(texts(spark, sf_dir), vocabulary(WORD_FILE), keep=["doc_id"])
