@@ -17,7 +17,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
@@ -35,27 +34,56 @@ KNOWN_LENGTH = 64
 _LONG_TEXT = 1 << 20
 
 
+class Classes(NamedTuple):
+    """Where the class of characters changes, over all code points but lone surrogates."""
+
+    starts: np.ndarray
+    kinds: np.ndarray
+
+
 @functools.cache
-def _classes(split: bool) -> np.ndarray:
-    """Class of every code point.
+def class_changes(split: bool) -> Classes:
+    """Character classes of the library's ``Split`` step or else of its byte-level step.
 
-    The library's ``Split`` step knows a newer Unicode than its byte-level step, so
-    for ``split`` its own regular expressions are asked, once for all code points.
+    The two know different versions of Unicode, so the library itself is asked: the step
+    cuts the text of all code points where their class changes, and one character of each
+    part tells the class by whether it joins a letter, a number or a mark.
     """
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 0x20)
     codes = np.frombuffer(every.encode("utf-32-le"), np.uint32)
-    table = np.full(0x110000, OTHER, np.uint8)
-    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
-        if split:
+    if split:
+        table = np.full(0x110000, OTHER, np.uint8)
+        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
             step = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
-            spans = [span for _, span in step.pre_tokenize_str(every)]
-        else:
-            spans = [m.span() for m in regex.finditer(pattern, every)]
-        for low, high in spans:
-            table[codes[low:high]] = kind
+            for _, (low, high) in step.pre_tokenize_str(every):
+                table[codes[low:high]] = kind
+    else:
+        table = np.full(0x110000, SPACE, np.uint8)
+        step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+        for _, (low, high) in step.pre_tokenize_str(every):
+            for mark, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
+                if len(step.pre_tokenize_str(mark + every[low])) == 1:
+                    table[codes[low:high]] = kind
+    table[0x20] = SPACE
     table[0xD800:0xE000] = SPECIAL
     table[_END] = CUT
-    return table
+    starts = np.flatnonzero(np.diff(table, prepend=255))
+    return Classes(starts, table[starts])
+
+
+_given: dict[bool, Classes] = {}
+
+
+def use_classes(split: bool, changes: Classes) -> None:
+    """Take the classes the driver has found, so that a task need not ask the library again."""
+    _given.setdefault(split, changes)
+
+
+@functools.cache
+def _classes(split: bool) -> np.ndarray:
+    """Class of every code point."""
+    starts, kinds = _given.get(split) or class_changes(split)
+    return np.repeat(kinds, np.diff(starts, append=0x110000))
 
 
 class Pairs:
@@ -266,14 +294,14 @@ def pre_tokens(rule: Rules, joined: str) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class Words:
-    """Merged symbols of the words met so far in a task, sorted by hash, bounded in number."""
+    """Merged symbols of the words met so far in a task, bounded in number."""
 
     def __init__(self, rule: Rules):
         self.rule = rule
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.symbols = np.zeros(0, np.int32)
@@ -289,30 +317,32 @@ class Words:
         return self.rule.pairs.merge(symbols, lengths)
 
     def look_up(
-        self, joined: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray
+        self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray]:
         """Start and length of the symbols of every pre-token, in ``self.symbols``."""
-        hashes = ragged.span_hashes(codes, starts, ends)
-        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > KNOWN_WORDS:
+        which, distinct = ragged.span_ids(codes, starts, ends)
+        words = distinct.to_pylist()
+        if len(self.known) > KNOWN_WORDS:
             self.clear()
-        at = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), bool)
-        near = at < len(self.hashes)
-        new[near] = self.hashes[at[near]] != distinct[near]
-        if new.any():
-            places = example[new]
-            spans = zip(starts[places].tolist(), ends[places].tolist(), strict=True)
-            symbols, lengths = self.merged([joined[a:b] for a, b in spans])
+        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            symbols, lengths = self.merged([plain(w) for w in fresh])
+            at[new] = len(self.starts) + np.arange(len(new))
+            self.known.update(zip(fresh, at[new].tolist(), strict=True))
             begins = len(self.symbols) + np.cumsum(lengths) - lengths
             self.symbols = np.concatenate((self.symbols, symbols))
-            self.hashes = np.insert(self.hashes, at[new], distinct[new])
-            self.starts = np.insert(self.starts, at[new], begins)
-            self.lengths = np.insert(self.lengths, at[new], lengths)
-            at += np.cumsum(new) - new
+            self.starts = np.concatenate((self.starts, begins))
+            self.lengths = np.concatenate((self.lengths, lengths))
         return self.starts[at][which], self.lengths[at][which]
 
 
+def plain(codes: bytes) -> str:
+    """The word of packed code points."""
+    return codes.decode("utf-32-le", "surrogatepass")
+
+
 _words: dict[str, Words] = {}
 
 
@@ -360,7 +390,7 @@ def _encode_piece(rule: Rules, words: Words, parts: list[str]) -> tuple[np.ndarr
     begin = np.zeros(len(starts), np.int64)
     length = np.ones(len(starts), np.int64)
     if easy.any():
-        begin[easy], length[easy] = words.look_up(joined, codes, starts[easy], ends[easy])
+        begin[easy], length[easy] = words.look_up(codes, starts[easy], ends[easy])
     pool = [words.symbols]
     base = len(words.symbols)
     if not ordinary.all():
@@ -392,8 +422,12 @@ def encode(
     stretches cut where a pre-token begins.  Repeated rows stay repeated, an empty
     table gives an empty one, and a column named like ``out`` is replaced.
     """
+    split = rules(path).single_numbers
+    changes = class_changes(split)
 
     def make() -> ragged.Work:
+        use_classes(split, changes)
+
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             ids, offsets = encode_texts(path, ragged.texts(columns[0]))
             return [ragged.binaries(ids.astype("<u4").view(np.uint8), offsets * 4)]
@@ -455,8 +489,9 @@ def decode(
 
     A file without a decoder gives the token strings joined by spaces; a byte-level
     decoder gives the bytes as UTF-8 with broken characters replaced.  Ids outside the
-    vocabulary are skipped.  Null and empty ids give an empty text; clashing names are
-    replaced.
+    vocabulary are skipped.  Null and empty ids give an empty text, ids of any length are
+    decoded whole, repeated rows stay repeated, an empty table gives an empty one, and a
+    column named like ``out`` is replaced.
     """
 
     def make() -> ragged.Work:

@@ -34,13 +34,6 @@ RUNS = T.ArrayType(
 )
 
 
-def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal words (compared byte by byte) of spans in text order."""
-    lengths = ends - starts
-    words = ragged.binaries(ragged.gather(data, starts, lengths), ragged.offsets_of(lengths))
-    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 class Suffixes:
     """Suffix array of several rows of symbols, suffixes of a row compared within it.
 
@@ -252,7 +245,7 @@ def periodic_runs(
             data, offsets = ragged.flat(columns[0])
             rows = len(offsets) - 1
             starts, ends, first = ragged.word_spans(data, offsets, ragged.visible_bytes())
-            begin, end, period = find_runs(word_numbers(data, starts, ends), first)
+            begin, end, period = find_runs(ragged.span_ids(data, starts, ends)[0], first)
             of = np.searchsorted(first, begin, side="right") - 1
             cuts = np.searchsorted(of, np.arange(rows + 1))
             parts = [begin - first[of], end - begin, period]

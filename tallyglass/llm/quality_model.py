@@ -49,7 +49,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     data, offsets = ragged.padded(data, offsets)
     starts, ends, _ = ragged.word_spans(data, offsets, ragged.visible_bytes())
     data = np.where(ragged.visible_bytes()[data], data, 0x20).astype(np.uint8)
-    words = ragged.span_hashes(data, starts, ends)
+    words = ragged.rolling_hashes(data, starts, ends)
     same = (words[1:] == words[:-1]) & (np.diff(_row_of(starts, offsets)) == 0)
     again = np.flatnonzero(same) + 1
     places = [starts, starts[again]]

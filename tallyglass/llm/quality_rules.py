@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from . import ragged
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = "#*$%&|<>"
 
 # A document fails a rule when its expression over the measurements is true; the bit
@@ -27,7 +27,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "many_symbols": "n_symbols > 50 AND 100 * n_symbols > 40 * n_words",
-    "repeated_lines": "n_dup_lines > 20 AND 100 * n_dup_lines > 30 * n_words",
+    "repeated_lines": "n_dup_lines >= 5 AND 100 * n_dup_lines > 30 * n_lines",
     "long_words": "word_chars > 25 * n_words",
     "short_words": "word_chars < 2 * n_words",
 }
@@ -45,19 +45,22 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     symbols = np.zeros(256, bool)
     symbols[list(SYMBOLS.encode())] = True
     characters = visible & ((data & 0xC0) != 0x80)
-    hashes = ragged.span_hashes(data, starts, ends)
+    words, _ = ragged.span_ids(data, starts, ends)
+    lines, repeated = _lines(data, offsets, visible, rows)
     return {
         "n_words": np.diff(first),
         "word_chars": ragged.sums(characters, offsets),
         "n_symbols": ragged.sums(symbols[data], offsets),
-        "n_dup_lines": _repeated_lines(data, offsets, visible, rows),
-        "n_repeat_words": _repeated_words(hashes, first, rows),
+        "n_dup_lines": repeated,
+        "n_repeat_words": _repeated_words(words, first, rows),
+        "n_lines": lines,
     }
 
 
-def _repeated_lines(
+def _lines(
     data: np.ndarray, offsets: np.ndarray, visible: np.ndarray, rows: int
-) -> np.ndarray:
+) -> tuple[np.ndarray, np.ndarray]:
+    """Lines with a word, and those of them that equal an earlier line of the row."""
     breaks = np.flatnonzero(data == 0x0A)
     starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
     ends = np.sort(np.concatenate((offsets[1:], breaks)))
@@ -66,29 +69,27 @@ def _repeated_lines(
     seen = np.concatenate(([0], np.cumsum(visible)))
     worded = seen[ends] > seen[starts]
     starts, ends, row = starts[worded], ends[worded], row[worded]
-    hashes = ragged.span_hashes(data, starts, ends)
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
-    again = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
-    return np.bincount(row[1:][again], minlength=rows)
+    line, distinct = ragged.span_ids(data, starts, ends)
+    different = np.unique(row * max(1, len(distinct)) + line) // max(1, len(distinct))
+    lines = np.bincount(row, minlength=rows)
+    return lines, lines - np.bincount(different, minlength=rows)
 
 
-def _repeated_words(hashes: np.ndarray, first: np.ndarray, rows: int) -> np.ndarray:
+def _repeated_words(words: np.ndarray, first: np.ndarray, rows: int) -> np.ndarray:
     """Words that lie in a window of three words found at least twice in the row."""
     row = np.repeat(np.arange(rows), np.diff(first))
-    if len(hashes) < 3:
+    if len(words) < 3:
         return np.zeros(rows, np.int64)
     inside = np.flatnonzero(row[2:] == row[:-2])
-    a, b, c = hashes[inside], hashes[inside + 1], hashes[inside + 2]
-    windows = ragged.mix(ragged.mix(ragged.mix(a) + b) + c) ^ ragged.mix(row[inside] + 1)
-    order = np.argsort(windows, kind="stable")
-    ordered = windows[order]
-    same = ordered[1:] == ordered[:-1]
-    twice = np.zeros(len(order), bool)
-    twice[:-1] |= same
-    twice[1:] |= same
-    at = inside[order[twice]]
-    covered = np.zeros(len(hashes), bool)
+    # Numbers of words, pairs and triples stay below the number of words of the batch.
+    kinds = int(words.max()) + 1
+    _, pairs = np.unique(words[inside] * kinds + words[inside + 1], return_inverse=True)
+    _, triples = np.unique(pairs * kinds + words[inside + 2], return_inverse=True)
+    _, windows, counts = np.unique(
+        triples * rows + row[inside], return_inverse=True, return_counts=True
+    )
+    at = inside[counts[windows] > 1]
+    covered = np.zeros(len(words), bool)
     for k in range(3):
         covered[at + k] = True
     return ragged.sums(covered, first)
@@ -124,12 +125,12 @@ def ledger(
 
     Words are runs of anything but ASCII white space; ``word_chars`` their code
     points; ``n_symbols`` the characters of ``SYMBOLS``; ``n_dup_lines`` the lines
-    with a word that equal an earlier line of the text; ``n_repeat_words`` the words
-    inside three-word windows that occur at least twice in the text, the first
+    with a word that equal an earlier line of the text and ``n_lines`` all lines with a
+    word; ``n_repeat_words`` the words inside three-word windows that occur at least twice in the text, the first
     occurrence included.  A null text counts as empty: all measurements are 0.  Texts
     are measured whole, repeated rows each get their own entry, an empty table gives an
-    empty ledger, and columns with the added names are replaced.  Lines and windows are
-    compared by 64-bit hashes.
+    empty ledger, and columns with the added names are replaced.  Words and lines are
+    compared byte by byte.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
     bits = F.lit(0).cast("long")

@@ -128,9 +128,7 @@ _FAILED = " + ".join(
 )
 
 
-@query(
-    "op3_quality_rules",
-    rf"""
+_LEDGER = rf"""
     WITH words AS (
         SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
         FROM documents),
@@ -145,7 +143,7 @@ _FAILED = " + ".join(
         SELECT doc_id, count(DISTINCT i + k) AS n
         FROM again, (VALUES (0), (1), (2)) AS t(k) GROUP BY doc_id),
     lines AS (
-        SELECT doc_id, count(*) - count(DISTINCT line) AS n
+        SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
     measured AS (
@@ -155,9 +153,17 @@ _FAILED = " + ".join(
             length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT
                 AS n_symbols,
             coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
-            coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+            coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+            coalesce(lines.n_lines, 0)::BIGINT AS n_lines
         FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
     ledger AS (SELECT *, ({_FAILED})::BIGINT AS failed_bits FROM measured)
+"""
+
+
+@query(
+    "op3_quality_rules",
+    _LEDGER
+    + f"""
     SELECT *, failed_bits & {quality_rules.mask_of("base")} != 0 AS base_failed,
         failed_bits & {quality_rules.mask_of("2")} = 0 AS kept
     FROM ledger
@@ -170,6 +176,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_POLICY_RULES = ", ".join(
+    f"('{policy}', '{rule}', {quality_rules.bit(rule)}, {quality_rules.mask_of(names)})"
+    for policy, names in quality_rules.POLICIES.items()
+    for rule in names
+)
+
+
+@query(
+    "quality_ablations",
+    _LEDGER
+    + f"""
+    SELECT policy, rule, sum((failed_bits & own != 0)::INT)::BIGINT AS failed,
+        sum((failed_bits & whole = own)::INT)::BIGINT AS only,
+        sum((failed_bits & whole != 0)::INT)::BIGINT AS rejected
+    FROM ledger, (VALUES {_POLICY_RULES}) AS p(policy, rule, own, whole) GROUP BY policy, rule
+    """,
+)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(quality_rules.ledger(texts(spark, sf_dir), keep=[]))
+
+
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(texts(spark, sf_dir), vocabulary(WORD_FILE), keep=["doc_id"])

@@ -7,6 +7,7 @@ work of a task is a few array operations and not a loop over words.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -174,11 +175,12 @@ def symbol_table(size: int) -> np.ndarray:
     return mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(_STEP))
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of small numbers (bytes or code points).
+def rolling_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of small numbers, whose cost does not grow with its length.
 
-    A polynomial over scrambled symbols: equal spans get equal hashes wherever
-    they stand, and two of n different spans collide with odds of about n*n / 2**65.
+    A polynomial over scrambled symbols modulo 2**64: equal spans get equal hashes wherever
+    they stand.  Long different spans with the same hash can be constructed, so this is for
+    uses where such a pair costs a comparison or a shared model weight and nothing else.
     """
     table = symbol_table(256 if symbols.dtype == np.uint8 else 0x110000)
     total = np.zeros(len(symbols) + 1, np.uint64)
@@ -187,6 +189,31 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(_STEP))
 
 
+def span_ids(
+    symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, pa.Array]:
+    """Numbers from 0, equal for equal spans, and the bytes of the distinct spans by number.
+
+    Spans are compared byte by byte.
+    """
+    lengths = ends - starts
+    size = symbols.itemsize
+    data = gather(symbols, starts, lengths).view(np.uint8)
+    coded = binaries(data, offsets_of(lengths) * size).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2b digest of each span; each distinct span is digested once.
+
+    No way is known to construct spans that collide other than trying: two of n different
+    spans do with odds of about n*n / 2**65.
+    """
+    ids, distinct = span_ids(symbols, starts, ends)
+    digests = [hashlib.blake2b(x, digest_size=8).digest() for x in distinct.to_pylist()]
+    return np.frombuffer(b"".join(digests), np.uint64)[ids]
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edges = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))

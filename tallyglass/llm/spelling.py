@@ -120,8 +120,8 @@ def _marks(words: DataFrame) -> DataFrame:
             rare = place <= third[owner]
             at, owner, gram = at[rare], owner[rare], gram[rare]
             starts, ends = offsets[owner], offsets[owner + 1]
-            upto = ragged.mix(ragged.span_hashes(data, starts, at + 2) ^ np.uint64(1))
-            since = ragged.mix(ragged.span_hashes(data, at, ends) ^ np.uint64(2))
+            upto = ragged.mix(ragged.rolling_hashes(data, starts, at + 2) ^ np.uint64(1))
+            since = ragged.mix(ragged.rolling_hashes(data, at, ends) ^ np.uint64(2))
             cuts = np.searchsorted(owner, np.arange(len(lengths) + 1))
             found = np.stack((upto, since), axis=1).view(np.int64)
             asked = np.empty((len(lengths), 2), np.int64)

@@ -18,15 +18,11 @@ from . import bpe, ragged
 
 
 class Counts:
-    """Surviving symbols of the pre-tokens met so far in a task, by hash."""
+    """Surviving symbols of the pre-tokens met so far in a task."""
 
     def __init__(self, rule: bpe.Rules):
         self.rule = rule
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.counts = np.zeros(0, np.int32)
+        self.known: dict[bytes, int] = {}
 
     def survivors(self, words: list[str]) -> np.ndarray:
         encoded = [w.encode("utf-8") for w in words]
@@ -36,25 +32,18 @@ class Counts:
         symbols[ends - 1] = self.rule.last[data[ends - 1]]
         return self.rule.pairs.merge(symbols, lengths)[1]
 
-    def look_up(
-        self, joined: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray
-    ) -> np.ndarray:
-        hashes = ragged.span_hashes(codes, starts, ends)
-        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > 2 * bpe.KNOWN_WORDS:
-            self.clear()
-        at = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), bool)
-        near = at < len(self.hashes)
-        new[near] = self.hashes[at[near]] != distinct[near]
-        if new.any():
-            places = example[new]
-            spans = zip(starts[places].tolist(), ends[places].tolist(), strict=True)
-            counts = self.survivors([joined[a:b] for a, b in spans])
-            self.hashes = np.insert(self.hashes, at[new], distinct[new])
-            self.counts = np.insert(self.counts, at[new], counts.astype(np.int32))
-            at += np.cumsum(new) - new
-        return self.counts[at][which].astype(np.int64)
+    def look_up(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        which, distinct = ragged.span_ids(codes, starts, ends)
+        words = distinct.to_pylist()
+        if len(self.known) > bpe.KNOWN_WORDS:
+            self.known.clear()
+        counts = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(counts < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            counts[new] = self.survivors([bpe.plain(w) for w in fresh])
+            self.known.update(zip(fresh, counts[new].tolist(), strict=True))
+        return counts[which]
 
 
 _counts: dict[str, Counts] = {}
@@ -73,7 +62,7 @@ def count_texts(path: str, texts: list[str]) -> np.ndarray:
         long = ends - starts > bpe.KNOWN_LENGTH
         easy, rare = ordinary & ~long, ordinary & long
         if easy.any():
-            counts[easy] = known.look_up(joined, codes, starts[easy], ends[easy])
+            counts[easy] = known.look_up(codes, starts[easy], ends[easy])
         if rare.any():
             spans = zip(starts[rare].tolist(), ends[rare].tolist(), strict=True)
             counts[rare] = known.survivors([joined[a:b] for a, b in spans])
@@ -97,8 +86,12 @@ def count_tokens(
     tokens.  Texts of any length are counted whole, repeated rows stay, empty tables
     stay empty, and columns with the added names are replaced.
     """
+    split = bpe.rules(path).single_numbers
+    changes = bpe.class_changes(split)
 
     def make() -> ragged.Work:
+        bpe.use_classes(split, changes)
+
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             sizes = np.diff(ragged.flat(columns[0])[1])
             counts = count_texts(path, ragged.texts(columns[0]))
@@ -109,6 +102,6 @@ def count_tokens(
     adds = T.StructType(
         [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     )
-    kept = [c for c in (keep or df.columns) if c.lower() != "over_limit"]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() != "over_limit"]
     counted = ragged.with_columns(df, [text], adds, make, kept)
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

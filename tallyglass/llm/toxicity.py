@@ -60,7 +60,7 @@ def sentences(
     low = ragged.lower_bytes()[data]
     starts, ends, first = ragged.word_spans(low, offsets, sentence_bytes())
     words, word_ends, _ = ragged.word_spans(low, offsets, ragged.letter_bytes())
-    places, hashes = [words], [ragged.span_hashes(low, words, word_ends)]
+    places, hashes = [words], [ragged.rolling_hashes(low, words, word_ends)]
     for size in SIZES:
         at, found = ragged.ngram_hashes(low, words, word_ends, size)
         places.append(at)

@@ -46,6 +46,24 @@ def test_ids_and_texts_equal_the_library(both):
     assert token_counts.count_texts(path, texts).tolist() == [len(x) for x in expected]
 
 
+def test_every_character_beside_others(both):
+    """All code points next to a contraction, a letter, a number, a mark, spaces and breaks."""
+    path, library = both
+    some = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = []
+    for low in range(0, len(some), 512):
+        for around in ("{0}'s a{0}1{0} {0}!{0}", "'{0} {0}\n{0}  {0}", "1{0}'s{0}'ll"):
+            texts.append("|".join(around.format(c) for c in some[low : low + 512]))
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.count_texts(path, texts).tolist() == expected
+    assert [len(e) for e in np.split(*encoded(path, texts))] == expected
+
+
+def encoded(path, texts):
+    ids, offsets = bpe.encode_texts(path, texts)
+    return ids, offsets[1:-1]
+
+
 def test_long_texts_are_cut_where_a_token_begins(both, monkeypatch):
     path, library = both
     monkeypatch.setattr(bpe, "_LONG_TEXT", 50)

@@ -7,6 +7,7 @@ from fnmatch import fnmatchcase
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tallyglass.llm import license_scan, quality_rules, ragged, url_filter
 from tallyglass.llm.queries import QUERIES, URL_GLOBS, URL_RULES
@@ -71,7 +72,7 @@ def measured(text):
     lines = [line for line in text.split("\n") if WORD.search(line)]
     symbols = sum(text.count(c) for c in quality_rules.SYMBOLS)
     chars = sum(map(len, words))
-    return len(words), chars, symbols, len(lines) - len(set(lines)), len(covered)
+    return len(words), chars, symbols, len(lines) - len(set(lines)), len(covered), len(lines)
 
 
 def test_measurements(make_docs):
@@ -86,6 +87,35 @@ def test_measurements(make_docs):
     assert quality_rules.ledger(make_docs(texts).limit(0)).count() == 0
 
 
+def thue_morse(size, a, b):
+    """A sequence that collides with its complement under any polynomial hash modulo 2**64."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(size))
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 8192])
+def test_constructed_words_and_lines_are_told_apart(make_docs, size):
+    x, y = thue_morse(size, "p", "q"), thue_morse(size, "q", "p")
+    texts = [f"{x}\n{y}", f"A {x} B {y} C", f"A {x} y B z A {y} y B", f"{x}\n{x}"]
+    for row in quality_rules.ledger(make_docs(texts)).collect():
+        assert tuple(row[m] for m in quality_rules.MEASURES) == measured(row["text"])
+    words = ragged.flat(pa.array([x + " " + y]))
+    spans = ragged.word_spans(*words, ragged.letter_bytes())[:2]
+    assert len(set(ragged.span_hashes(words[0], *spans).tolist())) == 2
+    phrase = license_scan.Template("x", f"a {x} b", True)
+    found = license_scan.scan(make_docs([f"a {y} b", f"a {x} b"]), [phrase]).collect()
+    assert {r["doc_id"]: r["n_base"] for r in found} == {0: 0, 1: 1}
+
+
+def test_repeated_lines_are_set_against_lines(make_docs):
+    """Ten different words a line, four lines in ten repeated."""
+    line = lambda n: " ".join(f"w{n}x{k}" for k in range(10))
+    docs = make_docs(["\n".join(line(n % 24) for n in range(40)), "\n".join(map(line, range(40)))])
+    rows = {r["doc_id"]: r for r in quality_rules.ledger(docs).collect()}
+    assert rows[0]["n_dup_lines"] == 16 and rows[0]["n_lines"] == 40
+    assert rows[0]["failed_bits"] & quality_rules.bit("repeated_lines")
+    assert rows[1]["failed_bits"] == 0
+
+
 def test_policies_and_ablations(spark):
     bit = quality_rules.bit
     few, repeated, symbols = bit("few_words"), bit("repeated_words"), bit("many_symbols")
