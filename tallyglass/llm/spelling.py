@@ -98,11 +98,19 @@ def _order(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rank, weight
 
 
+def _keys(sides: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of untouched sides together with the length of the word that has them."""
+    return ragged.mix((sides ^ ragged.mix(lengths.ravel()).reshape(lengths.shape)).ravel()).view(
+        np.int64
+    ).reshape(sides.shape)
+
+
 def _marks(words: DataFrame) -> DataFrame:
     """Words with the rank of their third bigram, and hashes to look up and to be found by.
 
-    Each rare bigram has two hashes: of the word up to it and of the word from it on.  A hash
-    that two texts share costs a comparison and nothing else.
+    Each rare bigram has two hashes: of the word up to it and of the word from it on, each
+    with the word's length; a word looks for its own length and those next to it.  A hash that
+    two texts share costs a comparison and nothing else.
     """
     rank, weight = _order(words)
 
@@ -120,19 +128,22 @@ def _marks(words: DataFrame) -> DataFrame:
             rare = place <= third[owner]
             at, owner, gram = at[rare], owner[rare], gram[rare]
             starts, ends = offsets[owner], offsets[owner + 1]
-            upto = ragged.mix(ragged.rolling_hashes(data, starts, at + 2) ^ np.uint64(1))
-            since = ragged.mix(ragged.rolling_hashes(data, at, ends) ^ np.uint64(2))
+            upto = ragged.rolling_hashes(data, starts, at + 2)
+            since = ~ragged.rolling_hashes(data, at, ends)
             cuts = np.searchsorted(owner, np.arange(len(lengths) + 1))
-            found = np.stack((upto, since), axis=1).view(np.int64)
-            asked = np.empty((len(lengths), 2), np.int64)
+            texts = np.stack((upto, since), axis=1)
+            found = _keys(texts, lengths[owner, None])
+            sides = np.empty((len(lengths), 2), np.uint64)
             steps, heavy = at.tolist(), weight[gram].tolist()
             for i, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 first, second = pivots(steps[low:high], heavy[low:high])
-                asked[i, 0] = found[low + steps[low:high].index(first), 0]
-                asked[i, 1] = found[low + steps[low:high].index(second), 1]
+                sides[i, 0] = texts[low + steps[low:high].index(first), 0]
+                sides[i, 1] = texts[low + steps[low:high].index(second), 1]
+            asked = [_keys(sides, lengths[:, None] + longer) for longer in (-1, 0, 1)]
+            asked = np.concatenate(asked, axis=1)
             return [
                 pa.array(third),
-                ragged.list_column(asked.ravel(), np.arange(len(lengths) + 1) * 2, pa.int64()),
+                ragged.list_column(asked.ravel(), np.arange(len(lengths) + 1) * 6, pa.int64()),
                 ragged.list_column(found.ravel(), cuts * 2, pa.int64()),
             ]
 
@@ -164,7 +175,6 @@ def near_words(words: DataFrame) -> DataFrame:
     near = (
         (F.col("asking.key") == F.col("rare.key"))
         & (F.col("third") <= F.col("other_third"))
-        & (F.abs(F.char_length("word") - F.char_length("other")) <= 1)
         & (F.levenshtein("word", "other", 1) == 1)
     )
     pairs = asking.alias("asking").join(rare.alias("rare"), near)
