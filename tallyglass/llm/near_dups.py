@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tallyglass.functions.skew import SMALL_ROWS
+from tallyglass.functions.skew import SMALL_ROWS, lookup_join
 from tallyglass.session import work_folder
 
 from . import ragged
@@ -136,14 +136,32 @@ def _small(df: DataFrame, most: int = _MOST_BROADCAST) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def bitmaps(elements: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each set in 64-bit words, and the rows' offsets into them.
+
+    Bit (hash modulo width) is set for every element; a set of n elements has the smallest
+    width of 1024, 4096, 16384 ... bits that holds 3/4 n.
+    """
+    sizes = np.diff(ends)
+    width = np.full(len(sizes), 1024, np.int64)
+    while (tight := width * 4 < sizes * 3).any():
+        width[tight] *= 4
+    starts = ragged.offsets_of(width)
+    bits = np.zeros(starts[-1], bool)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bits[starts[row] + (elements % width[row].astype(np.uint64)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view("<i8"), starts // 64
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, text: str, settings: Settings) -> DataFrame:
-    """Shingles of the wanted nodes, from their whole texts."""
+    """Shingles and bitmap of the wanted nodes, from their whole texts."""
 
     def make() -> ragged.Work:
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             elements, times, ends = shingles(*ragged.flat(columns[0]), settings.words)
             lists = [ragged.list_column(elements.view(np.int64), ends, pa.int64())]
             lists.append(ragged.list_column(times, ends, pa.int32()))
+            lists.append(ragged.list_column(*bitmaps(elements, ends), pa.int64()))
             return lists
 
         return work
@@ -154,18 +172,48 @@ def _sets(rows: DataFrame, wanted: DataFrame, text: str, settings: Settings) ->
         [
             T.StructField("items", T.ArrayType(T.LongType())),
             T.StructField("times", T.ArrayType(T.IntegerType())),
+            T.StructField("bits", T.ArrayType(T.LongType())),
         ]
     )
     return ragged.with_columns(texts, ["text"], adds, make, ["node"], settings.piece_bytes)
 
 
+def _joined_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of both sets; only sets that are in a pair move."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = sets.join(F.broadcast(ends) if _small(ends) else ends, "node", "left_semi")
+    left = needed.toDF("a", *[f"{c}_a" for c in needed.columns[1:]])
+    right = needed.toDF("b", *[f"{c}_b" for c in needed.columns[1:]])
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs that their bitmaps allow to be similar enough: none of the others is.
+
+    Every bit that one set has and the other has not stands for an element of its own that
+    the other set lacks.  Sets whose bitmaps have different widths stay in.
+    """
+    both = _joined_sets(pairs, sets.select("node", F.size("items").alias("size"), "bits"))
+    lacking = lambda x, y: F.aggregate(
+        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))),
+        F.lit(0),
+        lambda total, n: total + n,
+    )
+    total = F.col("size_a") + F.col("size_b")
+    needed = F.ceil(total * settings.similarity / (1 + settings.similarity) - 1e-9)
+    fits = (F.col("size_a") - lacking("bits_a", "bits_b") >= needed) & (
+        F.col("size_b") - lacking("bits_b", "bits_a") >= needed
+    )
+    return both.where((F.size("bits_a") != F.size("bits_b")) | fits).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
     if not settings.counted:
+        pairs = _written(_possible(pairs, sets, settings), "possible")
         sets = sets.drop("times")
-    left = sets.toDF("a", *[f"{c}_a" for c in sets.columns[1:]])
-    right = sets.toDF("b", *[f"{c}_b" for c in sets.columns[1:]])
-    both = pairs.join(left, "a").join(right, "b")
+    sets = sets.drop("bits")
+    both = _joined_sets(pairs, sets)
     size = lambda s: F.size(f"items_{s}")
     if settings.counted:
         count = lambda s: F.map_from_arrays(f"items_{s}", f"times_{s}")
@@ -281,7 +329,7 @@ def _components(rows: DataFrame, nodes: DataFrame, text: str, settings: Settings
             F.col("leader_rank") <= F.col("leader_size") - least + 1
         )
         pairs = (
-            members.join(leaders, "band")
+            lookup_join(members, leaders, ["band"])
             .where(near & (F.col("class") != F.col("leads")))
             .select(
                 F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
@@ -378,7 +426,7 @@ def _still_open(members: DataFrame, merged: DataFrame) -> DataFrame:
     members = members.join(merged, "node")
     classes = members.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     several = classes.where("low < high").select("band")
-    return _written(members.join(several, "band"), "members")
+    return _written(lookup_join(members, several, ["band"]), "members")
 
 
 def near_duplicates(

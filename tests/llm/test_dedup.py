@@ -161,6 +161,40 @@ def test_near_classes(make_docs, broadcast, crowd, monkeypatch):
     assert {r["id"] for r in rows if r["kept"]} == {c for c, _ in wanted.values()}
 
 
+def test_bitmaps_never_exclude_a_similar_pair(spark):
+    """Sets of many sizes, among them on both sides of a change of width."""
+    random_sets = np.random.default_rng(9)
+    sets, pairs = [], []
+    for n, size in enumerate([1, 2, 5, 9, 40, 300, 900, 1300, 1366, 1400, 2500, 5600, 9000]):
+        own = random_sets.choice(2**62, size * 2, replace=False)
+        for step, share in enumerate([1.0, 0.9, 0.89, 0.85, 0.5, 0.0]):
+            same = round(size * share)
+            members = np.concatenate((own[:same], own[size : 2 * size - same])).astype(np.uint64)
+            sets.append((10 * n + step, np.sort(members)))
+        pairs += [(10 * n + a, 10 * n + b) for a in range(6) for b in range(a + 1, 6)]
+    rows = []
+    for node, members in sets:
+        bits, cuts = near_dups.bitmaps(members, np.array([0, len(members)]))
+        assert len(bits) == cuts[1] and len(bits) * 64 >= 0.75 * len(members)
+        rows.append((node, members.astype(np.int64).tolist(), [1] * len(members), bits.tolist()))
+    frame = spark.createDataFrame(rows, "node long, items array<long>, times array<int>, bits array<long>")
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    settings = near_dups.Settings()
+    of = {node: set(members.tolist()) for node, members in sets}
+    similar = {(a, b) for a, b in pairs if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]) - 1e-12}
+    possible = {tuple(r) for r in near_dups._possible(asked, frame, settings).collect()}
+    assert similar <= possible and len(possible) < len(pairs) * 0.75
+    assert {tuple(r) for r in near_dups._similar(asked, frame, settings).collect()} == similar
+
+
+def test_constructed_words_make_no_copies(make_docs):
+    """Words that collide under polynomial hashes modulo 2**64 are different words."""
+    x = "".join("pq"[bin(i).count("1") % 2] for i in range(4096))
+    y = "".join("qp"[bin(i).count("1") % 2] for i in range(4096))
+    rows = near_dups.near_duplicates(make_docs([x, y, f"{x} a b c d", f"{y} a b c d"])).collect()
+    assert all(r["class_size"] == 1 for r in rows)
+
+
 def test_near_repeated_and_missing_ids(make_docs):
     long = " ".join(f"w{i}" for i in range(5000))
     texts = [long, long + " more", long, "other words here", None]
