@@ -7,76 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # Rows up to which a checked side is broadcast.
 SMALL_ROWS = 100_000
 
 
-def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: str,
-    out: str,
-    slice_of: Column,
-) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over rows of the key up to ``order``.
-
-    ``(keys, order)`` must be unique and ``slice_of`` must not decrease with
-    ``order``.  A plain window would sort a whole key in one task; here each
-    (key, slice) is one window partition, and only one row per slice is summed
-    along the key.
-    """
-    keys = list(keys)
-    sliced = df.withColumn("_slice", slice_of)
-    per_slice = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_total"))
-    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *keys, "_slice", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = (
-        W.partitionBy(*keys, "_slice")
-        .orderBy(order)
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    return (
-        sliced.join(offsets, [*keys, "_slice"])
-        .withColumn(out, F.col("_before") + F.sum(value).over(inside))
-        .drop("_slice", "_before")
-    )
-
-
-def previous_value(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: str,
-    out: str,
-    slice_of: Column,
-) -> DataFrame:
-    """``lag(value)`` along a key, computed slice by slice.
-
-    Same contract as :func:`running_total`: the first row of a slice takes the
-    last value of the key's previous slice that holds rows.
-    """
-    keys = list(keys)
-    sliced = df.withColumn("_slice", slice_of)
-    last_in_slice = sliced.groupBy(*keys, "_slice").agg(F.max_by(value, order).alias("_last"))
-    carried = last_in_slice.select(
-        *keys,
-        "_slice",
-        F.lag("_last").over(W.partitionBy(*keys).orderBy("_slice")).alias("_carried"),
-    )
-    inside = W.partitionBy(*keys, "_slice").orderBy(order)
-    first_here = F.row_number().over(inside) == 1
-    return (
-        sliced.join(carried, [*keys, "_slice"])
-        .withColumn(out, F.when(first_here, F.col("_carried")).otherwise(F.lag(value).over(inside)))
-        .drop("_slice", "_carried")
-    )
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = 1000) -> DataFrame:
     """Keys holding at least ``1/share`` of all rows: at most ``share`` of them."""
     counts = df.where(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull())
@@ -85,6 +22,20 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = 1000) -> DataFrame
     return counts.where(F.col("_n") * share >= total.scalar()).select(*keys)
 
 
+def _unhashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _unhashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unhashable(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType | T.VariantType)
+
+
+def _hashable(df: DataFrame) -> list[Column]:
+    """All columns in a form that can be hashed: those with maps inside as JSON."""
+    columns = [(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType) for f in df.schema]
+    return [F.to_json(F.struct(c)) if _unhashable(kind) else c for c, kind in columns]
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -97,14 +48,18 @@ def salted_join(
 
     Rows of hot keys are spread over ``salts`` join keys by a hash of the whole
     row (repeatable when a task is retried) and the right rows of those keys
-    are repeated.  The list of hot keys is broadcast: it has at most ``share``
-    rows whatever the data size.  ``how`` keeps left rows (inner, left, anti).
+    are repeated.  Rows with a null key match nothing and are spread as well.  The list
+    of hot keys is broadcast: it has at most ``share`` rows whatever the data size.
+    ``how`` keeps left rows (inner, left, anti).  Columns of any type may come along.
     """
     keys = list(keys)
     hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*_hashable(left)), F.lit(salts)).cast("int")
+    nameless = F.lit(False)
+    for key in keys:
+        nameless = nameless | F.col(key).isNull()
     salted = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot") | nameless, spread).otherwise(F.lit(0))
     )
     repeats = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))

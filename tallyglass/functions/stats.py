@@ -1,36 +1,23 @@
-"""Exact grouped statistics that never hold a group in one task."""
+"""Exact grouped statistics that never hold a group in one task.
+
+There is one way for groups of all sizes.  Equal values merge before they move; the
+values of all groups are dealt to parts of equal size by group and value, so that a
+large group lies in several parts however close its values are; counts per part tell
+which parts hold a wanted rank, and only those are sorted.  A null key is a group.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import values_at_ranks
 from .skew import lookup_join
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
-# Largest group that may be held in memory by one aggregation.
-DIRECT_ROWS = 100_000
-
-# Value slices per doubling of magnitude, and an offset that keeps slices of
-# positive values above zero (log2 of a double lies within +-1075).
-_PER_DOUBLING = 4096
-_OFFSET = 5_000_000
-
-# Parts of a slice that holds a wanted rank.
-_PARTS = 4096
-
-
-def value_slice(value: Column) -> Column:
-    """A slice number that never decreases with ``value``."""
-    step = F.floor(F.least(F.log2(F.abs(value)), F.lit(1025.0)) * _PER_DOUBLING) + _OFFSET
-    return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(
-        F.when(value > 0, step).otherwise(-step)
-    )
-
 
 def frequency(points: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Count of each distinct value per group; equal values merge map-side."""
@@ -49,6 +36,14 @@ def moments(value: str = "value") -> list[Column]:
     ]
 
 
+def by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which any may be null; null matches null."""
+    keys = list(keys)
+    lone = lambda df: df.withColumn("_key", F.struct(*keys)).drop(*keys)
+    joined = lookup_join(lone(left), lone(right), ["_key"], how)
+    return joined.select("_key.*", *[c for c in joined.columns if c != "_key"])
+
+
 def weighted_moments(freq: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """The same moments from distinct values with their count ``n``.
 
@@ -64,11 +59,11 @@ def weighted_moments(freq: DataFrame, keys: Sequence[str], value: str = "value")
         F.max(value).alias("max"),
     )
     off = F.col(value) - F.col("avg")
-    around = lookup_join(freq.select(*keys, value, "n"), first.select(*keys, "avg"), list(keys))
+    around = by_key(freq.select(*keys, value, "n"), first.select(*keys, "avg"), keys)
     second = around.groupBy(*keys).agg(
         F.sqrt(F.sum(F.col("n") * off * off) / F.sum("n")).alias("std")
     )
-    return first.join(second, list(keys))
+    return by_key(first, second, keys)
 
 
 def exact_percentiles(
@@ -76,115 +71,40 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str = "value",
     percentiles: dict[str, float] = PERCENTILES,
+    parts: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated percentiles per group.
 
-    ``freq`` has one row per (group, distinct value) with its count ``n``.
-    Groups are cut into value slices by magnitude.  One count per slice locates the
-    slices that hold a wanted rank; these are cut again between their smallest and
-    largest value, so values close together spread too, and only the parts that hold a
-    wanted rank are sorted.
+    ``freq`` has one row per (group, distinct value) with its count ``n``; a null value is
+    no value.  ``parts`` is the number of parts the values are dealt to.
     """
-    keys = list(keys)
-    rows = freq.select(*keys, F.col(value).alias("_v"), F.col("n").alias("_n")).withColumn(
-        "_slice", value_slice(F.col("_v"))
-    )
-    whole = W.partitionBy(*keys)
-    upto = whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    per_slice = (
-        rows.groupBy(*keys, "_slice")
-        .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-        .withColumn("_count", F.sum("_n").over(whole))
-        .withColumn("_start", F.sum("_n").over(upto) - F.col("_n"))
-    )
     position = {
         name: (F.col("_count") - 1).cast("double") * F.lit(q) for name, q in percentiles.items()
     }
-
-    def holds(start: Column, count: Column, rank: Column) -> Column:
-        return (start <= rank) & (rank < start + count)
-
-    wanted = F.lit(False)
-    for at in position.values():
-        for edge in (F.floor, F.ceil):
-            wanted = wanted | holds(F.col("_start"), F.col("_n"), edge(at))
-    targets = per_slice.where(wanted).select(*keys, "_slice", "_count", "_start", "_low", "_high")
-    # The slices found are cut again, evenly between their own smallest and largest value.
-    part = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    narrow = F.coalesce(F.floor(part * _PARTS), F.lit(0))
-    some = rows.join(targets, [*keys, "_slice"]).withColumn(
-        "_part", F.when(F.col("_high") > F.col("_low"), narrow).otherwise(F.lit(0))
-    )
-    before = W.partitionBy(*keys, "_slice").orderBy("_part")
-    before = before.rowsBetween(W.unboundedPreceding, W.currentRow)
-    per_part = (
-        some.groupBy(*keys, "_slice", "_part", "_count", "_start")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_start", F.col("_start") + F.sum("_n").over(before) - F.col("_n"))
-    )
-    found = per_part.where(wanted).select(*keys, "_slice", "_part", F.col("_start").alias("_base"))
-    inside = W.partitionBy(*keys, "_slice", "_part").orderBy("_v")
-    inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    picked = some.join(found, [*keys, "_slice", "_part"]).withColumn(
-        "_from", F.col("_base") + F.sum("_n").over(inside) - F.col("_n")
-    )
-    columns = []
+    wanted = {}
     for name, at in position.items():
-        for edge, tag in ((F.floor, "lo"), (F.ceil, "hi")):
-            here = holds(F.col("_from"), F.col("_n"), edge(at))
-            columns.append(F.max(F.when(here, F.col("_v"))).alias(f"_{name}_{tag}"))
-        columns.append(F.max(at - F.floor(at)).alias(f"_{name}_w"))
-    values = picked.groupBy(*keys).agg(*columns)
-    return values.select(
-        *keys,
-        *[
-            (
-                F.col(f"_{name}_lo")
-                + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_w")
-            ).alias(name)
-            for name in percentiles
-        ],
-    )
-
-
-def _largest(groups: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; one light pass over the key columns."""
-    sizes = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
-
-
-def _unpacked(df: DataFrame) -> DataFrame:
-    """The array of percentiles as columns."""
-    picks = {name: F.col("_p")[i] for i, name in enumerate(PERCENTILES)}
-    return df.withColumns(picks).drop("_p")
+        wanted[f"_{name}_lo"], wanted[f"_{name}_hi"] = F.floor(at), F.ceil(at)
+    found = values_at_ranks(freq.where(F.col(value).isNotNull()), keys, value, "n", wanted, parts)
+    between = {
+        name: F.col(f"_{name}_lo")
+        + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (at - F.floor(at))
+        for name, at in position.items()
+    }
+    return found.select(*keys, *[c.alias(name) for name, c in between.items()])
 
 
 def grouped_stats(
-    points: DataFrame, keys: Sequence[str], value: str = "value", direct: int = DIRECT_ROWS
+    points: DataFrame, keys: Sequence[str], value: str = "value", parts: int | None = None
 ) -> DataFrame:
-    """Moments and percentiles of plain rows; null values count nowhere.
-
-    Where no group has more than ``direct`` rows, one aggregation holds each group
-    in memory; otherwise percentiles are found slice by slice, with the same result.
-    """
-    keys = list(keys)
+    """Moments and percentiles of plain rows; null values count nowhere."""
     points = points.where(F.col(value).isNotNull())
-    if _largest(points, keys) <= direct:
-        wanted = F.percentile(value, list(PERCENTILES.values())).alias("_p")
-        return _unpacked(points.groupBy(*keys).agg(*moments(value), wanted))
     plain = points.groupBy(*keys).agg(*moments(value))
-    return plain.join(exact_percentiles(frequency(points, keys, value), keys, value), keys)
+    return by_key(plain, exact_percentiles(frequency(points, keys, value), keys, value, parts=parts), keys)
 
 
 def weighted_stats(
-    freq: DataFrame, keys: Sequence[str], value: str = "value", direct: int = DIRECT_ROWS
+    freq: DataFrame, keys: Sequence[str], value: str = "value", parts: int | None = None
 ) -> DataFrame:
     """The same from distinct values with their count ``n``; null values count nowhere."""
-    keys = list(keys)
     freq = freq.where(F.col(value).isNotNull())
-    if _largest(freq, keys) <= direct:
-        wanted = F.percentile(value, list(PERCENTILES.values()), F.col("n")).alias("_p")
-        found = _unpacked(freq.groupBy(*keys).agg(wanted))
-    else:
-        found = exact_percentiles(freq, keys, value)
-    return weighted_moments(freq, keys, value).join(found, keys)
+    return by_key(weighted_moments(freq, keys, value), exact_percentiles(freq, keys, value, parts=parts), keys)

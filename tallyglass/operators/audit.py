@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.skew import lookup_join, running_total
+from ..functions.scans import running_total
+from ..functions.skew import lookup_join
 from ..functions.times import MICROS, epoch_micros, seconds_interval
 
 SESSION_SECONDS = 24 * 3600
@@ -86,20 +87,26 @@ def session_violations(validity: DataFrame) -> DataFrame:
 def recent_failures(failures: DataFrame, checks: DataFrame, window_seconds: int) -> DataFrame:
     """For each check ``(identifier, ts, ...)`` the failures in ``(ts - window, ts]``.
 
-    A failure counts +1 at its time and -1 when it leaves the window, so the
-    answer is a running total.  Equal times merge first and the total runs over
-    hour slices, so no identifier is sorted in one task.
+    A failure counts +1 at its time and -1 when it leaves the window, so the answer is a
+    running total.  Equal times merge first, and the total runs over parts of equal size,
+    so neither an identifier nor a busy hour is sorted in one task.  A null identifier is
+    one like any other.  Without a time a failure lies in no window and a check counts 0;
+    all checks come out.
     """
-    entering = failures.select("identifier", "ts", F.lit(1).alias("_d"))
-    leaving = failures.select(
+    timed = failures.where(F.col("ts").isNotNull())
+    entering = timed.select("identifier", "ts", F.lit(1).alias("_d"))
+    leaving = timed.select(
         "identifier", (F.col("ts") + seconds_interval(window_seconds)).alias("ts"), F.lit(-1)
     )
-    asked = checks.select("identifier", "ts", F.lit(0))
+    asked = checks.where(F.col("ts").isNotNull()).select("identifier", "ts", F.lit(0))
     steps = entering.union(leaving).union(asked).groupBy("identifier", "ts")
     changes = steps.agg(F.sum("_d").alias("_d"))
-    hour = F.floor(epoch_micros(F.col("ts")) / (3600 * MICROS))
-    totals = running_total(changes, ["identifier"], "ts", "_d", "failures", hour)
-    return checks.join(totals.drop("_d"), ["identifier", "ts"])
+    totals = running_total(changes, ["identifier"], "ts", "_d", "failures").drop("_d")
+    moment = F.struct("identifier", "ts")
+    counted = checks.withColumn("_moment", moment).join(
+        totals.select(moment.alias("_moment"), "failures"), "_moment", "left"
+    )
+    return counted.withColumn("failures", F.coalesce("failures", F.lit(0))).drop("_moment")
 
 
 def lockout(
@@ -127,7 +134,9 @@ def failed_attempt_events(
         F.lit("security_violation").alias("event_type"),
         F.lit("warning").alias("threat_level"),
         "ip_address",
-        F.concat(F.lit("Failed attempt for "), "identifier").alias("description"),
+        F.concat(F.lit("Failed attempt for "), F.coalesce("identifier", F.lit("nobody"))).alias(
+            "description"
+        ),
         F.to_json(F.struct(F.col("failures").alias("attempts"))).alias("metadata"),
     )
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.skew import newest_rows, previous_value, small_side
+from ..functions.scans import previous_value
+from ..functions.skew import newest_rows, small_side
 from ..functions.stats import PERCENTILES, exact_percentiles, frequency, grouped_stats, moments
 from ..functions.times import (
     GRANULARITY_SECONDS,
@@ -122,8 +123,7 @@ def trend(aggregates: DataFrame) -> DataFrame:
 def trend_series(aggregates: DataFrame) -> DataFrame:
     """The same comparison for every aggregate row of a series."""
     rows = aggregates.select(*AGG_KEY, F.col("avg").alias("current"))
-    slices = tumbling_start(F.col("ts"), "month")
-    compared = previous_value(rows, LEVEL, "ts", "current", "previous", slices)
+    compared = previous_value(rows, LEVEL, "ts", "current", "previous")
     return compared.withColumn("trend", trend_of(F.col("current"), F.col("previous")))
 
 

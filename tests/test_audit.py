@@ -72,6 +72,18 @@ def test_lockout_counts_strictly_within_the_window(spark):
     ]
 
 
+def test_lockout_keeps_checks_without_identifier_or_time(spark):
+    minute = dt.timedelta(minutes=1)
+    rows = [(None, START, 1), (None, START + minute, 2), ("a", None, 3), (None, None, 4), ("a", START, 5)]
+    rows += [(None, START + minute, 2)]  # a repeated row
+    df = attempts_of(spark, rows).withColumn("ip_address", F.lit("ip"))
+    found = sorted((r.attempt_id, r.failures) for r in audit.lockout(df, df).collect())
+    assert found == [(1, 1), (2, 3), (2, 3), (3, 0), (4, 0), (5, 1)]
+    events = sorted((r.event_id, r.metadata) for r in audit.failed_attempt_events(df).collect())
+    assert len(events) == 6 and events[0] == ("failed-1", '{"attempts":1}')
+    assert audit.lockout(df.limit(0), df.limit(0)).count() == 0
+
+
 def test_lockout_matches_a_plain_model(spark):
     rows = random_attempts(7, 300)
     df = attempts_of(spark, rows)

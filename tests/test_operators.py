@@ -374,8 +374,8 @@ def test_describe_hits(spark):
 @pytest.mark.parametrize(
     "setting, own, master, expected",
     [
-        ("/shared/x/", None, "spark://host", "/shared/x/tallyglass/p-"),
-        (None, "file:/cp", "spark://host", "file:/cp/tallyglass/p-"),
+        ("/shared/x/", None, "spark://host", "/shared/x/tallyglass/app-1/p-"),
+        (None, "file:/cp", "spark://host", "file:/cp/tallyglass/app-1/p-"),
         (None, None, "local[2]", "/tmp/"),
         (None, None, "spark://host", None),
     ],
@@ -384,7 +384,10 @@ def test_work_folder_follows_the_session(monkeypatch, setting, own, master, expe
     monkeypatch.setattr("tempfile.mkdtemp", lambda prefix: f"/tmp/{prefix}")
     chosen = []
     context = SimpleNamespace(
-        master=master, getCheckpointDir=lambda: own, setCheckpointDir=chosen.append
+        master=master,
+        applicationId="app-1",
+        getCheckpointDir=lambda: own,
+        setCheckpointDir=chosen.append,
     )
     conf = SimpleNamespace(get=lambda key, default: setting)
     session = SimpleNamespace(conf=conf, sparkContext=context)

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tallyglass.functions import skew
+from tallyglass.functions import scans, skew
 from tallyglass.functions.stats import (
     exact_percentiles,
     frequency,
@@ -19,11 +19,12 @@ from tallyglass.operators import timeseries as ts
 START = dt.datetime(2024, 3, 1)
 
 
-@pytest.mark.parametrize("direct", [0, 10_000])
+@pytest.mark.parametrize("parts", [1, 7, 200])
 @pytest.mark.parametrize("weighted", [False, True])
-def test_stats_match_numpy(spark, weighted, direct):
+def test_stats_match_numpy(spark, weighted, parts):
     rng = random.Random(4)
     groups = {
+        None: [rng.gauss(3, 1) for _ in range(90)],
         "same": [7.25] * 50,
         "one": [-3.5],
         "two": [1.0, 2.0],
@@ -38,9 +39,9 @@ def test_stats_match_numpy(spark, weighted, direct):
     rng.shuffle(rows)
     points = spark.createDataFrame(rows, "g string, value double")
     if weighted:
-        stats = weighted_stats(frequency(points, ["g"]), ["g"], direct=direct)
+        stats = weighted_stats(frequency(points, ["g"]), ["g"], parts=parts)
     else:
-        stats = grouped_stats(points, ["g"], direct=direct)
+        stats = grouped_stats(points, ["g"], parts=parts)
     found = {r.g: r for r in stats.collect()}
     assert set(found) == set(groups)
     for g, values in groups.items():
@@ -55,16 +56,16 @@ def test_stats_match_numpy(spark, weighted, direct):
             assert row[f"p{p}"] == pytest.approx(expected, rel=1e-12, abs=1e-12)
 
 
-def test_close_values_are_cut_apart(spark):
-    """Values of one slice spread over its parts, so no part is large."""
+def test_close_values_lie_in_many_parts(spark):
+    """A group of values close together is dealt out like any other."""
     freq = spark.range(50_000).select(
         F.lit("g").alias("g"), (F.col("id") / 1e6 + 1.7e9).alias("value"), F.lit(1).alias("n")
     )
-    row = exact_percentiles(freq, ["g"]).first()
+    row = exact_percentiles(freq, ["g"], parts=20).first()
     assert row["p50"] == pytest.approx(1.7e9 + 24_999.5e-6, abs=1e-6)
-    low, high = freq.agg(F.min("value"), F.max("value")).first()
-    part = F.floor((F.col("value") - low) / (high - low) * 4096)
-    assert freq.groupBy(part.alias("p")).count().agg(F.max("count")).first()[0] < 50
+    rows = scans.dealt(freq, ["g"], ["value"], parts=20)
+    sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 3 * 50_000 / 20
 
 
 def test_buckets_without_values_have_no_row(spark):
@@ -141,23 +142,49 @@ def test_trend_rules(spark):
     assert ts.trend_series(aggs).where("trend = 'increasing'").count() == 2
 
 
-def test_sliced_windows_match_plain_windows(spark):
-    rng = random.Random(1)
-    rows = [(rng.choice("aab"), i * rng.randrange(1, 9), rng.randrange(5)) for i in range(300)]
-    rows = list({(k, o): (k, o, v) for k, o, v in rows}.values())
-    df = spark.createDataFrame(rows, "k string, o long, v long")
-    slices = F.floor(F.col("o") / 100)
-    total = skew.running_total(df, ["k"], "o", "v", "total", slices)
-    before = skew.previous_value(total, ["k"], "o", "v", "before", slices)
-    got = {(r.k, r.o): (r.total, r.before) for r in before.collect()}
-    for key in "ab":
-        running, previous = 0, None
-        for _, o, v in sorted(r for r in rows if r[0] == key):
-            running += v
-            assert got[key, o] == (running, previous)
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_scans_match_plain_windows(spark, parts):
+    """Keys over many parts, null keys and orders, null values."""
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "a", "b", None]), "x", i * rng.randrange(1, 9), rng.randrange(5)) for i in range(300)]
+    rows += [("a", None, None, 3), ("only", "x", 1, 2), (None, None, 7, None)]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "k string, j string, o long, v long")
+    total = scans.running_total(df, ["k", "j"], "o", "v", "total", parts)
+    before = scans.previous_value(total, ["k", "j"], "o", "v", "before", parts)
+    assert before.columns == ["k", "j", "o", "v", "total", "before"]
+    got = {(r.k, r.j, r.o): (r.total, r.before) for r in before.collect()}
+    assert len(got) == len(rows)
+    for key in {r[:2] for r in rows}:
+        running, previous = None, None
+        for k, j, o, v in sorted((r for r in rows if r[:2] == key), key=lambda r: (r[2] is not None, r[2] or 0)):
+            running = running if v is None else v + (running or 0)
+            assert got[k, j, o] == (running, previous)
             previous = v
 
 
+def test_values_at_ranks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", None]), v, rng.randrange(1, 4)) for v in rng.sample(range(999), 200)]
+    freq = spark.createDataFrame(rows, "k string, v long, n long")
+    wanted = {"low": F.lit(0), "mid": F.floor(F.col("_count") / 2), "high": F.col("_count") - 1}
+    found = {r.k: r for r in scans.values_at_ranks(freq, ["k"], "v", "n", wanted, 9).collect()}
+    for key in ("a", None):
+        values = sorted(v for k, v, n in rows if k == key for _ in range(n))
+        r = found[key]
+        assert (r.low, r.mid, r.high) == (values[0], values[len(values) // 2], values[-1])
+
+
+def test_salted_join_with_maps_and_many_null_keys(spark):
+    rows = [(None if i % 3 else i % 7, {"i": str(i)}, [{"j": i}]) for i in range(600)]
+    left = spark.createDataFrame(rows, "k long, tags map<string,string>, more array<map<string,long>>")
+    right = spark.createDataFrame([(k, -k) for k in range(5)], "k long, b long")
+    for how, count in (("inner", sum(r[0] is not None and r[0] < 5 for r in rows)), ("left", 600)):
+        assert skew.lookup_join(left, right, ["k"], how, most=0).count() == count
+    anti = skew.lookup_join(left, right, ["k"], "left_anti", most=0)
+    assert anti.count() == sum(r[0] is None or r[0] >= 5 for r in rows)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.createDataFrame(
