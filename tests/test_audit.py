@@ -48,6 +48,40 @@ def test_rate_limit_matches_a_plain_model(spark, seed):
     assert got[9100] and not got[9005]
 
 
+def plain_by_row(rows, limit, window):
+    """Allowed or not for each row, repeated and nameless ones included."""
+    accepted, out = {}, [False] * len(rows)
+    timed = [i for i, r in enumerate(rows) if r[1] is not None]
+    for i in sorted(timed, key=lambda i: (rows[i][1], rows[i][2])):
+        name, ts, _ = rows[i]
+        recent = [t for t in accepted.get(name, []) if t > ts - window]
+        out[i] = len(recent) < limit
+        accepted[name] = recent + [ts] if out[i] else recent
+    return sorted((str(r[0]), str(r[1]), r[2], a) for r, a in zip(rows, out, strict=True))
+
+
+@pytest.mark.parametrize("parts, at_once", [(1, 4), (6, 4), (25, 2), (25, 1)])
+@pytest.mark.parametrize("kind", ["dense", "bursts", "mixed"])
+def test_rate_limit_over_many_parts(spark, monkeypatch, parts, at_once, kind):
+    """A dense identifier never falls into step again; bursts with pauses soon do."""
+    monkeypatch.setattr(audit, "PARTS_AT_ONCE", at_once)
+    rng = random.Random(parts + at_once)
+    second = dt.timedelta(seconds=1)
+    rows = [(f"u{rng.randrange(40)}", START + second * rng.randrange(40_000), n) for n in range(300)]
+    if kind != "bursts":
+        rows += [("hot", START + 7 * second * n, 1000 + n) for n in range(900)]
+    if kind != "dense":
+        rows += [("burst", START + second * (2000 * (n // 12) + n % 12), 3000 + n) for n in range(500)]
+        rows += [(None, START + second * rng.randrange(9000), 5000 + n) for n in range(300)]
+    rows += [("hot", START + 70 * second, 1010)] * 8 + [("late", None, 1), (None, None, 1), ("null", START, 3)]
+    df = attempts_of(spark, rows).withColumn("tags", F.create_map(F.lit("a"), F.lit("b")))
+    found = audit.rate_limit(df, parts=parts)
+    assert found.columns == [*df.columns, "allowed"]
+    got = sorted((str(r.identifier), str(r.ts), r.attempt_id, r.allowed) for r in found.collect())
+    assert got == plain_by_row(rows, 5, dt.timedelta(minutes=15))
+    assert audit.rate_limit(df.limit(0), parts=parts).count() == 0
+
+
 def test_lockout_counts_strictly_within_the_window(spark):
     half = dt.timedelta(minutes=30)
     failures = [("a", START + dt.timedelta(minutes=i)) for i in range(5)] + [("b", START)]
