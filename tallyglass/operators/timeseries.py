@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scans import previous_value
-from ..functions.skew import newest_rows, small_side
+from ..functions.panes import pane_counts, window_stats
+from ..functions.scans import previous_value, running_total
+from ..functions.skew import SMALL_ROWS, newest_rows
 from ..functions.stats import PERCENTILES, exact_percentiles, frequency, grouped_stats, moments
 from ..functions.times import (
     GRANULARITY_SECONDS,
     MICROS,
     epoch_micros,
+    from_micros,
     seconds_interval,
     tumbling_start,
 )
+from ..session import stored
 
 SERIES = ["metric_name", "metric_type"]
 # A stored table holds several granularities; rows of one never meet those of another.
@@ -44,33 +50,70 @@ def aggregate_tumbling(
     return stats.withColumn("granularity", F.lit(granularity)).select(*AGG_KEY, *columns)
 
 
+def _panes_between(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with ``pane``, and the edges (``us``, distinct) with their ``number`` in time order.
+
+    A pane is 2i on edge i, and 2i - 1 before it and after edge i - 1.  A short list of edges
+    goes along to the tasks, a long one is met by running counts in order of time.
+    """
+    timed = points.withColumn("us", epoch_micros(F.col("ts")))
+    known = edges.limit(SMALL_ROWS + 1).collect()
+    if len(known) <= SMALL_ROWS:
+        cuts = np.array(sorted(r["us"] for r in known), np.int64)
+
+        @F.arrow_udf(T.LongType())
+        def pane(us: pa.Array) -> pa.Array:
+            times = us.to_numpy(zero_copy_only=False)
+            at = np.searchsorted(cuts, times)
+            on = cuts[np.minimum(at, len(cuts) - 1)] == times
+            return pa.array(2 * at - ~on)
+
+        rows = [(int(us), i) for i, us in enumerate(cuts)]
+        numbered = points.sparkSession.createDataFrame(rows, "us long, number long")
+        return timed.withColumn("pane", pane("us")).drop("us"), numbered
+    every = ["all"]
+    marked = timed.select("us", F.lit(0).alias("edge")).union(edges.select("us", F.lit(1)))
+    steps = marked.groupBy("us").agg(F.sum("edge").alias("edge")).withColumn("all", F.lit(0))
+    ranked = stored(running_total(steps, every, "us", "edge", "passed"), "edges")
+    panes = ranked.select("us", (2 * F.col("passed") - F.col("edge") - 1).alias("pane"))
+    numbered = ranked.where("edge > 0").select("us", (F.col("passed") - 1).alias("number"))
+    return timed.join(panes, "us").drop("us"), numbered
+
+
 def aggregate_trailing(points: DataFrame, granularity: str, ends: DataFrame) -> DataFrame:
     """Statistics over ``[end - granularity, end]``, both inclusive, for each ``end_ts``.
 
-    A window touches exactly two aligned buckets of its own length, so points
-    meet their windows by an equi-join on the bucket, which a short list of ends
-    does without moving the points.  ``real_time`` has no
-    window and gives no rows.
+    The beginnings and ends of all windows cut time into panes, the edges themselves being
+    panes of their own.  Every point is counted once, in its pane, and windows are put
+    together from panes.  ``real_time`` has no window and gives no rows.
     """
     if granularity == "real_time":
         return aggregate_tumbling(points.where(F.lit(False)), "minute").withColumn(
             "granularity", F.lit(granularity)
         )
-    seconds = GRANULARITY_SECONDS[granularity]
-    width = F.lit(seconds * MICROS)
-
-    def bucket(ts: Column) -> Column:
-        return F.floor(epoch_micros(ts) / width)
-
-    end_bucket = bucket(F.col("end_ts"))
-    windows = ends.select("end_ts").distinct()
-    windows = windows.withColumn("_bucket", F.explode(F.array(end_bucket - 1, end_bucket)))
-    placed = points.select(*SERIES, "ts", "value", bucket(F.col("ts")).alias("_bucket"))
-    inside = F.col("ts").between(F.col("end_ts") - seconds_interval(seconds), F.col("end_ts"))
-    keys = [*SERIES, "end_ts"]
+    width = GRANULARITY_SECONDS[granularity] * MICROS
+    last = epoch_micros(F.col("end_ts"))
+    windows = ends.where(F.col("end_ts").isNotNull()).select(
+        F.col("end_ts").alias("window"), last.alias("last"), (last - width).alias("first")
+    )
+    windows = windows.distinct()
+    edges = windows.select(F.explode(F.array("first", "last")).alias("us")).distinct()
+    low, high = windows.agg(F.min("first"), F.max("last")).first()
+    if low is None:
+        return aggregate_trailing(points, "real_time", ends).withColumn(
+            "granularity", F.lit(granularity)
+        )
+    inside = points.where(F.col("ts").between(from_micros(F.lit(low)), from_micros(F.lit(high))))
+    placed, numbered = _panes_between(inside, edges)
+    place = lambda c: numbered.select(F.col("us").alias(c), F.col("number").alias(f"{c}_number"))
+    cover = windows.join(place("first"), "first").join(place("last"), "last").select(
+        "window",
+        F.explode(F.sequence(2 * F.col("first_number"), 2 * F.col("last_number"))).alias("pane"),
+    )
+    counts = stored(pane_counts(placed, SERIES, F.col("pane")), "panes")
     return (
-        grouped_stats(placed.join(small_side(windows), "_bucket").where(inside), keys)
-        .withColumnRenamed("end_ts", "ts")
+        window_stats(counts, SERIES, cover)
+        .withColumnRenamed("window", "ts")
         .withColumn("granularity", F.lit(granularity))
         .select(*AGG_KEY, *STATS)
     )

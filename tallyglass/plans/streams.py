@@ -36,13 +36,14 @@ def arriving_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_windows(
-    spark: SparkSession, sf_dir: str, size: str, step: str | None, delay: str
+    spark: SparkSession, points: DataFrame, size: str, step: str | None, delay: str
 ) -> DataFrame:
-    folder = work_folder(spark, "window-stats")
-    freq = windows.window_frequency(arriving_points(spark, sf_dir), size, step, delay)
-    windows.run_available(windows.stats_writer(freq, folder, work_folder(spark, "progress")))
-    stats = spark.read.parquet(folder).drop("batch")
-    return rounded(stats, *FLOATS)
+    """Panes of the whole stream, then the statistics of all its windows."""
+    folder = work_folder(spark, "panes")
+    freq = windows.pane_frequency(points, size, step, delay)
+    windows.run_available(windows.panes_writer(freq, folder, work_folder(spark, "progress")))
+    panes = spark.read.schema(freq.schema).parquet(folder)
+    return rounded(windows.stats_of_panes(panes, size, step), *FLOATS)
 
 
 @query(
@@ -52,7 +53,7 @@ def run_windows(
 SELECT metric_name, metric_type, start, "end", count, {ROUNDED_SQL} FROM stats""",
 )
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_windows(spark, sf_dir, "1 hour", None, "2 minutes")
+    return run_windows(spark, arriving_points(spark, sf_dir), "1 hour", None, "2 minutes")
 
 
 @query(
@@ -65,7 +66,7 @@ stats AS (SELECT metric_name, metric_type, start, start + INTERVAL 1 HOUR AS "en
 SELECT metric_name, metric_type, start, "end", count, {ROUNDED_SQL} FROM stats""",
 )
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_windows(spark, sf_dir, "1 hour", "15 minutes", "2 minutes")
+    return run_windows(spark, arriving_points(spark, sf_dir), "1 hour", "15 minutes", "2 minutes")
 
 
 @query("stream_alerts", f"WITH {ALERTS_SQL} SELECT * FROM alerts")

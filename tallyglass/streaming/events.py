@@ -68,9 +68,13 @@ def alert_writer(
 
 
 def stream_dedup(events: DataFrame, key: str = "event_id", delay: str = "10 minutes") -> DataFrame:
-    """Arriving events, each id once within the watermark delay."""
+    """Arriving events, each id once within the watermark delay.
+
+    An event without an id equals no other: it passes as it is.
+    """
     timed = events.withColumn("_at", event_time(F.col("ts"))).withWatermark("_at", delay)
-    return timed.dropDuplicatesWithinWatermark([key]).drop("_at")
+    named = timed.where(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
+    return named.unionByName(timed.where(F.col(key).isNull())).drop("_at")
 
 
 def stream_rate_limit(

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions.stats import PERCENTILES, weighted_stats
-from ..functions.times import event_time, from_event_time
+from ..functions.panes import window_stats
+from ..functions.stats import PERCENTILES
+from ..functions.times import MICROS, epoch_micros, event_time, from_event_time, from_micros
 
 SERIES = ["metric_name", "metric_type"]
 STATS = ["count", "sum", "avg", "min", "max", "std", *PERCENTILES]
 
 
-def window_frequency(
+def _micros(spark: SparkSession, length: str) -> int:
+    """Microseconds of a length such as ``15 minutes``."""
+    moved = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {length})")
+    return moved.first()[0]
+
+
+def pane_frequency(
     points: DataFrame, size: str, step: str | None = None, delay: str = "2 minutes"
 ) -> DataFrame:
-    """Count of each distinct value per series and window.
+    """Count of each distinct value per series and pane of arriving points.
 
-    State is one small row per value, spread over all tasks, rather than one
-    growing list per series; rows later than ``delay`` are dropped.
+    A pane has the greatest common length of ``size`` and ``step`` (none: ``size``), so every
+    window is made of whole panes.  A point is counted once and state is one small row per
+    value and open pane, whatever the ratio of the two lengths.  Rows that arrive when the
+    watermark, ``delay`` behind, has passed their pane are dropped.
     """
-    window = F.window("_at", size, step) if step else F.window("_at", size)
+    spark = points.sparkSession
+    lengths = [_micros(spark, x) for x in (size, step or size)]
+    window = F.window("_at", f"{math.gcd(*lengths)} microseconds")
     counted = (
         points.withColumn("_at", event_time(F.col("ts")))
         .withWatermark("_at", delay)
@@ -37,25 +50,14 @@ def window_frequency(
     )
 
 
-def window_stats(freq: DataFrame) -> DataFrame:
-    keys = [*SERIES, "start", "end"]
-    return weighted_stats(freq, keys).select(*keys, *STATS)
+def panes_writer(freq: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """Write each pane's counts once the watermark closes it.
 
-
-def stats_writer(freq: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """Write the statistics of each window once the watermark closes it.
-
-    All values of a window arrive in the same batch.  A batch writes its own
-    folder, so a repeated batch replaces what it wrote before.
+    A batch writes its own folder, so a repeated batch replaces what it wrote before.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        # The statistics read the batch more than once; state is read only once.
-        kept = batch.persist()
-        try:
-            window_stats(kept).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        finally:
-            kept.unpersist()
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return (
         freq.writeStream.outputMode("append")
@@ -64,6 +66,33 @@ def stats_writer(freq: DataFrame, folder: str, checkpoint: str) -> DataStreamWri
     )
 
 
+def stats_of_panes(
+    panes: DataFrame, size: str, step: str | None = None, upto: Column | None = None
+) -> DataFrame:
+    """Statistics of the windows of closed panes: ``start``, ``end`` and the usual columns.
+
+    Windows begin at multiples of ``step``.  ``upto``, for a stream that goes on, leaves out
+    windows that end later, because panes of theirs may still be open.
+    """
+    spark = panes.sparkSession
+    width = _micros(spark, size)
+    shift = _micros(spark, step or size)
+    begins, ends = epoch_micros(F.col("start")), epoch_micros(F.col("end"))
+    counts = panes.where(F.col("value").isNotNull())
+    counts = counts.select(*SERIES, begins.alias("pane"), ends.alias("pane_end"), "value", "n")
+    first = F.ceil((F.col("pane_end") - width) / shift)
+    cover = counts.select("pane", "pane_end").distinct().select(
+        "pane", F.explode(F.sequence(first, F.floor(F.col("pane") / shift))).alias("window")
+    )
+    if upto is not None:
+        cover = cover.where(F.col("window") * shift + width <= epoch_micros(upto))
+    found = window_stats(counts.drop("pane_end"), SERIES, cover)
+    start = F.col("window") * shift
+    return found.select(
+        *SERIES, from_micros(start).alias("start"), from_micros(start + width).alias("end"), *STATS
+    )
+
+
 # Ids and value of the row that ends a replay; no rule or window of the data holds them.
 CLOSING_ID = -1
 CLOSING_VALUE = -1.7e308

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tallyglass.operators import audit
 from tallyglass.streaming.events import stream_dedup, stream_rate_limit
-from tallyglass.streaming.windows import run_available, stats_writer, window_frequency
+from tallyglass.streaming.windows import pane_frequency, panes_writer, run_available, stats_of_panes
 
 START = dt.datetime(2024, 5, 1)
 
@@ -191,12 +191,12 @@ def test_stream_statistics_equal_batch(spark, tmp_path):
     df = spark.createDataFrame(
         rows, "metric_name string, metric_type string, ts timestamp_ntz, value double"
     )
-    freq = window_frequency(stream_of(spark, df, tmp_path / "in"), "10 minutes")
+    freq = pane_frequency(stream_of(spark, df, tmp_path / "in"), "10 minutes")
     out = str(tmp_path / "out")
-    run_available(stats_writer(freq, out, str(tmp_path / "progress")))
+    run_available(panes_writer(freq, out, str(tmp_path / "progress")))
     got = {
         (r.metric_name, r.start): (r["count"], round(r["sum"], 6), round(r["p90"], 6))
-        for r in spark.read.parquet(out).collect()
+        for r in stats_of_panes(spark.read.parquet(out), "10 minutes").collect()
     }
     ten = F.window("ts", "10 minutes").start
     batch = df.where("metric_name <> 'z'").groupBy("metric_name", ten.alias("start")).agg(
@@ -214,3 +214,13 @@ def test_stream_dedup_keeps_each_id_once(spark, tmp_path):
     writer = unique.writeStream.format("parquet").option("path", out)
     run_available(writer.option("checkpointLocation", str(tmp_path / "progress")))
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == list(range(50))
+
+
+def test_stream_dedup_keeps_rows_without_an_id(spark, tmp_path):
+    rows = [(None if i % 2 else i % 10, START + dt.timedelta(seconds=i % 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz")
+    writer = stream_dedup(stream_of(spark, df, tmp_path / "in")).writeStream.format("parquet")
+    out = str(tmp_path / "out")
+    run_available(writer.option("path", out).option("checkpointLocation", str(tmp_path / "progress")))
+    got = sorted((r.event_id is None, r.event_id or 0) for r in spark.read.parquet(out).collect())
+    assert got == [(False, i) for i in range(0, 10, 2)] + [(True, 0)] * 20

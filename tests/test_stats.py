@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tallyglass.functions import scans, skew
+from tallyglass.functions import panes, scans, skew
 from tallyglass.functions.stats import (
     exact_percentiles,
     frequency,
@@ -96,10 +96,14 @@ def test_trailing_is_inclusive_at_both_ends(spark):
     assert ts.aggregate_trailing(points_of(spark, rows), "real_time", ends).count() == 0
 
 
-def test_trailing_matches_a_plain_model(spark):
+@pytest.mark.parametrize("short", [True, False])
+def test_trailing_matches_a_plain_model(spark, monkeypatch, short):
+    if not short:
+        monkeypatch.setattr(ts, "SMALL_ROWS", 0)
     rng = random.Random(5)
+    names = ["a", "b", None]
     rows = [
-        (rng.choice("ab"), "t", START + dt.timedelta(seconds=rng.randrange(86_400)), rng.random())
+        (rng.choice(names), "t", START + dt.timedelta(seconds=rng.randrange(86_400)), rng.random())
         for _ in range(400)
     ]
     ends = [START + dt.timedelta(minutes=rng.randrange(1440)) for _ in range(20)]
@@ -111,7 +115,7 @@ def test_trailing_matches_a_plain_model(spark):
     got = {(r.metric_name, r.ts): (r["count"], round(r.p90, 9)) for r in found.collect()}
     expected = {}
     for end in ends:
-        for name in "ab":
+        for name in names:
             inside = [
                 v for n, _, t, v in rows if n == name and end - dt.timedelta(hours=1) <= t <= end
             ]
@@ -120,6 +124,49 @@ def test_trailing_matches_a_plain_model(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("bins", [1, 4, 256])
+def test_windows_of_panes_match_numpy(spark, bins):
+    """Overlapping windows, close values, equal values, null keys."""
+    rng = random.Random(bins)
+    rows = []
+    for pane in range(30):
+        rows += [("close", None, pane, 1.7e9 + rng.randrange(400) / 1000) for _ in range(15)]
+        rows += [(None, "t", pane, rng.gauss(0, 5)) for _ in range(rng.randrange(9))]
+        rows += [("same", "t", pane, 4.5)] * (pane % 3) + [("same", "t", pane, None)]
+    points = spark.createDataFrame(rows, "metric_name string, metric_type string, pane long, value double")
+    cover = [(w, p) for w in range(0, 40, 4) for p in range(w, w + 11)]
+    found = panes.window_stats(
+        panes.pane_counts(points, ts.SERIES, F.col("pane")),
+        ts.SERIES,
+        spark.createDataFrame(cover, "window long, pane long"),
+        bins=bins,
+        parts=5,
+    )
+    got = {(r.metric_name, r.metric_type, r.window): r for r in found.collect()}
+    expected = {}
+    for w, p in cover:
+        for name, kind, pane, v in rows:
+            if pane == p and v is not None:
+                expected.setdefault((name, kind, w), []).append(v)
+    assert set(got) == set(expected)
+    for key, values in expected.items():
+        r, a = got[key], np.array(values)
+        assert (r["count"], r["min"], r["max"]) == (len(a), a.min(), a.max())
+        assert r["avg"] == pytest.approx(a.mean(), rel=1e-12, abs=1e-12)
+        assert r["std"] == pytest.approx(a.std(), rel=1e-6, abs=1e-9)
+        for p in (50, 90, 95, 99):
+            assert r[f"p{p}"] == pytest.approx(np.percentile(a, p), rel=1e-12, abs=1e-12)
+
+
+def test_merged_panes_are_the_panes_of_merged_time(spark):
+    rows = [("a", n % 40, float(n % 7)) for n in range(200)]
+    points = spark.createDataFrame(rows, "k string, minute long, value double")
+    fine = panes.pane_counts(points, ["k"], F.col("minute"))
+    coarse = panes.merged_panes(fine, ["k"], F.floor(F.col("pane") / 10))
+    direct = panes.pane_counts(points, ["k"], F.floor(F.col("minute") / 10))
+    assert sorted(map(tuple, coarse.collect())) == sorted(map(tuple, direct.collect()))
+
+
 def test_trend_rules(spark):
     def rows(name, *values):
         return [

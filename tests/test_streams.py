@@ -77,15 +77,36 @@ def test_sliding_windows_over_several_batches(spark, tmp_path):
         [("m", "t", START + 500 * minute, 0.0)],
     ]
     points = arriving(spark, str(tmp_path / "in"), batches, schema)
-    freq = windows.window_frequency(points, "20 minutes", "10 minutes", "10 minutes")
+    freq = windows.pane_frequency(points, "20 minutes", "10 minutes", "10 minutes")
     folder = str(tmp_path / "out")
-    windows.run_available(windows.stats_writer(freq, folder, str(tmp_path / "p")))
-    rows = spark.read.parquet(folder).collect()
+    windows.run_available(windows.panes_writer(freq, folder, str(tmp_path / "p")))
+    panes = spark.read.parquet(folder)
+    rows = windows.stats_of_panes(panes, "20 minutes", "10 minutes").collect()
     got = {r["start"]: (r["count"], r["sum"], r["p50"]) for r in rows}
     assert got == {
         START - 10 * minute: (2, 4.0, 2.0), START: (2, 4.0, 2.0),
         START + 30 * minute: (1, 5.0, 5.0), START + 40 * minute: (1, 5.0, 5.0),
     }
+    # Every point once, whatever the windows: 1, 3, 5 and the two without a value.
+    assert panes.agg(F.sum("n")).first()[0] == 5
+    some = windows.stats_of_panes(panes, "20 minutes", "10 minutes", F.lit(START + 50 * minute))
+    assert {r["start"] for r in some.collect()} == set(got) - {START + 40 * minute}
+
+
+def test_windows_that_no_step_divides(spark):
+    """Size 6 and step 4 minutes: panes of 2 minutes."""
+    schema = "start timestamp_ntz, end timestamp_ntz, metric_name string, metric_type string, value double, n long"
+    minute = dt.timedelta(minutes=1)
+    epoch = dt.datetime(1970, 1, 1)
+    rows = [(epoch + p * minute, epoch + (p + 2) * minute, "m", None, float(p), 1) for p in range(20, 40, 2)]
+    found = windows.stats_of_panes(spark.createDataFrame(rows, schema), "6 minutes", "4 minutes")
+    got = {(r["start"] - epoch) // minute: (r["end"] - r["start"], r["count"], r["sum"]) for r in found.collect()}
+    expected = {}
+    for w in range(0, 60, 4):
+        inside = [p for p in range(20, 40, 2) if w <= p and p + 2 <= w + 6]
+        if inside:
+            expected[w] = (6 * minute, len(inside), float(sum(inside)))
+    assert got == expected
 
 
 def test_replay_reads_folders_and_closes_all_windows(spark, tmp_path):
