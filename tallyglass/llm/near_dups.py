@@ -285,7 +285,7 @@ def classes(
     place = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     own_id, own_text = place[id], place[text]
     nodes = _written(_nodes(rows.select("key", own_id, "row"), own_id), "nodes")
-    merged = _components(rows, nodes.select("node"), own_text, settings)
+    merged = _components(rows, nodes.select("node", "size"), own_text, settings)
     named = nodes.join(merged, "node", "left").select(
         "key", "node", "id", "size", F.coalesce("class", "node").alias("class")
     )
@@ -300,9 +300,10 @@ def classes(
     return rows, narrow.join(per_key, "key").drop("key")
 
 
-def _components(rows: DataFrame, nodes: DataFrame, text: str, settings: Settings) -> DataFrame:
-    """Class of every node that shares a band with another."""
-    banded = rows.select(F.col("row").alias("node"), "bands", "size").join(nodes, "node", "left_semi")
+def _components(rows: DataFrame, copies: DataFrame, text: str, settings: Settings) -> DataFrame:
+    """Class of every node that shares a band with another; nodes are the rows but the copies."""
+    gone = F.broadcast(copies) if _small(copies) else copies
+    banded = rows.select(F.col("row").alias("node"), "bands", "size").join(gone, "node", "left_anti")
     members = banded.select("node", "size", F.explode("bands").alias("band"))
     crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_bands = _written(crowded.select("band"), "crowded")
@@ -382,8 +383,8 @@ def _thinned(
     if not crowd.limit(1).count():
         return members
     nodes = crowd.select("node", "size").distinct()
-    own = sets.join(nodes, "node").select("node", "size", F.explode("items").alias("band"))
-    own = _written(own, "items")
+    own = sets.select("node", "items").join(F.broadcast(nodes) if _small(nodes) else nodes, "node")
+    own = _written(own.select("node", "size", F.explode("items").alias("band")), "items")
     # Partial counts: a common shingle reaches the shuffle once per task.
     shared = own.groupBy("band").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     spread = own.join(shared, "band", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
