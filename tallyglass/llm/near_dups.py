@@ -285,7 +285,11 @@ def classes(
     place = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     own_id, own_text = place[id], place[text]
     nodes = _written(_nodes(rows.select("key", own_id, "row"), own_id), "nodes")
-    merged = _components(rows, nodes.select("node", "size"), own_text, settings)
+    # Rows with the words of another row that is the node; there are fewer of them than nodes.
+    several = nodes.where("size > 1").select("key", "node")
+    alike = rows.select("key", "row").join(F.broadcast(several) if _small(several) else several, "key")
+    copies = _written(alike.where("row != node").select(F.col("row").alias("node")), "copies")
+    merged = _components(rows, copies, own_text, settings)
     named = nodes.join(merged, "node", "left").select(
         "key", "node", "id", "size", F.coalesce("class", "node").alias("class")
     )
