@@ -125,10 +125,13 @@ def votes(
     adds = T.StructType(
         [T.StructField("_words", T.LongType()), T.StructField("_grams", T.ArrayType(T.LongType()))]
     )
-    rows = ragged.with_columns(df, [text], adds, make, list(keep))
-    kept = [F.col(ragged.quoted(c)).alias(f"_k{i}") for i, c in enumerate(keep)]
-    names = [f"_k{i}" for i in range(len(kept))]
-    rows = rows.select(*kept, "_words", "_grams").withColumn(
+    names = [f"_k{i}" for i in range(len(keep))]
+    source = df.select(
+        *[F.col(ragged.quoted(c)).alias(n) for c, n in zip(keep, names, strict=True)],
+        F.col(ragged.quoted(text)).alias("_text"),
+    )
+    rows = ragged.with_columns(source, ["_text"], adds, make, names)
+    rows = rows.withColumn(
         "_row", F.monotonically_increasing_id()
     )
     each = rows.select(
@@ -141,6 +144,8 @@ def votes(
     ).agg(
         F.when(F.col("template").isNotNull(), F.count(F.lit(1))).alias("votes"),
         F.bit_or(F.expr("shiftleft(1L, place)")).alias("places"),
+        F.min("_at").alias("low"),
+        F.max("_at").alias("high"),
     )
 
 
@@ -149,8 +154,9 @@ def spans(votes: DataFrame) -> DataFrame:
 
     An exact template needs all its pairs on one diagonal.  Of the others, diagonals at
     most ``NEAR`` apart are merged; together they must hold ``LEAST_COVERAGE`` of the
-    template's pairs.  ``first`` is the word where the span begins.  Rows of texts
-    without hits stay, without a template.
+    template's pairs, each pair counted once.  The span reaches from the first word of the
+    first pair that stands in the text, ``first``, to the last word of the last one, ``last``,
+    so it lies inside the text.  Rows of texts without hits stay, without a template.
     """
     pairs = F.col("size") - F.lit(GRAM - 1)
     own = [c for c in votes.columns if c.startswith("_")]
@@ -162,7 +168,8 @@ def spans(votes: DataFrame) -> DataFrame:
         .withColumn("_span", F.sum("_begins").over(window))
         .groupBy(*own, "template", "label", "size", "exact", "_span")
         .agg(
-            F.min("diagonal").alias("first"),
+            F.min("low").alias("first"),
+            (F.max("high") + GRAM - 1).alias("last"),
             F.sum("votes").alias("votes"),
             (F.max("diagonal") - F.min("diagonal")).alias("shift"),
             F.max(F.bit_count("places")).alias("best"),
@@ -192,10 +199,10 @@ def scan(
     the smallest and largest start of one (null without any); ``base_labels`` and
     ``labels`` (with the other templates), distinct, sorted, joined by commas; ``score``,
     the largest share of a template that was found, 0 to 1; ``spans``, the found
-    (label, first word, coverage).  Words are lower-cased runs of ASCII letters, digits
-    and all characters beyond ASCII.  Null and empty texts have no words and score 0;
-    repeated rows each give a row; an empty table gives none; kept columns whose name
-    clashes with a result's are dropped.
+    (label, first word, last word, coverage).  Words are lower-cased runs of ASCII letters, digits
+    and all characters beyond ASCII.  Null and empty texts have no words and score 0; a
+    text of any length is looked at whole; repeated rows each give a row; an empty table
+    gives none; kept columns whose name clashes with a result's are dropped.
     """
     results = (
         "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans",
@@ -206,7 +213,12 @@ def scan(
     joined = lambda when: F.array_join(
         F.sort_array(F.collect_set(F.when(when, F.col("label")))), ","
     )
-    place = F.struct("label", F.col("first").cast("long").alias("first_word"), "coverage")
+    place = F.struct(
+        "label",
+        F.col("first").cast("long").alias("first_word"),
+        F.col("last").cast("long").alias("last_word"),
+        "coverage",
+    )
     own = [f"_k{i}" for i in range(len(keep))]
     summary = found.groupBy("_row", *own, "_words").agg(
         F.count(F.when(base, F.lit(1))).alias("n_base"),

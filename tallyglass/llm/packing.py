@@ -21,7 +21,8 @@ from tallyglass.session import ship
 from . import ragged
 
 WINDOW = 4096
-# Windows a task holds open at most; beyond, they are filled up by cutting pieces.
+# Windows a task holds open at most, so that its memory is bounded: 64 MB of ids.  When one
+# more would be open, all are filled up by cutting pieces, as at the end of the task.
 MAX_OPEN = 4096
 _TOKEN = 4  # bytes
 _FAR = np.int64(1) << 60
@@ -113,6 +114,22 @@ class Packer:
         yield from windows[low : high + 1]
 
 
+def in_powers(window: Window) -> Iterator[Window]:
+    """The window's pieces, cut, as sequences of falling powers of two without padding."""
+    pieces = list(window.pieces)
+    for power in range(window.level.bit_length() - 1, -1, -1):
+        if not window.level >> power & 1:
+            continue
+        part = Window()
+        while part.level < 1 << power:
+            row, start, ids = pieces.pop(0)
+            room = ((1 << power) - part.level) * _TOKEN
+            part.add(row, start, ids[:room])
+            if len(ids) > room:
+                pieces.insert(0, (row, start + room // _TOKEN, ids[room:]))
+        yield part
+
+
 def pack(
     df: DataFrame,
     ids: str = "ids",
@@ -125,12 +142,17 @@ def pack(
 
     Every row gets ``end_id`` at its end, also an empty or null one.  Whole windows are
     cut off long rows and the rest is placed by the sum-of-squares rule; when a task's
-    rows end, the windows still open are filled up by cutting pieces of the emptiest, so
-    at most one window of a task has room left.  One row per piece: the kept columns,
-    ``start`` and ``length`` in the row's tokens, ``doc_tokens``, ``sequence_id`` (unique
-    over the table), ``offset`` in the sequence, and the piece's packed ``ids``.  Repeated
-    rows are packed each by itself, an empty table gives no piece, kept columns that clash
-    with the added names are dropped.
+    rows end, the windows still open are filled up by cutting pieces of the emptiest, and
+    the one that may have room left becomes sequences of powers of two.  So every sequence
+    has ``window`` tokens or a smaller power of two, and none needs padding.  The same
+    filling up happens when a task would hold more than ``max_open`` open windows.
+
+    One row per piece: the kept columns, ``start`` and ``length`` in the row's tokens,
+    ``doc_tokens``, ``sequence_id`` (unique over the table), ``offset`` in the sequence, and
+    the piece's packed ``ids``.  Of levels that are equally good the fullest is taken; rows go
+    in the order in which a task reads them.  A row of any length is packed whole, repeated
+    rows each by itself, an empty table gives no piece, kept columns that clash with the added
+    names are dropped.
     """
     added = {
         "start": T.LongType(), "length": T.LongType(), "doc_tokens": T.LongType(),
@@ -167,7 +189,8 @@ def pack(
                     yield full
                 if tokens > whole:
                     yield from packer.place((row, tokens), whole, data[whole * _TOKEN :])
-        yield from packer.fill_up()
+        for closed in packer.fill_up():
+            yield from [closed] if closed.level == window else in_powers(closed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32

@@ -55,8 +55,10 @@ def test_every_id_is_packed_once(spark, documents):
             assert sum(len(ids) for _, ids in parts) == sum(map(len, wanted))
     total = sum(len(x) + 1 for _, x in documents) + 1
     assert sum(r["length"] for r in rows) == total
-    # At most one window a task has room left.
-    assert len(by_sequence) <= total // window + 3
+    # At most one window a task is cut into powers of two; nothing is padded.
+    lengths = [sum(length for _, length in parts) for parts in by_sequence.values()]
+    assert all(n == window or n & (n - 1) == 0 for n in lengths)
+    assert sum(n < window for n in lengths) <= 3 * 6
     assert packing.pack(frame.limit(0)).count() == 0
 
 

@@ -169,6 +169,66 @@ def test_licences(spark, sf_dir, make_docs):
     assert [r["n_base"] for r in license_scan.scan(repeated).collect()] == [1, 1]
 
 
+def test_spans_lie_inside_the_text(spark):
+    """A span without the template's first words begins at the first word there is."""
+    texts = ["under the apache license version 2 0", "see licensed under the apache license version 2 0 now"]
+    frame = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, _words int")
+    rows = {r["doc_id"]: r for r in license_scan.scan(frame, keep=("doc_id", "_words")).collect()}
+    spans = {i: [(s["label"], s["first_word"], s["last_word"], round(s["coverage"], 3)) for s in r["spans"]] for i, r in rows.items()}
+    assert spans[0] == [("apache", 0, 6, 0.857), ("apache", 2, 3, 1.0)]
+    assert spans[1] == [("apache", 1, 8, 1.0), ("apache", 4, 5, 1.0)]
+    assert all(r["_words"] == 7 and r["score"] == 1.0 for r in rows.values())
+    assert {i: r["n_words"] for i, r in rows.items()} == {0: 7, 1: 10}
+
+
+def plain_labels(text):
+    """All labels and the score, from plain Python over every place of every template."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, best = set(), 0.0
+    for t in license_scan.PHRASES + license_scan.NOTICES:
+        own = t.words.split()
+        pairs = list(zip(own, own[1:]))
+        hits = Counter()
+        places = {}
+        for at, pair in enumerate(zip(words, words[1:])):
+            for place, wanted in enumerate(pairs):
+                if pair == wanted:
+                    places.setdefault(at - place, set()).add(place)
+        for diagonal in sorted(places):
+            hits[diagonal] = len(places[diagonal])
+        groups = []
+        for diagonal in sorted(places):
+            if t.exact or not groups or diagonal - groups[-1][-1] > license_scan.NEAR:
+                groups.append([])
+            groups[-1].append(diagonal)
+        for group in groups:
+            together = len(set().union(*(places[d] for d in group)))
+            if 2 * (group[-1] - group[0]) > len(own):
+                together = max(hits[d] for d in group)
+            share = together / len(pairs)
+            best = max(best, share)
+            if share >= (1 if t.exact else license_scan.LEAST_COVERAGE):
+                labels.add(t.label)
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_and_scores_against_all_places(spark, sf_dir, make_docs):
+    random_words = random.Random(12)
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for t in license_scan.NOTICES:
+        own = t.words.split()
+        for _ in range(6):
+            some = [w for w in own if random_words.random() < 0.93]
+            for _ in range(random_words.randrange(3)):
+                some.insert(random_words.randrange(len(some) + 1), random_words.choice(["the", "any", "zebra"]))
+            texts.append("Some words first. " + " ".join(some) + " and then others")
+    rows = license_scan.scan(make_docs(texts, parts=4)).collect()
+    for r in rows:
+        labels, best = plain_labels(texts[r["doc_id"]])
+        assert (r["labels"], round(r["score"], 9)) == (labels, round(best, 9)), texts[r["doc_id"]][:200]
+    assert len({r["labels"] for r in rows}) > 10
+
+
 def test_word_spans_stop_at_rows():
     data, offsets = ragged.flat(pa.array(["ab", "", None, "cd e", "f"]))
     starts, ends, first = ragged.word_spans(data, offsets, ragged.letter_bytes())
