@@ -55,8 +55,10 @@ def customer_upsert(existing: DataFrame, incoming: DataFrame, at: Column) -> Dat
     """Customers by unique email: known ones stay, new emails are added once.
 
     Of incoming rows with the same email the smallest name wins; the id derives
-    from the email, so a repeated run creates the same customer.
+    from the email, so a repeated run creates the same customer.  An email is required:
+    :func:`nameless_customers` are not added.
     """
+    incoming = incoming.where(F.col("email").isNotNull())
     first = F.min_by(F.struct("name", "company", "phone"), F.struct("name", "company", "phone"))
     once = incoming.groupBy("email").agg(first.alias("_c"))
     new = once.join(existing.select("email"), "email", "left_anti").select(
@@ -69,6 +71,11 @@ def customer_upsert(existing: DataFrame, incoming: DataFrame, at: Column) -> Dat
     return existing.unionByName(new)
 
 
+def nameless_customers(incoming: DataFrame) -> DataFrame:
+    """The incoming customers that :func:`customer_upsert` rejects: those without an email."""
+    return incoming.where(F.col("email").isNull())
+
+
 def subscribe(requests: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New subscriptions, and the requests whose plan does not exist.
 

@@ -7,16 +7,18 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.skew import lookup_join, newest_rows, salted_join
+from ..session import stored
 
 MAX_BROADCAST_QUERIES = 4_096
 _CORPUS_BLOCK = 10_000
@@ -24,11 +26,21 @@ _ROWS_AT_ONCE = 1_024
 HITS = "query_id string, id string, similarity double"
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    if isinstance(column, pa.Array):
-        width = len(column[0]) if len(column) else 0
-        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-    return np.array([np.asarray(v, dtype=float) for v in column])
+class _Vectors(NamedTuple):
+    """Ids and a matrix of all vectors of one width; null vectors belong to no width."""
+
+    ids: pa.Array
+    rows: np.ndarray
+
+
+def _by_width(ids: pa.Array, vectors: pa.Array) -> dict[int, _Vectors]:
+    widths = np.array([-1 if w is None else w for w in pc.list_value_length(vectors).to_pylist()])
+    found = {}
+    for width in np.unique(widths[widths > 0]).tolist():
+        at = pa.array(np.flatnonzero(widths == width))
+        numbers = vectors.take(at).flatten().cast(pa.float64()).fill_null(np.nan)
+        found[width] = _Vectors(ids.take(at), numbers.to_numpy().reshape(-1, width))
+    return found
 
 
 def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -37,16 +49,35 @@ def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _hits(
-    corpus: np.ndarray, wanted: np.ndarray, threshold: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of both matrices at least as similar as the threshold, and how similar."""
-    found = [(np.array([], int), np.array([], int), np.array([], float))]
-    for start in range(0, len(corpus), _ROWS_AT_ONCE):
-        scores = _cosines(corpus[start : start + _ROWS_AT_ONCE], wanted)
-        at, which = np.nonzero(scores >= threshold)
-        found.append((at + start, which, scores[at, which]))
-    rows, columns, values = (np.concatenate(part) for part in zip(*found))
-    return rows, columns, values
+    corpus: dict[int, _Vectors], wanted: dict[int, _Vectors], threshold: float, top: int | None
+) -> Iterator[pa.RecordBatch]:
+    """Pairs of equal width at least as similar as the threshold.
+
+    With ``top``, only what can be among a query's best: hits at least as similar as the
+    query's hit number ``top`` so far.
+    """
+    for width, queries in wanted.items():
+        if width not in corpus:
+            continue
+        own = corpus[width]
+        best = np.full((0, len(queries.rows)), -np.inf)
+        for start in range(0, len(own.rows), _ROWS_AT_ONCE):
+            scores = _cosines(own.rows[start : start + _ROWS_AT_ONCE], queries.rows)
+            scores[~(scores >= threshold)] = -np.inf  # not a number is no hit
+            least = -np.inf
+            if top is not None:
+                best = np.concatenate((best, scores))
+                best = -np.sort(-best, axis=0)[:top]
+                least = best[-1] if len(best) == top else -np.inf
+            at, which = np.nonzero((scores >= least) & (scores > -np.inf))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    queries.ids.take(pa.array(which)),
+                    own.ids.take(pa.array(at + start)),
+                    pa.array(scores[at, which]),
+                ],
+                names=["query_id", "id", "similarity"],
+            )
 
 
 def similar_code(
@@ -57,44 +88,41 @@ def similar_code(
     ``vectors`` is ``(id, embedding)``, ``queries`` ``(query_id, embedding)``.
     Up to ``MAX_BROADCAST_QUERIES`` queries travel with the tasks and the corpus
     is scanned once without a shuffle; more are matched block by block.  Only
-    hits leave a task.
+    hits leave a task, and with ``top`` only those that can be among the query's best
+    (at equal similarity the smaller ids).  A null vector, a missing number in one, or
+    another width than the query's is no hit.
     """
     vectors = vectors.select(F.col("id").cast("string").alias("id"), "embedding")
     queries = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
-    few = queries.limit(MAX_BROADCAST_QUERIES + 1).collect()
+    few = queries.limit(MAX_BROADCAST_QUERIES + 1).toArrow().combine_chunks()
     if len(few) <= MAX_BROADCAST_QUERIES:
-        hits = _by_scan(vectors, [(r[0], r[1]) for r in few], threshold)
+        batches = few.to_batches()
+        wanted = _by_width(*batches[0].columns) if batches else {}
+        hits = _by_scan(vectors, wanted, threshold, top)
     else:
-        hits = _by_blocks(vectors, queries, threshold)
+        hits = _by_blocks(vectors, queries, threshold, top)
     if top is None:
         return hits
     return newest_rows(hits, ["query_id"], [F.desc("similarity"), F.col("id")], top)
 
 
-def _by_scan(vectors: DataFrame, queries: list[tuple], threshold: float) -> DataFrame:
-    names = np.array([q[0] for q in queries], dtype=object)
-    wanted = np.array([q[1] for q in queries], dtype=float)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, wanted))
+def _by_scan(
+    vectors: DataFrame, wanted: dict[int, _Vectors], threshold: float, top: int | None
+) -> DataFrame:
+    packed = {w: (v.ids.to_pylist(), v.rows) for w, v in wanted.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast(packed)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wanted = shared.value
+        wanted = {w: _Vectors(pa.array(ids, pa.string()), rows) for w, (ids, rows) in shared.value.items()}
         for batch in batches:
-            if not len(batch) or not len(names):
-                continue
-            at, which, scores = _hits(_matrix(batch.column(1)), wanted, threshold)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names[which], pa.string()),
-                    batch.column(0).take(pa.array(at)),
-                    pa.array(scores),
-                ],
-                names=["query_id", "id", "similarity"],
-            )
+            yield from _hits(_by_width(*batch.columns), wanted, threshold, top)
 
     return vectors.mapInArrow(scan, HITS)
 
 
-def _by_blocks(vectors: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+def _by_blocks(
+    vectors: DataFrame, queries: DataFrame, threshold: float, top: int | None
+) -> DataFrame:
     """Grid of corpus and query blocks; a cell multiplies two bounded matrices."""
     q_blocks = math.ceil(queries.count() / MAX_BROADCAST_QUERIES)
     v_blocks = max(1, math.ceil(vectors.count() / _CORPUS_BLOCK))
@@ -107,23 +135,13 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, threshold: float) -> Data
     right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
     right = right.withColumn("_v", every(v_blocks))
 
-    def cell(corpus: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if corpus.empty or wanted.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        at, which, scores = _hits(
-            _matrix(corpus["embedding"]), _matrix(wanted["embedding"]), threshold
-        )
-        return pd.DataFrame(
-            {
-                "query_id": wanted["query_id"].to_numpy()[which],
-                "id": corpus["id"].to_numpy()[at],
-                "similarity": scores,
-            }
-        )
-
-    return (
-        left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInPandas(cell, HITS)
-    )
+    def cell(corpus: pa.Table, wanted: pa.Table) -> pa.Table:
+        sides = [t.select([name, "embedding"]).combine_chunks() for t, name in ((corpus, "id"), (wanted, "query_id"))]
+        own, asked = (_by_width(*(c.combine_chunks() for c in t.columns)) for t in sides)
+        schema = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("similarity", pa.float64())])
+        return pa.Table.from_batches([b.cast(schema) for b in _hits(own, asked, threshold, top)], schema)
+
+    return left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(cell, HITS)
 
 
 def describe_hits(hits: DataFrame, measured: DataFrame) -> DataFrame:
@@ -182,7 +200,8 @@ def encode_model(
 
 
 def snippet_key(model: str, text: str):
-    return F.concat(F.lit(f"{model}:"), F.substring(F.sha2(F.col(text), 256), 1, 16))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.concat(F.lit(f"{model}:"), F.substring(F.sha2(whole, 256), 1, 16))
 
 
 def encode_incremental(
@@ -196,12 +215,16 @@ def encode_incremental(
     """Vectors for all snippets, encoding only texts whose key is not in the store.
 
     ``encode`` maps ``(key, code)`` to ``(key, embedding)``.  Returns the vectors
-    and the rows to append to the store.  Copies of a text are encoded once.
+    and the rows to append to the store.  Copies of a text are encoded once, and what was
+    encoded is written and read again, so the model sees each text one time.  Every snippet
+    gets its vector: a null text counts as empty.  Of store rows with the same key one counts.
     """
-    keyed = snippets.select(id_, F.col(text).alias("code"), snippet_key(model, text).alias("key"))
+    code = F.coalesce(F.col(text), F.lit("")).alias("code")
+    keyed = snippets.select(id_, code, snippet_key(model, text).alias("key"))
+    store = store.dropDuplicates(["key"])
     once = keyed.groupBy("key").agg(F.any_value("code").alias("code"))
     unknown = once.join(store.select("key"), "key", "left_anti")
-    fresh = encode(unknown).select("key", "embedding")
+    fresh = stored(encode(unknown).select("key", "embedding"), "encoded")
     known = store.select("key", "embedding", F.lit(True).alias("reused")).unionByName(
         fresh.withColumn("reused", F.lit(False))
     )

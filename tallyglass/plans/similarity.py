@@ -144,3 +144,46 @@ def encode_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = encode(english.dropDuplicates(["key"]))
     found, _ = s.encode_incremental(documents, store, encode, "hashing", "doc_id", "text")
     return found.select("doc_id", "key", "reused", F.size("embedding").alias("width"))
+
+
+@query(
+    "encode_incremental_vectors",
+    f"""WITH {_weights_sql(32)} SELECT doc_id, dim, round(weight, 8) AS weight FROM unit WHERE weight <> 0""",
+)
+def encode_incremental_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors themselves, a third of them from a store that holds some keys twice."""
+    documents = table(spark, sf_dir, "documents")
+
+    def encode(snippets: DataFrame) -> DataFrame:
+        return s.encode_model(snippets, "key", "code", s.hashing_model(32), element=T.DoubleType())
+
+    some = documents.where(F.col("doc_id") % 3 == 0).select(
+        s.snippet_key("hashing", "text").alias("key"), F.col("text").alias("code")
+    )
+    store = encode(some.union(some))
+    found, _ = s.encode_incremental(documents, store, encode, "hashing", "doc_id", "text")
+    cells = found.select("doc_id", F.posexplode("embedding").alias("dim", "weight"))
+    return rounded(cells.where(F.col("weight") != 0), "weight")
+
+
+@query(
+    "similar_code_all",
+    f"""WITH wanted AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS d FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id,
+  sum(q.x * v.x) / (sqrt(sum(q.x * q.x)) * sqrt(sum(v.x * v.x))) AS similarity
+  FROM cells q JOIN cells v USING (d) WHERE q.vec_id IN (SELECT vec_id FROM wanted) GROUP BY ALL)
+SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(id AS VARCHAR) AS id, round(similarity, 6) AS similarity
+FROM pairs QUALIFY row_number() OVER (
+  PARTITION BY query_id ORDER BY round(similarity, 9) DESC, CAST(id AS VARCHAR)) <= 10""",
+)
+def similar_code_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every twentieth one, in blocks of queries and corpus."""
+    every = vectors(spark, sf_dir)
+    wanted = every.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "embedding")
+    every = every.select(F.col("id").cast("string").alias("id"), "embedding")
+    wanted = wanted.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+    hits = s.newest_rows(
+        s._by_blocks(every, wanted, -1.0, 10), ["query_id"], [F.desc(F.round("similarity", 9)), F.col("id")], 10
+    )
+    return rounded(hits, "similarity", digits=6)

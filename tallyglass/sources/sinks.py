@@ -77,18 +77,22 @@ def _of_same(stored: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame
     return stored.join(F.broadcast(folders), same, "left_semi")  # at most a row a day
 
 
-def log_append(events: DataFrame, folder: str, key: str = "event_id") -> None:
+def log_append(events: DataFrame, folder: str, key: str = "event_id") -> DataFrame:
     """Append events whose id is neither stored nor repeated within the batch.
 
+    An id is required: events without one are not stored and are returned.
+
     One folder per day, and one for rows without a time; an id belongs to one time, so only
     the days of the batch are searched for stored ids.
     """
-    dated = events.dropDuplicates([key]).withColumn("date", F.to_date("ts"))
+    named = events.where(F.col(key).isNotNull())
+    dated = named.dropDuplicates([key]).withColumn("date", F.to_date("ts"))
     stored = _stored(events.sparkSession, folder, dated.schema)
     if stored is not None:
         known = _of_same(stored.select("date", key), dated, ["date"])
         dated = dated.join(known.select(key), key, "left_anti")
     dated.write.mode("append").partitionBy("date").parquet(folder)
+    return events.where(F.col(key).isNull())
 
 
 def log_read(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:

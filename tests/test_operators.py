@@ -56,6 +56,66 @@ def test_archive_scan(spark, tmp_path):
     assert not (tmp_path / "evil.py").exists()
 
 
+def test_unreadable_files_and_archives_are_rows(spark, tmp_path):
+    """A broken archive, a broken member, a folder without access and a deep tree."""
+    deep = tmp_path
+    for n in range(12):
+        deep = deep / f"d{n}"
+    deep.mkdir(parents=True)
+    (deep / "deep.py").write_text("x = 1")
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere.py")
+    (tmp_path / "broken.zip").write_bytes(b"PK no archive " * 100)
+    (tmp_path / "short.zip").write_bytes(b"PK")
+    with zipfile.ZipFile(tmp_path / "some.zip", "w", zipfile.ZIP_STORED) as archive:
+        for n in range(300):
+            archive.writestr(f"m{n}.py", f"value = {n}")
+        archive.writestr("bad.py", "tampered = 1")
+    data = (tmp_path / "some.zip").read_bytes()
+    (tmp_path / "some.zip").write_bytes(data.replace(b"tampered = 1", b"tampered = 2"))
+    found = {r.path.removeprefix(f"{tmp_path}/"): r for r in files.source_scan(spark, str(tmp_path)).collect()}
+    assert found["/".join(f"d{n}" for n in range(12)) + "/deep.py"].content == "x = 1"
+    assert all(r.content is None and r.error for p, r in found.items() if p == "gone.py")
+    members = {r.path.removeprefix(f"{tmp_path}/"): r for r in files.archive_scan(spark, str(tmp_path)).collect()}
+    assert members["broken.zip"].content is None and "BadZipFile" in members["broken.zip"].error
+    assert members["some.zip/bad.py"].content is None and "CRC" in members["some.zip/bad.py"].error
+    assert all(members[f"some.zip/m{n}.py"].content == f"value = {n}" for n in range(300))
+    assert members["short.zip"].content is None and members["short.zip"].error
+    assert len(members) == 303
+    missing = files.source_scan(spark, str(tmp_path / "absent")).collect()
+    assert [(r.content, bool(r.error)) for r in missing] == [(None, True)]
+
+
+def test_vectors_may_be_null_or_of_other_widths(spark):
+    schema = "id long, embedding array<float>"
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 0.0]), (4, [1.0, None]), (5, [0.0, 0.0]), (6, [2.0, 0.1])]
+    vectors = spark.createDataFrame(rows, schema)
+    queries = spark.createDataFrame([(7, [3.0, 0.0]), (8, None), (9, [0.0, 0.0, 2.0])], schema.replace("id", "query_id", 1))
+    text = lambda df, c: df.withColumn(c, F.col(c).cast("string"))
+    for found in (
+        similarity.similar_code(vectors, queries, 0.5),
+        similarity._by_blocks(text(vectors, "id"), text(queries, "query_id"), 0.5, None),
+    ):
+        assert sorted((r.query_id, r.id) for r in found.collect()) == [("7", "1"), ("7", "6")]
+    best = similarity.similar_code(vectors, queries, -1.0, top=1).collect()
+    assert [(r.query_id, r.id) for r in best if r.query_id == "7"] == [("7", "1")]
+    assert similarity.similar_code(vectors, queries.limit(0), 0.5).count() == 0
+
+
+def test_required_ids_are_rejected(spark, tmp_path):
+    rows = [("a", START), (None, START), (None, START)]
+    events = spark.createDataFrame(rows, "event_id string, ts timestamp_ntz")
+    for _ in range(2):
+        assert sinks.log_append(events, str(tmp_path / "log")).count() == 2
+    assert sinks.log_read(spark, str(tmp_path / "log"), events.schema).count() == 1
+    person = "email string, name string, company string, phone string"
+    incoming = spark.createDataFrame([("e", "n", "c", "p"), (None, "m", "c", "p")], person)
+    known = "customer_id string, email string, name string, company string, phone string, "
+    existing = spark.createDataFrame([], known + "created_at timestamp_ntz, updated_at timestamp_ntz")
+    once = billing.customer_upsert(existing, incoming, ntz())
+    assert once.count() == billing.customer_upsert(once, incoming, ntz()).count() == 1
+    assert billing.nameless_customers(incoming).count() == 1
+
+
 def test_log_append_is_unique_across_and_within_batches(spark, tmp_path):
     folder = str(tmp_path / "log")
     schema = "event_id string, ts timestamp_ntz"
@@ -406,7 +466,7 @@ def test_open_root_understands_local_uris():
 
 def test_encode_incremental_reuses_and_encodes_once(spark):
     snippets = spark.createDataFrame(
-        [(1, "a b"), (2, "a b"), (3, "c"), (4, "")], "id int, code string"
+        [(1, "a b"), (2, "a b"), (3, "c"), (4, ""), (5, None)], "id int, code string"
     )
     calls = []
 
@@ -421,7 +481,7 @@ def test_encode_incremental_reuses_and_encodes_once(spark):
     )
     vectors, fresh = similarity.encode_incremental(snippets, store, encode, "m")
     assert calls == [1, 2]
-    assert {r.id: r.reused for r in vectors.collect()} == {1: False, 2: False, 3: True, 4: False}
+    assert {r.id: r.reused for r in vectors.collect()} == {1: False, 2: False, 3: True, 4: False, 5: False}
     assert fresh.count() == 2
 
 
