@@ -135,11 +135,14 @@ def _by_blocks(
     right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
     right = right.withColumn("_v", every(v_blocks))
 
+    schema = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("similarity", pa.float64())])
+
     def cell(corpus: pa.Table, wanted: pa.Table) -> pa.Table:
-        sides = [t.select([name, "embedding"]).combine_chunks() for t, name in ((corpus, "id"), (wanted, "query_id"))]
-        own, asked = (_by_width(*(c.combine_chunks() for c in t.columns)) for t in sides)
-        schema = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("similarity", pa.float64())])
-        return pa.Table.from_batches([b.cast(schema) for b in _hits(own, asked, threshold, top)], schema)
+        if not corpus.num_rows or not wanted.num_rows:
+            return schema.empty_table()
+        own = _by_width(*(corpus[c].combine_chunks() for c in ("id", "embedding")))
+        asked = _by_width(*(wanted[c].combine_chunks() for c in ("query_id", "embedding")))
+        return pa.Table.from_batches(_hits(own, asked, threshold, top), schema)
 
     return left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(cell, HITS)
 

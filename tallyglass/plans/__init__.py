@@ -1,4 +1,4 @@
 """Every registered query; importing the package fills the registry."""
 
-from . import audit, billing, code, monitoring, similarity, streams, texts, timeseries  # noqa: F401
+from . import audit, billing, code, holes, monitoring, similarity, streams, texts, timeseries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
