@@ -132,7 +132,10 @@ def _by_blocks(
 
     left = vectors.withColumn("_v", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int"))
     left = left.withColumn("_q", every(q_blocks))
-    right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+    # A name of its own: both sides may come from one table.
+    right = queries.withColumnRenamed("embedding", "asked")
+    right = right.withColumn("asked", F.transform("asked", lambda x: x))
+    right = right.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
     right = right.withColumn("_v", every(v_blocks))
 
     schema = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("similarity", pa.float64())])
@@ -141,7 +144,7 @@ def _by_blocks(
         if not corpus.num_rows or not wanted.num_rows:
             return schema.empty_table()
         own = _by_width(*(corpus[c].combine_chunks() for c in ("id", "embedding")))
-        asked = _by_width(*(wanted[c].combine_chunks() for c in ("query_id", "embedding")))
+        asked = _by_width(*(wanted[c].combine_chunks() for c in ("query_id", "asked")))
         return pa.Table.from_batches(_hits(own, asked, threshold, top), schema)
 
     return left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(cell, HITS)
