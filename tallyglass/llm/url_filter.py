@@ -54,30 +54,42 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+# A byte that no UTF-8 text has stands between host and path.
+BREAK = 0xFF
+
+
 class Automaton:
     """Wildcard patterns packed into multiword Shift-And masks."""
 
-    def __init__(self, patterns: Sequence[list[int | None | str]]):
-        """Each pattern is a list of bytes, ``None`` (any one byte) or ``"*"``."""
+    def __init__(self, patterns: Sequence[list[int | None | str]], blind: Sequence[int] = ()):
+        """Each pattern is a list of bytes, ``None`` (any one byte) or ``"*"``.
+
+        To the patterns numbered in ``blind`` the byte ``BREAK`` is as if it were not there.
+        """
         sizes = [1 + sum(p != "*" for p in pattern) for pattern in patterns]
         self.words = max(1, -(-sum(sizes) // 64))
         moves = np.zeros((256, self.words), np.uint64)
-        stays = np.zeros(self.words, np.uint64)
+        stays = np.zeros((256, self.words), np.uint64)
         begin = np.zeros(self.words, np.uint64)
         self.accept: list[tuple[int, np.uint64]] = []
         first = 0
-        for pattern in patterns:
+        for number, pattern in enumerate(patterns):
             at = first
             word, bit = divmod(at, 64)
             begin[word] |= np.uint64(1 << bit)
             for symbol in pattern:
                 if symbol == "*":
-                    stays[at // 64] |= np.uint64(1 << at % 64)
+                    stays[:, at // 64] |= np.uint64(1 << at % 64)
                     continue
                 at += 1
                 rows = slice(None) if symbol is None else symbol
                 moves[rows, at // 64] |= np.uint64(1 << at % 64)
             self.accept.append((at // 64, np.uint64(1 << at % 64)))
+            if number in blind:
+                for own in range(first, at + 1):
+                    bit = np.uint64(1 << own % 64)
+                    moves[BREAK, own // 64] &= ~bit
+                    stays[BREAK, own // 64] |= bit
             first = at + 1
         self.moves, self.stays, self.begin = moves, stays, begin
 
@@ -102,9 +114,8 @@ class Automaton:
             now = state[:reading]
             shifted = now << np.uint64(1)
             shifted[:, 1:] |= now[:, :-1] >> np.uint64(63)
-            state[:reading] = (shifted & self.moves[data[starts[:reading] + t]]) | (
-                now & self.stays
-            )
+            byte = data[starts[:reading] + t]
+            state[:reading] = (shifted & self.moves[byte]) | (now & self.stays[byte])
         out = np.empty_like(state)
         out[order] = state
         return out
@@ -146,7 +157,8 @@ def judge(
     repeated rows stay, empty tables stay empty, clashing column names are replaced.
     """
     rules, globs = list(rules), list(globs)
-    patterns = [["*", *_literal("." + r.host + r.path), "*"] for r in rules]
+    # One machine reads each address once: a rule's host ends at the break, globs do not see it.
+    patterns = [["*", *_literal("." + r.host), BREAK, *_literal(r.path), "*"] for r in rules]
     patterns += [_glob(g.pattern) for g in globs]
     blocking = lambda x: x.verdict != BLOCK  # noqa: E731 - blocking ones sort first
     by_length = sorted(
@@ -155,15 +167,12 @@ def judge(
     in_turn = sorted(range(len(globs)), key=lambda k: blocking(globs[k]))
 
     def make() -> ragged.Work:
-        # A rule's host must stand before the first slash; a path may contain anything.
-        hosts = Automaton([["*", *_literal("." + r.host)] for r in rules])
-        paths = Automaton([[*_literal(r.path), "*"] for r in rules])
-        whole = Automaton(patterns[len(rules) :])
+        machine = Automaton(patterns, range(len(rules), len(patterns)))
 
         def work(columns: list[pa.Array]) -> list[pa.Array]:
-            host, path, canonical = (ragged.flat(c) for c in columns)
-            rule = _match(hosts.run(*host) & paths.run(*path), by_length)
-            glob = _match(whole.run(*canonical), in_turn)
+            found = machine.run(*ragged.flat(columns[0]))
+            rule = _match(found[:, : len(rules)], by_length)
+            glob = _match(found[:, len(rules) :], in_turn)
             verdicts = np.full(len(rule), default, object)
             for k, g in enumerate(globs):
                 verdicts[glob == k] = g.verdict
@@ -175,19 +184,18 @@ def judge(
 
         return work
 
-    adds = T.StructType([T.StructField(c, T.StringType()) for c in ("rule", "glob", "verdict")])
-    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("host", "path")]
-    address = F.col(ragged.quoted(url))
-    host, path = host_of(address), path_of(address)
-    inputs = {"_host": F.concat(F.lit("."), host), "_path": path, "_both": F.concat(F.lit("."), host, path)}
-    plain = df.select(*[F.col(ragged.quoted(c)) for c in kept], *[v.alias(k) for k, v in inputs.items()])
-    judged = ragged.with_columns(plain, list(inputs), adds, make, [*kept, "_host", "_path"])
-    taken = {"rule", "glob", "verdict"}
-    return judged.select(
-        *[F.col(ragged.quoted(c)) for c in kept if c.lower() not in taken],
-        F.substring("_host", 2, 1 << 30).alias("host"),
-        F.col("_path").alias("path"),
-        "rule",
-        "glob",
-        "verdict",
+    made = ("rule", "glob", "verdict")
+    adds = T.StructType([T.StructField(c, T.StringType()) for c in made])
+    taken = {"host", "path", *made}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+    own = [f"k{i}" for i in range(len(kept))]
+    host, path = host_of(F.col(ragged.quoted(url))), path_of(F.col(ragged.quoted(url)))
+    address = F.concat(F.lit(b"."), host.cast("binary"), F.lit(bytes([BREAK])), path.cast("binary"))
+    plain = df.select(
+        *[F.col(ragged.quoted(c)).alias(n) for c, n in zip(kept, own, strict=True)],
+        host.alias("host"),
+        path.alias("path"),
+        address.alias("address"),
     )
+    judged = ragged.with_columns(plain, ["address"], adds, make, [*own, "host", "path"])
+    return judged.toDF(*kept, "host", "path", *made)

@@ -61,6 +61,35 @@ def test_automaton_against_fnmatch():
     assert found.tolist() == expected
 
 
+def test_rules_and_globs_are_one_machine(spark):
+    """Many rules and globs over several words of state; globs run across host and path."""
+    random_urls = random.Random(8)
+    hosts = [f"{a}.{b}" for a in ("a", "bb", "c-d") for b in ("net", "org", "example.com")]
+    rules = [
+        url_filter.Rule(random_urls.choice(["block", "allow"]), h, p)
+        for h in hosts for p in ("/", "/x/", "/x/y")
+    ]
+    globs = [
+        url_filter.Glob(v, g)
+        for v, g in [("block", "*.zz/q*"), ("allow", "*z?q*"), ("block", "*\u00e4?*"), ("block", "*.io"), ("block", "*")]
+    ]
+    urls = [
+        f"http://{random_urls.choice(['', 'w.', 'xa.'])}{random_urls.choice([*hosts, 'h.zz', 'k.io', '\u00e4b'])}"
+        f"{random_urls.choice(['', '/', '/x', '/x/', '/x/y', '/x/yz', '/q', '/.a.net/x/'])}"
+        for _ in range(400)
+    ]
+    frame = spark.createDataFrame([(i, u, "h", "b") for i, u in enumerate(urls)], "page_id long, url string, _host string, _both string")
+    for row in url_filter.judge(frame, rules, globs).collect():
+        match = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", row["url"])
+        host, path = match.groups()
+        fits = [r for r in rules if f".{host}".endswith(f".{r.host}") and path.startswith(r.path)]
+        best = min(fits, key=lambda r: (-len(r.name), r.verdict != "block", r.name), default=None)
+        hits = [g for g in globs if fnmatchcase(f".{host}{path}", g.pattern)]
+        glob = min(hits, key=lambda g: g.verdict != "block")
+        assert (row["rule"], row["glob"]) == (best and best.name, glob.pattern)
+        assert row["verdict"] == (best or glob).verdict and row["_host"] == "h"
+
+
 def measured(text):
     text = text or ""
     words = WORD.findall(text)
