@@ -232,7 +232,11 @@ def dedup(
 
 
 def without_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay by the rules of :func:`dedup`, with all their columns.
+
+    Nulls, empty and very long texts, ties and repeated rows are decided as there; an empty
+    table gives an empty one.
+    """
     rows, decided = decisions(docs, id, text)
     gone = decided.where(F.col("row") != F.col("keep_row")).select("row")
     if gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:

@@ -459,7 +459,11 @@ def near_duplicates(
 def one_of_each(
     docs: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings()  # noqa: B008
 ) -> DataFrame:
-    """The documents that are kept, with all their columns."""
+    """The documents that :func:`near_duplicates` keeps, with all their columns.
+
+    Nulls, empty and very long texts, ties and repeated rows are decided as there; an empty
+    table gives an empty one.
+    """
     rows, decided = classes(docs, id, text, settings)
     gone = decided.where(F.col("row") != F.col("keep_row")).select("row")
     if _small(gone):
