@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage reads what the stage before it kept."""
+"""A corpus pipeline: each stage reads what the stage before it kept.
+
+All stages but the last give the columns of their documents, whatever their names.  Nulls
+in any column stay as they are; a null text counts as empty.  Texts of any length are read
+whole, repeated rows are decided one by one or as copies of each other, and an empty table
+gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels, does not reject."""
+    """Documents that the quality classifier, fitted on the labels, does not reject.
+
+    Documents without a label, an id or a word are scored like all others; equal texts are
+    kept or rejected alike, and a score equal to the limit keeps.
+    """
     model = quality_model.fit(docs, train_labels(spark, sf_dir), "quality")
 
     def good(rows: DataFrame, text: str) -> DataFrame:
@@ -25,7 +35,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule of the newest policy."""
+    """Documents that fail no rule of the newest policy.
+
+    A null or empty text has no words and fails the rule on few words.
+    """
 
     def regular(rows: DataFrame, text: str) -> DataFrame:
         return quality_rules.ledger(rows, text).where(~quality_rules.fails("2"))
@@ -34,17 +47,27 @@ def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, white space aside.
+
+    The one of most code points stays, then the smallest id, a null id last; of rows that
+    are equal in both one stays.
+    """
     return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one of the smallest id, null last.
+
+    Texts without words are one group; of repeated rows one stays.
+    """
     return near_dups.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 4096: one row per piece of a document, with its ids."""
+    """Token sequences of 4096: one row per piece of a document, with its ids.
+
+    Also an empty document has a piece, which holds its end mark.
+    """
     coded = bpe.encode(docs, vocabulary(WORD_FILE), keep=["doc_id"])
     return packing.pack(coded, keep=["doc_id"])
 
