@@ -201,8 +201,13 @@ USAGE_ITEMS = [
 ]
 
 
+def trend_period(as_of: Column, hours: int) -> Column:
+    """Where the last ``hours`` before ``as_of`` begin."""
+    return as_of - seconds_interval(hours * 3600)
+
+
 def _period(aggregates: DataFrame, as_of: Column, hours: int) -> DataFrame:
-    start = as_of - seconds_interval(hours * 3600)
+    start = trend_period(as_of, hours)
     return aggregates.where(
         (F.col("granularity") == "minute") & F.col("ts").between(start, as_of)
     )
@@ -297,11 +302,15 @@ def overview_of_points(
 
 def usage_overview(aggregates: DataFrame, as_of: Column, hours: int) -> DataFrame:
     """Total, successful and success rate of commands and licence validations."""
-    spark = aggregates.sparkSession
-    items = spark.createDataFrame(
+    return usage_of_minutes(_period(aggregates, as_of, hours))
+
+
+def usage_of_minutes(minutes: DataFrame) -> DataFrame:
+    """The usage section from the minute aggregates of a period."""
+    items = minutes.sparkSession.createDataFrame(
         USAGE_ITEMS, "section string, item string, metric_name string, metric_type string"
     )
-    rows = _period(aggregates, as_of, hours).where(F.col("metric_type") == "usage")
+    rows = minutes.where(F.col("metric_type") == "usage")
     return items.join(usage_success(rows), SERIES, "left").select(
         "section",
         "item",

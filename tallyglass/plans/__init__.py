@@ -1,4 +1,15 @@
 """Every registered query; importing the package fills the registry."""
 
-from . import audit, billing, code, holes, monitoring, similarity, streams, texts, timeseries  # noqa: F401
+from . import (  # noqa: F401
+    audit,
+    billing,
+    code,
+    holes,
+    monitoring,
+    rollups,
+    similarity,
+    streams,
+    texts,
+    timeseries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
