@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .scans import running_total
 from .skew import small_side
-from .stats import PERCENTILES, by_key
+from .stats import DIRECT_ROWS, PERCENTILES, by_key, by_size, direct_percentiles
 
 # Bins of a key's values; a window looks at one of them for each percentile.
 BINS = 256
@@ -55,6 +55,18 @@ def pane_moments(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return by_key(first, squares, keys)
 
 
+def point_moments(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from points that have their ``pane``, in one pass."""
+    return placed.groupBy(*keys, "pane").agg(
+        F.count("value").alias("count"),
+        F.sum("value").alias("sum"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.avg("value").alias("mean"),
+        (F.var_pop("value") * F.count("value")).alias("squares"),
+    )
+
+
 def window_moments(panes: DataFrame, keys: Sequence[str], cover: DataFrame) -> DataFrame:
     """The usual moments of each key and ``window`` from the moments of its panes.
 
@@ -144,13 +156,31 @@ def window_percentiles(
 
 
 def window_stats(
-    counts: DataFrame, keys: Sequence[str], cover: DataFrame, bins: int = BINS, parts: int | None = None
+    counts: DataFrame,
+    keys: Sequence[str],
+    cover: DataFrame,
+    panes: DataFrame | None = None,
+    bins: int = BINS,
+    parts: int | None = None,
+    direct: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Moments and percentiles of each key and ``window``; a window without values has no row.
 
     ``counts`` has ``keys``, ``pane``, ``value`` and ``n`` (see :func:`pane_counts`), ``cover``
-    a row for every ``window`` and ``pane`` it holds.  A null key is a key.
+    a row for every ``window`` and ``pane`` it holds, ``panes`` the moments of the panes if
+    they are known (else they are made from the counts).  A null key is a key.  Windows of a key
+    whose values, all together, are at most ``direct`` are put together in memory.
     """
+    keys = list(keys)
     of_window = [*keys, "window"]
-    moments = window_moments(pane_moments(counts, keys), keys, cover)
-    return by_key(moments, window_percentiles(counts, keys, cover, bins=bins, parts=parts), of_window)
+    near = small_side(cover)
+
+    def small(rows: DataFrame) -> DataFrame:
+        return direct_percentiles(rows.join(near, "pane"), of_window)
+
+    def large(rows: DataFrame) -> DataFrame:
+        return window_percentiles(rows, keys, cover, bins=bins, parts=parts)
+
+    found = by_size(counts, keys, F.count(F.lit(1)), small, large, direct)
+    panes = pane_moments(counts, keys) if panes is None else panes
+    return by_key(window_moments(panes, keys, cover), found, of_window)

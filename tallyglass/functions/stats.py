@@ -1,24 +1,29 @@
 """Exact grouped statistics that never hold a group in one task.
 
-There is one way for groups of all sizes.  Equal values merge before they move; the
-values of all groups are dealt to parts of equal size by group and value, so that a
-large group lies in several parts however close its values are; counts per part tell
-which parts hold a wanted rank, and only those are sorted.  A null key is a group.
+Groups of up to ``DIRECT_ROWS`` rows are held in memory by one aggregation.  Of larger ones
+equal values merge before they move; their values are dealt to parts of equal size by group
+and value, so that a group lies in several parts however close its values are; counts per
+part tell which parts hold a wanted rank, and only those are sorted.  Each group goes its own
+way and the rows are the same by either; a null key is a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .scans import values_at_ranks
-from .skew import lookup_join
 
 PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
+# Rows of a group that one aggregation may hold in memory.
+DIRECT_ROWS = 100_000
+
+
 def frequency(points: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Count of each distinct value per group; equal values merge map-side."""
     return points.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
@@ -37,10 +42,14 @@ def moments(value: str = "value") -> list[Column]:
 
 
 def by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys of which any may be null; null matches null."""
+    """Join on keys of which any may be null; null matches null.
+
+    A plain join, because both sides are results that a look at their size would compute
+    twice; adaptive execution sends a small one along and splits a large key.
+    """
     keys = list(keys)
     lone = lambda df: df.withColumn("_key", F.struct(*keys)).drop(*keys)
-    joined = lookup_join(lone(left), lone(right), ["_key"], how)
+    joined = lone(left).join(lone(right), "_key", how)
     return joined.select("_key.*", *[c for c in joined.columns if c != "_key"])
 
 
@@ -93,18 +102,77 @@ def exact_percentiles(
     return found.select(*keys, *[c.alias(name) for name, c in between.items()])
 
 
+def by_size(
+    rows: DataFrame,
+    keys: Sequence[str],
+    size: Column,
+    small: Callable[[DataFrame], DataFrame],
+    large: Callable[[DataFrame], DataFrame],
+    direct: int,
+) -> DataFrame:
+    """What ``small`` makes of groups of at most ``direct`` rows and ``large`` of the others.
+
+    ``size`` adds up the rows of a group.  One light pass finds the large groups; of n rows in
+    all there are at most n / ``direct``.
+    """
+    sizes = rows.groupBy(*keys).agg(size.alias("_size"))
+    big = stored(sizes.where(F.col("_size") > direct).select(F.struct(*keys).alias("_key")), "large")
+    if not big.limit(1).count():
+        return small(rows)
+    keyed = rows.withColumn("_key", F.struct(*keys))
+    rest = small(keyed.join(big, "_key", "left_anti").drop("_key"))
+    return rest.unionByName(large(keyed.join(big, "_key", "left_semi").drop("_key")))
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    """The array of percentiles as columns."""
+    return df.withColumns({name: F.col("_p")[i] for i, name in enumerate(PERCENTILES)}).drop("_p")
+
+
 def grouped_stats(
-    points: DataFrame, keys: Sequence[str], value: str = "value", parts: int | None = None
+    points: DataFrame,
+    keys: Sequence[str],
+    value: str = "value",
+    parts: int | None = None,
+    direct: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Moments and percentiles of plain rows; null values count nowhere."""
-    points = points.where(F.col(value).isNotNull())
-    plain = points.groupBy(*keys).agg(*moments(value))
-    return by_key(plain, exact_percentiles(frequency(points, keys, value), keys, value, parts=parts), keys)
+    keys = list(keys)
+
+    def small(rows: DataFrame) -> DataFrame:
+        wanted = F.percentile(value, list(PERCENTILES.values())).alias("_p")
+        return _unpacked(rows.groupBy(*keys).agg(*moments(value), wanted))
+
+    def large(rows: DataFrame) -> DataFrame:
+        found = exact_percentiles(frequency(rows, keys, value), keys, value, parts=parts)
+        return by_key(rows.groupBy(*keys).agg(*moments(value)), found, keys)
+
+    valued = points.where(F.col(value).isNotNull())
+    return by_size(valued, keys, F.count(F.lit(1)), small, large, direct)
+
+
+def direct_percentiles(freq: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Percentiles of distinct values with their count ``n``, each group in memory."""
+    wanted = F.percentile(value, list(PERCENTILES.values()), F.col("n")).alias("_p")
+    return _unpacked(freq.groupBy(*keys).agg(wanted))
 
 
 def weighted_stats(
-    freq: DataFrame, keys: Sequence[str], value: str = "value", parts: int | None = None
+    freq: DataFrame,
+    keys: Sequence[str],
+    value: str = "value",
+    parts: int | None = None,
+    direct: int = DIRECT_ROWS,
 ) -> DataFrame:
     """The same from distinct values with their count ``n``; null values count nowhere."""
+    keys = list(keys)
     freq = freq.where(F.col(value).isNotNull())
-    return by_key(weighted_moments(freq, keys, value), exact_percentiles(freq, keys, value, parts=parts), keys)
+    found = by_size(
+        freq,
+        keys,
+        F.count(F.lit(1)),
+        lambda rows: direct_percentiles(rows, keys, value),
+        lambda rows: exact_percentiles(rows, keys, value, parts=parts),
+        direct,
+    )
+    return by_key(weighted_moments(freq, keys, value), found, keys)

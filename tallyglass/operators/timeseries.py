@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.panes import pane_counts, window_stats
+from ..functions.panes import pane_counts, point_moments, window_stats
 from ..functions.scans import previous_value, running_total
 from ..functions.skew import SMALL_ROWS, newest_rows
 from ..functions.stats import PERCENTILES, exact_percentiles, frequency, grouped_stats, moments
@@ -24,6 +25,7 @@ from ..functions.times import (
 )
 from ..session import stored
 
+_EPOCH = dt.datetime(1970, 1, 1)
 SERIES = ["metric_name", "metric_type"]
 # A stored table holds several granularities; rows of one never meet those of another.
 LEVEL = [*SERIES, "granularity"]
@@ -50,34 +52,50 @@ def aggregate_tumbling(
     return stats.withColumn("granularity", F.lit(granularity)).select(*AGG_KEY, *columns)
 
 
-def _panes_between(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points with ``pane``, and the edges (``us``, distinct) with their ``number`` in time order.
+def _no_aggregates(points: DataFrame) -> DataFrame:
+    keys = ", ".join(f"{c} string" for c in LEVEL)
+    numbers = ", ".join(f"{c} {'long' if c == 'count' else 'double'}" for c in STATS)
+    return points.sparkSession.createDataFrame([], f"{keys}, ts timestamp_ntz, {numbers}")
 
-    A pane is 2i on edge i, and 2i - 1 before it and after edge i - 1.  A short list of edges
-    goes along to the tasks, a long one is met by running counts in order of time.
+
+def _placed_by_list(points: DataFrame, ends: list, width: int) -> tuple[DataFrame, DataFrame]:
+    """Points with ``pane``, and windows with ``low`` and ``high`` pane, for a short list of ends.
+
+    A pane is 2i on edge i of the sorted edges, and 2i - 1 between edges i - 1 and i.
     """
+    last = np.array([(e - _EPOCH) // dt.timedelta(microseconds=1) for e in ends], np.int64)
+    cuts = np.unique(np.concatenate((last, last - width)))
+
+    @F.arrow_udf(T.LongType())
+    def pane(us: pa.Array) -> pa.Array:
+        times = us.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(cuts, times)
+        on = cuts[np.minimum(at, len(cuts) - 1)] == times
+        return pa.array(2 * at - ~on)
+
+    low, high = (2 * np.searchsorted(cuts, edge) for edge in (last - width, last))
+    rows = list(zip(ends, low.tolist(), high.tolist(), strict=True))
+    windows = points.sparkSession.createDataFrame(rows, "window timestamp_ntz, low long, high long")
+    inside = points.where(F.col("ts").between(*(from_micros(F.lit(int(x))) for x in cuts[[0, -1]])))
+    return inside.withColumn("pane", pane(epoch_micros(F.col("ts")))), windows
+
+
+def _placed_by_scan(points: DataFrame, ends: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The same for any number of ends, met by running counts in order of time."""
+    last = epoch_micros(F.col("end_ts"))
+    windows = ends.select(F.col("end_ts").alias("window"), last.alias("last"), (last - width).alias("first"))
+    windows = stored(windows, "windows")
+    edges = windows.select(F.explode(F.array("first", "last")).alias("us")).distinct()
     timed = points.withColumn("us", epoch_micros(F.col("ts")))
-    known = edges.limit(SMALL_ROWS + 1).collect()
-    if len(known) <= SMALL_ROWS:
-        cuts = np.array(sorted(r["us"] for r in known), np.int64)
-
-        @F.arrow_udf(T.LongType())
-        def pane(us: pa.Array) -> pa.Array:
-            times = us.to_numpy(zero_copy_only=False)
-            at = np.searchsorted(cuts, times)
-            on = cuts[np.minimum(at, len(cuts) - 1)] == times
-            return pa.array(2 * at - ~on)
-
-        rows = [(int(us), i) for i, us in enumerate(cuts)]
-        numbered = points.sparkSession.createDataFrame(rows, "us long, number long")
-        return timed.withColumn("pane", pane("us")).drop("us"), numbered
-    every = ["all"]
     marked = timed.select("us", F.lit(0).alias("edge")).union(edges.select("us", F.lit(1)))
     steps = marked.groupBy("us").agg(F.sum("edge").alias("edge")).withColumn("all", F.lit(0))
-    ranked = stored(running_total(steps, every, "us", "edge", "passed"), "edges")
+    ranked = stored(running_total(steps, ["all"], "us", "edge", "passed"), "edges")
     panes = ranked.select("us", (2 * F.col("passed") - F.col("edge") - 1).alias("pane"))
-    numbered = ranked.where("edge > 0").select("us", (F.col("passed") - 1).alias("number"))
-    return timed.join(panes, "us").drop("us"), numbered
+    number = 2 * (F.col("passed") - 1)
+    low = ranked.where("edge > 0").select(F.col("us").alias("first"), number.alias("low"))
+    high = ranked.where("edge > 0").select(F.col("us").alias("last"), number.alias("high"))
+    windows = windows.join(low, "first").join(high, "last").select("window", "low", "high")
+    return timed.join(panes, "us"), stored(windows, "windows")
 
 
 def aggregate_trailing(points: DataFrame, granularity: str, ends: DataFrame) -> DataFrame:
@@ -88,31 +106,21 @@ def aggregate_trailing(points: DataFrame, granularity: str, ends: DataFrame) ->
     together from panes.  ``real_time`` has no window and gives no rows.
     """
     if granularity == "real_time":
-        return aggregate_tumbling(points.where(F.lit(False)), "minute").withColumn(
-            "granularity", F.lit(granularity)
-        )
+        return _no_aggregates(points)
     width = GRANULARITY_SECONDS[granularity] * MICROS
-    last = epoch_micros(F.col("end_ts"))
-    windows = ends.where(F.col("end_ts").isNotNull()).select(
-        F.col("end_ts").alias("window"), last.alias("last"), (last - width).alias("first")
-    )
-    windows = windows.distinct()
-    edges = windows.select(F.explode(F.array("first", "last")).alias("us")).distinct()
-    low, high = windows.agg(F.min("first"), F.max("last")).first()
-    if low is None:
-        return aggregate_trailing(points, "real_time", ends).withColumn(
-            "granularity", F.lit(granularity)
-        )
-    inside = points.where(F.col("ts").between(from_micros(F.lit(low)), from_micros(F.lit(high))))
-    placed, numbered = _panes_between(inside, edges)
-    place = lambda c: numbered.select(F.col("us").alias(c), F.col("number").alias(f"{c}_number"))
-    cover = windows.join(place("first"), "first").join(place("last"), "last").select(
-        "window",
-        F.explode(F.sequence(2 * F.col("first_number"), 2 * F.col("last_number"))).alias("pane"),
-    )
-    counts = stored(pane_counts(placed, SERIES, F.col("pane")), "panes")
+    wanted = ends.where(F.col("end_ts").isNotNull()).select("end_ts").distinct()
+    known = [r[0] for r in wanted.limit(SMALL_ROWS + 1).collect()]
+    if not known:
+        return _no_aggregates(points)
+    if len(known) <= SMALL_ROWS:
+        placed, windows = _placed_by_list(points, known, width)
+    else:
+        placed, windows = _placed_by_scan(points, wanted, width)
+    placed = stored(placed.where(F.col("value").isNotNull()).select(*SERIES, "pane", "value"), "placed")
+    cover = windows.select("window", F.explode(F.sequence("low", "high")).alias("pane"))
+    counts = pane_counts(placed, SERIES, F.col("pane"))
     return (
-        window_stats(counts, SERIES, cover)
+        window_stats(counts, SERIES, cover, point_moments(placed, SERIES))
         .withColumnRenamed("window", "ts")
         .withColumn("granularity", F.lit(granularity))
         .select(*AGG_KEY, *STATS)

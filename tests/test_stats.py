@@ -19,9 +19,9 @@ from tallyglass.operators import timeseries as ts
 START = dt.datetime(2024, 3, 1)
 
 
-@pytest.mark.parametrize("parts", [1, 7, 200])
+@pytest.mark.parametrize("parts, direct", [(1, 0), (7, 0), (200, 0), (7, 300), (7, 100_000)])
 @pytest.mark.parametrize("weighted", [False, True])
-def test_stats_match_numpy(spark, weighted, parts):
+def test_stats_match_numpy(spark, weighted, parts, direct):
     rng = random.Random(4)
     groups = {
         None: [rng.gauss(3, 1) for _ in range(90)],
@@ -39,9 +39,9 @@ def test_stats_match_numpy(spark, weighted, parts):
     rng.shuffle(rows)
     points = spark.createDataFrame(rows, "g string, value double")
     if weighted:
-        stats = weighted_stats(frequency(points, ["g"]), ["g"], parts=parts)
+        stats = weighted_stats(frequency(points, ["g"]), ["g"], parts=parts, direct=direct)
     else:
-        stats = grouped_stats(points, ["g"], parts=parts)
+        stats = grouped_stats(points, ["g"], parts=parts, direct=direct)
     found = {r.g: r for r in stats.collect()}
     assert set(found) == set(groups)
     for g, values in groups.items():
@@ -124,8 +124,8 @@ def test_trailing_matches_a_plain_model(spark, monkeypatch, short):
     assert got == expected
 
 
-@pytest.mark.parametrize("bins", [1, 4, 256])
-def test_windows_of_panes_match_numpy(spark, bins):
+@pytest.mark.parametrize("bins, direct", [(1, 0), (4, 0), (256, 0), (4, 100), (4, 100_000)])
+def test_windows_of_panes_match_numpy(spark, bins, direct):
     """Overlapping windows, close values, equal values, null keys."""
     rng = random.Random(bins)
     rows = []
@@ -141,6 +141,7 @@ def test_windows_of_panes_match_numpy(spark, bins):
         spark.createDataFrame(cover, "window long, pane long"),
         bins=bins,
         parts=5,
+        direct=direct,
     )
     got = {(r.metric_name, r.metric_type, r.window): r for r in found.collect()}
     expected = {}
