@@ -29,7 +29,7 @@ _END = 0xD800
 END = chr(_END)
 _NO_RANK = np.iinfo(np.int32).max
 # Words kept between pieces of a task, and the longest word kept.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 17
 KNOWN_LENGTH = 64
 _LONG_TEXT = 1 << 20
 
@@ -432,6 +432,7 @@ def encode(
             ids, offsets = encode_texts(path, ragged.texts(columns[0]))
             return [ragged.binaries(ids.astype("<u4").view(np.uint8), offsets * 4)]
 
+        work.close = lambda: _words.pop(path, None)
         return work
 
     adds = T.StructType([T.StructField(out, T.BinaryType())])

@@ -39,7 +39,8 @@ def with_columns(
     """Add columns computed in Python from ``uses`` (strings or binaries first).
 
     ``make`` runs once per task and returns the function that turns the used
-    arrays of some rows into the added arrays.  ``keep`` (default: all columns)
+    arrays of some rows into the added arrays; its ``close``, if it has one, is called
+    when the task's rows are through.  ``keep`` (default: all columns)
     names the input columns that stay; one whose name clashes with an added
     column, in any case of letters, is replaced by it.  Nothing is shuffled,
     and rows go through in pieces of about ``piece_bytes``.
@@ -67,6 +68,10 @@ def with_columns(
                 columns = piece.columns[count : count + width]
                 made = [a.cast(t) for a, t in zip(work(columns), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:count], *made], names=names)
+        # Worker processes are used again: what the task remembered must not stay in them.
+        if close := getattr(work, "close", None):
+            close()
+        pa.default_memory_pool().release_unused()
 
     out = source.mapInArrow(run, inner)
     return out.toDF(*kept, *[f.name for f in adds])

@@ -97,6 +97,7 @@ def count_tokens(
             counts = count_texts(path, ragged.texts(columns[0]))
             return [pa.array(sizes), pa.array(counts)]
 
+        work.close = lambda: _counts.pop(path, None)
         return work
 
     adds = T.StructType(

@@ -23,12 +23,12 @@ def good(model, text):
 
 
 def regular(text):
-    words, chars, symbols, lines, repeated = measured(text)
+    words, chars, symbols, lines, repeated, all_lines = measured(text)
     return not (
         words < 50
         or 100 * repeated > 50 * words
         or symbols > 50 and 100 * symbols > 40 * words
-        or lines > 20 and 100 * lines > 30 * words
+        or lines >= 5 and 100 * lines > 30 * all_lines
         or chars > 25 * words
         or chars < 2 * words
     )
