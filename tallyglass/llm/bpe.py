@@ -10,6 +10,7 @@ each word applies its lowest one.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ _END = 0xD800
 END = chr(_END)
 _NO_RANK = np.iinfo(np.int32).max
 # Words kept between pieces of a task, and the longest word kept.
-KNOWN_WORDS = 1 << 17
+KNOWN_WORDS = 1 << 18
 KNOWN_LENGTH = 64
 _LONG_TEXT = 1 << 20
 
@@ -324,7 +325,7 @@ class Words:
         words = distinct.to_pylist()
         if len(self.known) > KNOWN_WORDS:
             self.clear()
-        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh = [words[i] for i in new.tolist()]

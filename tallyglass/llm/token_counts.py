@@ -8,6 +8,8 @@ are kept between batches.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ class Counts:
         words = distinct.to_pylist()
         if len(self.known) > bpe.KNOWN_WORDS:
             self.known.clear()
-        counts = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        counts = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(counts < 0)
         if len(new):
             fresh = [words[i] for i in new.tolist()]
