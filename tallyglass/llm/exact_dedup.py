@@ -58,6 +58,9 @@ def _stream_session(spark: SparkSession) -> SparkSession:
         session.conf.set(key, spark.conf.get(key))
     prefix = "spark.sql.streaming.stateStore"
     session.conf.set(f"{prefix}.providerClass", _ROCKSDB)
+    # A store is open only while its task runs: executors hold few at a time, however many
+    # partitions there are, and none once the stream has ended.
+    session.conf.set(f"{prefix}.unloadOnCommit", "true")
     session.conf.set(f"{prefix}.rocksdb.changelogCheckpointing.enabled", "true")
     # A store is small where partitions are many: no disk space is set aside in advance.
     session.conf.set(f"{prefix}.rocksdb.allowFAllocate", "false")

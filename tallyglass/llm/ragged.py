@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
-from tallyglass.session import ship
+from tallyglass.session import give_back, ship
 
 # Bytes of text handled at once; a longer text makes a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -71,7 +71,7 @@ def with_columns(
         # Worker processes are used again: what the task remembered must not stay in them.
         if close := getattr(work, "close", None):
             close()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     out = source.mapInArrow(run, inner)
     return out.toDF(*kept, *[f.name for f in adds])

@@ -258,3 +258,9 @@ def test_signatures_do_not_depend_on_the_batch():
         alone = dart_minhash.signatures(elements[a:b], weights[a:b], np.array([0, b - a]), 32)
         assert (alone[0] == together[row]).all()
         assert (together[row] == 0).all() == (sizes[row] == 0)
+
+
+def test_state_stores_are_closed_with_their_tasks(spark):
+    session = exact_dedup._stream_session(spark)
+    assert session.conf.get("spark.sql.streaming.stateStore.unloadOnCommit") == "true"
+    assert spark.conf.get("spark.sql.streaming.stateStore.unloadOnCommit", "false") == "false"
