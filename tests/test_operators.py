@@ -485,6 +485,28 @@ def test_encode_incremental_reuses_and_encodes_once(spark):
     assert fresh.count() == 2
 
 
+def test_encode_model_takes_few_texts_at_once(spark, monkeypatch):
+    def make_predict():
+        return lambda texts: np.array([[len(texts), len(t), sum(map(len, texts))] for t in texts], dtype=float)
+
+    texts = ["x" * 600_000] * 4 + ["a", None, ""] * 40 + ["y" * 3_000_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, t string").coalesce(1)
+    encoded = similarity.encode_model(docs, "doc", "t", make_predict)
+    assert encoded.columns == ["doc", "embedding"]
+    got = {r.doc: r.embedding for r in encoded.collect()}
+    assert [got[i][1] for i in range(len(texts))] == [len(t or "") for t in texts]
+    assert max(v[0] for v in got.values()) <= 32
+    assert all(v[2] <= similarity._TEXT_BYTES or v[0] == 1 for v in got.values())
+
+
+def test_hashing_model_gives_zeros_where_counts_cancel():
+    predict = similarity.hashing_model(1)()
+    words = [w for w in map(str, range(100)) if predict([w])[0, 0] < 0]
+    sign = predict(["."])[0, 0]
+    other = next(w for w in map(str, range(100)) if predict([w])[0, 0] == -sign)
+    assert words and predict([f"{other}.", "", "."]).tolist() == [[0.0], [0.0], [sign]]
+
+
 def test_token_counts(spark):
     texts = ["", "a a_1 ä,a", "x" * 600 + " y"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
