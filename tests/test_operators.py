@@ -485,6 +485,34 @@ def test_encode_incremental_reuses_and_encodes_once(spark):
     assert fresh.count() == 2
 
 
+def test_similar_code_near_one_compares_only_close_vectors(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MAX_BROADCAST_QUERIES", 7)
+    monkeypatch.setattr(similarity, "_CORPUS_BLOCK", 11)
+    random = np.random.default_rng(3)
+    middles = random.normal(size=(30, 24))
+    rows = middles[random.integers(0, 30, 400)]
+    rows = (rows + random.normal(size=rows.shape) * random.choice([0.0, 0.01, 0.05], (400, 1)))
+    rows *= random.uniform(0.1, 9, (400, 1))
+    rows[5], rows[6, 3] = 0, np.nan
+    every = [(f"v{i}", v.tolist()) for i, v in enumerate(rows)]
+    every += [("none", None), ("short", [1.0, 2.0]), ("same", [2.0, 4.0])]
+    vectors = spark.createDataFrame(every, "id string, embedding array<double>")
+    queries = vectors.withColumnRenamed("id", "query_id")
+    for threshold in (0.999, 0.99999):
+        cosines = similarity._cosines(rows, rows)
+        wanted = {(f"v{i}", f"v{j}") for i, j in zip(*np.nonzero(cosines >= threshold))}
+        wanted |= {(a, b) for a in ("short", "same") for b in ("short", "same")}
+        found = similarity.similar_code(vectors, queries, threshold).collect()
+        assert len(found) == len(wanted) and {(r.query_id, r.id) for r in found} == wanted
+        best = similarity.similar_code(vectors, queries, threshold, top=2)
+        assert best.count() == sum(min(2, sum(a == q for a, _ in wanted)) for q in {a for a, _ in wanted})
+    reach = similarity._reach(0.99999)
+    own, cells = similarity._cells(rows, reach, False)
+    _, near = similarity._cells(rows, reach, True)
+    assert len(own) == 398 == len(set(own.tolist()))
+    assert sum(int((near == c).sum()) for c in cells.tolist()) < 398 * 398 / 5
+
+
 def test_encode_model_takes_few_texts_at_once(spark, monkeypatch):
     def make_predict():
         return lambda texts: np.array([[len(texts), len(t), sum(map(len, texts))] for t in texts], dtype=float)
