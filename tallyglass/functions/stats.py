@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -23,6 +24,9 @@ PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 # Rows of a group that one aggregation may hold in memory.
 DIRECT_ROWS = 100_000
 
+# Rows of distinct values that one task sorts, whatever the size of the table.
+TASK_ROWS = 400_000
+
 
 def frequency(points: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Count of each distinct value per group; equal values merge map-side."""
@@ -109,13 +113,16 @@ def by_size(
     small: Callable[[DataFrame], DataFrame],
     large: Callable[[DataFrame], DataFrame],
     direct: int,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """What ``small`` makes of groups of at most ``direct`` rows and ``large`` of the others.
 
     ``size`` adds up the rows of a group.  One light pass finds the large groups; of n rows in
-    all there are at most n / ``direct``.
+    all there are at most n / ``direct``.  ``seen`` learns the number of ``rows`` by that pass.
     """
     sizes = rows.groupBy(*keys).agg(size.alias("_size"))
+    if seen is not None:
+        sizes = sizes.observe(seen, F.sum("_size").alias("rows"))
     big = stored(sizes.where(F.col("_size") > direct).select(F.struct(*keys).alias("_key")), "large")
     if not big.limit(1).count():
         return small(rows)
@@ -157,6 +164,30 @@ def direct_percentiles(freq: DataFrame, keys: Sequence[str], value: str = "value
     return _unpacked(freq.groupBy(*keys).agg(wanted))
 
 
+def direct_stats(freq: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFrame:
+    """Moments and percentiles of distinct values with their count ``n``, each group in memory.
+
+    The rows move once, to ``parts`` parts.  Squares are taken about the group's mean, which
+    a window over the part's rows puts beside them.
+    """
+    rows = freq.select(F.struct(*keys).alias("_key"), F.col(value).alias("_value"), "n")
+    rows = rows.repartition(parts, "_key")
+    weighted = F.col("n") * F.col("_value")
+    whole = W.partitionBy("_key")
+    rows = rows.withColumn("_avg", F.sum(weighted).over(whole) / F.sum("n").over(whole))
+    off = F.col("_value") - F.col("_avg")
+    found = rows.groupBy("_key").agg(
+        F.sum("n").alias("count"),
+        F.sum(weighted).alias("sum"),
+        F.first("_avg").alias("avg"),
+        F.min("_value").alias("min"),
+        F.max("_value").alias("max"),
+        F.sqrt(F.sum(F.col("n") * off * off) / F.sum("n")).alias("std"),
+        F.percentile("_value", list(PERCENTILES.values()), F.col("n")).alias("_p"),
+    )
+    return _unpacked(found.select("_key.*", *[c for c in found.columns if c != "_key"]))
+
+
 def weighted_stats(
     freq: DataFrame,
     keys: Sequence[str],
@@ -164,15 +195,20 @@ def weighted_stats(
     parts: int | None = None,
     direct: int = DIRECT_ROWS,
 ) -> DataFrame:
-    """The same from distinct values with their count ``n``; null values count nowhere."""
+    """The same from distinct values with their count ``n``; null values count nowhere.
+
+    Groups of at most ``direct`` values share tasks of about ``TASK_ROWS`` rows.
+    """
     keys = list(keys)
+    seen = Observation()
     freq = freq.where(F.col(value).isNotNull())
-    found = by_size(
-        freq,
-        keys,
-        F.count(F.lit(1)),
-        lambda rows: direct_percentiles(rows, keys, value),
-        lambda rows: exact_percentiles(rows, keys, value, parts=parts),
-        direct,
-    )
-    return by_key(weighted_moments(freq, keys, value), found, keys)
+
+    def small(rows: DataFrame) -> DataFrame:
+        shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return direct_stats(rows, keys, value, max(shuffled, -(-(seen.get["rows"] or 0) // TASK_ROWS)))
+
+    def large(rows: DataFrame) -> DataFrame:
+        found = exact_percentiles(rows, keys, value, parts=parts)
+        return by_key(weighted_moments(rows, keys, value), found, keys)
+
+    return by_size(freq, keys, F.count(F.lit(1)), small, large, direct, seen)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.panes import window_stats
-from ..functions.stats import PERCENTILES
+from ..functions.stats import PERCENTILES, weighted_stats
 from ..functions.times import MICROS, epoch_micros, event_time, from_event_time, from_micros
 
 SERIES = ["metric_name", "metric_type"]
@@ -72,7 +72,8 @@ def stats_of_panes(
     """Statistics of the windows of closed panes: ``start``, ``end`` and the usual columns.
 
     Windows begin at multiples of ``step``.  ``upto``, for a stream that goes on, leaves out
-    windows that end later, because panes of theirs may still be open.
+    windows that end later, because panes of theirs may still be open.  Windows that do not
+    overlap are groups like any other.
     """
     spark = panes.sparkSession
     width = _micros(spark, size)
@@ -80,13 +81,19 @@ def stats_of_panes(
     begins, ends = epoch_micros(F.col("start")), epoch_micros(F.col("end"))
     counts = panes.where(F.col("value").isNotNull())
     counts = counts.select(*SERIES, begins.alias("pane"), ends.alias("pane_end"), "value", "n")
-    first = F.ceil((F.col("pane_end") - width) / shift)
-    cover = counts.select("pane", "pane_end").distinct().select(
-        "pane", F.explode(F.sequence(first, F.floor(F.col("pane") / shift))).alias("window")
-    )
-    if upto is not None:
-        cover = cover.where(F.col("window") * shift + width <= epoch_micros(upto))
-    found = window_stats(counts.drop("pane_end"), SERIES, cover)
+    window = F.floor(F.col("pane") / shift)
+    closed = None if upto is None else F.col("window") * shift + width <= epoch_micros(upto)
+    if width == shift:
+        placed = counts.select(*SERIES, window.alias("window"), "value", "n")
+        placed = placed if closed is None else placed.where(closed)
+        found = weighted_stats(placed, [*SERIES, "window"])
+    else:
+        first = F.ceil((F.col("pane_end") - width) / shift)
+        cover = counts.select("pane", "pane_end").distinct().select(
+            "pane", F.explode(F.sequence(first, window)).alias("window")
+        )
+        cover = cover if closed is None else cover.where(closed)
+        found = window_stats(counts.drop("pane_end"), SERIES, cover)
     start = F.col("window") * shift
     return found.select(
         *SERIES, from_micros(start).alias("start"), from_micros(start + width).alias("end"), *STATS

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from tallyglass.functions import panes, stats
 from tallyglass.operators import monitoring
 from tallyglass.streaming import events as live
 from tallyglass.streaming import windows
@@ -109,6 +110,30 @@ def test_windows_that_no_step_divides(spark):
     assert got == expected
 
 
+def test_tumbling_windows_of_a_long_series_share_bounded_tasks(spark, monkeypatch):
+    """Over 100,000 values in small windows: no bins over the whole series, parts that grow with the rows."""
+
+    def whole_series(*args, **more):
+        raise AssertionError("a small window needs no bins of its series")
+
+    monkeypatch.setattr(panes, "window_percentiles", whole_series)
+    monkeypatch.setattr(stats, "TASK_ROWS", 10_000, raising=False)
+    hour = (F.col("id") / 500).cast("int")  # 240 windows of 500 values
+    start = F.lit(START) + F.make_interval(hours=hour)
+    rows = spark.range(120_000).select(
+        start.alias("start"), (start + F.expr("interval 1 hour")).alias("end"), F.lit("m").alias("metric_name"),
+        F.lit(None).cast("string").alias("metric_type"), F.col("id").cast("double").alias("value"),
+        F.lit(2).cast("long").alias("n"),
+    )
+    found = windows.stats_of_panes(rows, "1 hour").withColumn("part", F.spark_partition_id()).collect()
+    assert len(found) == 240 and len({r["part"] for r in found}) > 8
+    for r in found:
+        first = 500 * ((r["start"] - START) // dt.timedelta(hours=1))
+        assert (r["count"], r["sum"], r["min"], r["max"]) == (1000, 1000 * (first + 249.5), first, first + 499)
+        assert r["p50"] == first + 249.5 and r["p99"] == pytest.approx(first + 494.01)
+        assert r["std"] == pytest.approx(((500**2 - 1) / 12) ** 0.5, rel=1e-12)
+
+
 def test_replay_reads_folders_and_closes_all_windows(spark, tmp_path):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
     rows = [(n, START + n * SECOND, 1, "view", float(n)) for n in range(50)]
