@@ -1,11 +1,12 @@
 """Golden snippets for the code metrics, each worked out by hand."""
 
+import ast
 import textwrap
 
 import pytest
 from pyspark.sql import functions as F
 from tallyglass.operators import code_metrics, graph
-from tallyglass.operators.code_nodes import code_nodes, parse_errors, parse_files
+from tallyglass.operators.code_nodes import code_nodes, parse_errors, parse_files, syntax_events
 
 
 def analyse(spark, *sources, qualified=False):
@@ -249,3 +250,55 @@ def test_security_unicode(spark, text, expected):
 
     row = spark.createDataFrame([(text,)], "t string").select(security_issues(F.col("t"))).first()
     assert row[0] == expected
+
+
+def test_calls_are_found_once(spark):
+    """With more names than a lookup takes, the calls are read several times, their code is not."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def source(name):
+        seen.add(1)
+        return f"def {name}():\n    fn_7()\n"
+
+    name = F.concat(F.lit("fn_"), F.col("id"))
+    nodes = spark.range(100_001).select(
+        F.concat(F.lit("func:"), name).alias("code_id"), F.lit("func").alias("kind"), name.alias("name"), source(name).alias("code")
+    )
+    edges = graph.call_edges(nodes)
+    assert edges.where("dst = 'func:fn_7'").count() == edges.count() == 100_000
+    assert seen.value == 100_001
+
+
+def test_every_boolean_operator_is_told():
+    """Passing by what cannot hold one loses none, wherever it stands."""
+    source = """import os, json
+@wrap(a or b)
+def one(x=c and d, *, y: (e or f) = 1) -> (g and h):
+    '''Doc.'''
+    if 1or 2:
+        z = [i for i in range(9) if i and not i % 2]
+    elif x: z = lambda q=r or s: t and u
+    while v \\
+            and w: pass
+    with open(j or k) as n, m: return f"{o or
+        p}"
+    match x:
+        case 1 if y or z: assert a, b and c
+    try: raise d or e
+    except (f or g): del h[i and j]
+class Two(k or l, meta=m and n):
+    o: p or q = r
+    def three(self): return [
+        s,
+        t and u and v,
+    ]
+"""
+    tree = ast.parse(source)
+    events = syntax_events(tree, source.encode().split(b"\n"))
+    for scope in events:
+        inside = [n for n in ast.walk(scope) if isinstance(n, ast.BoolOp)]
+        outside = [n for d in getattr(scope, "decorator_list", ()) for n in ast.walk(d) if isinstance(n, ast.BoolOp)]
+        told = sum(e["n"] for e in events[scope] if e["kind"] == "bool")
+        assert told == sum(len(n.values) - 1 for n in inside) - sum(len(n.values) - 1 for n in outside)
+    assert sum(e["n"] for e in events[tree] if e["kind"] == "bool") == 21
