@@ -302,3 +302,41 @@ class Two(k or l, meta=m and n):
         told = sum(e["n"] for e in events[scope] if e["kind"] == "bool")
         assert told == sum(len(n.values) - 1 for n in inside) - sum(len(n.values) - 1 for n in outside)
     assert sum(e["n"] for e in events[tree] if e["kind"] == "bool") == 21
+
+
+def test_nodes_without_events_are_the_same_nodes(spark):
+    code = """import os
+if os.name:
+    class A:
+        def m(self): return 1 and 2
+else:
+    class B:
+        class C: pass
+def f():
+    try:
+        class D: pass
+    except* OSError:
+        class E: pass
+    finally:
+        async def g():
+            match f:
+                case 1:
+                    class F: pass
+class A:
+    def m(self): pass
+"""
+    files = spark.createDataFrame([("/r/a.py", code), ("/r/b.py", "def ("), ("/r/c.py", None)], "path string, content string")
+    plain, bare = parse_files(files), parse_files(files, events=False)
+    assert sorted(plain.drop("events").collect(), key=str) == sorted(bare.drop("events").collect(), key=str)
+    assert bare.where("events IS NOT NULL").count() == 0 and bare.where("kind = 'class'").count() == 7
+
+
+def test_only_changes_with_results_are_looked_up(spark, monkeypatch):
+    asked = []
+    look_up = graph.lookup_join
+    monkeypatch.setattr(graph, "lookup_join", lambda l, r, *a: asked.append(r.count()) or look_up(l, r, *a))
+    results = spark.createDataFrame([("func:1", True), ("func:2", False), (None, True), ("func:2", True)], "node_id string, passed boolean")
+    changes = spark.range(2, 500).select(F.concat(F.lit("func:"), F.col("id")).alias("code_id"))
+    kept = graph.valid_test_results(results, changes).collect()
+    assert sorted((str(r.node_id), r.passed) for r in kept) == [("None", True), ("func:1", True)]
+    assert asked == [1]
