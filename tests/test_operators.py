@@ -7,13 +7,16 @@ import zipfile
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from tallyglass.functions import skew
 from tallyglass.functions.text import hmac_sha256, token_counts
 from tallyglass.operators import audit, billing, licenses, monitoring, privacy, recorders, similarity
 from tallyglass.operators import timeseries as ts
-from tallyglass.session import work_folder
+from tallyglass.plans import similarity as plan
+from tallyglass.session import stored, work_folder
 from tallyglass.sources import files, sinks
 
 START = dt.datetime(2024, 5, 1)
@@ -513,6 +516,120 @@ def test_similar_code_near_one_compares_only_close_vectors(spark, monkeypatch):
     assert sum(int((near == c).sum()) for c in cells.tolist()) < 398 * 398 / 5
 
 
+def _alike(count: int, groups: int = 12, width: int = 24):
+    """Groups of vectors that lie near one direction, as those of texts full of blanks do."""
+    random = np.random.default_rng(5)
+    rows = random.normal(0, 0.02, (groups, width))[random.integers(0, groups, count)]
+    rows = rows + random.normal(size=rows.shape) * random.choice([0.0, 1e-4, 2e-3], (count, 1))
+    rows[:, 0] += 1
+    return rows * random.uniform(0.5, 2, (count, 1))
+
+
+@pytest.mark.parametrize("small", [skew.SMALL_ROWS, 0])
+def test_similar_code_near_one_moves_few_vectors(spark, monkeypatch, small):
+    """Vectors that random directions do not part are neither all compared nor sent many times."""
+    rows = _alike(300)
+    monkeypatch.setattr(similarity, "MAX_BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(similarity, "SMALL_ROWS", small, raising=False)
+    moved, matched = [], similarity._matched
+
+    def counted(left, right, *others):
+        moved.append((left.count(), right.count()))
+        return matched(left, right, *others)
+
+    monkeypatch.setattr(similarity, "_matched", counted)
+    vectors = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(rows)], "id string, embedding array<double>")
+    queries = vectors.where("id like '%1'").withColumnRenamed("id", "query_id")
+    cosines = similarity._cosines(rows, rows)
+    wanted = {(f"v{i}", f"v{j}") for i, j in zip(*np.nonzero(cosines >= 0.99999)) if i % 10 == 1}
+    assert 30 < len(wanted) < 2_000
+    found = similarity.similar_code(vectors, queries, 0.99999).collect()
+    assert len(found) == len(wanted) and {(r.query_id, r.id) for r in found} == wanted
+    assert moved[0][0] <= 300 and moved[0][1] <= 30 * 8
+    # Blocks of a few rows: the same pairs, each once.
+    monkeypatch.setattr(similarity, "_CELL_NUMBERS", 256 * 7)
+    found = similarity.similar_code(vectors, queries, 0.99999).collect()
+    assert len(found) == len(wanted) and {(r.query_id, r.id) for r in found} == wanted
+    assert sum(moved[1]) > sum(moved[0])
+
+
+def test_cells_along_the_widest_directions_lose_no_pair():
+    rows = _alike(300)
+    reach = similarity._reach(0.99999)
+    spread = similarity._spread_of(rows[:100])
+    own, cells = similarity._cells(rows, reach, False, spread)
+    asked, near = similarity._cells(rows, reach, True, spread)
+    assert own.tolist() == list(range(300)) and len(set(zip(asked, near))) == len(asked)
+    pairs = {(q, v) for q, c in zip(asked, near) for v in np.flatnonzero(cells == c)}
+    assert pairs >= set(zip(*np.nonzero(similarity._cosines(rows, rows) >= 0.99999)))
+    assert len(pairs) < 300 * 300 / 4
+    for odd in (np.ones((3, 5)), np.zeros((3, 5)), rows[:1], np.ones((4, 1))):
+        directions = similarity._spread_of(odd).directions
+        assert np.allclose(directions.T @ directions, np.eye(directions.shape[1]))
+
+
+def test_close_hits_are_the_hits(monkeypatch):
+    rows = _alike(200)
+    rows[3], rows[4, 2], rows[5] = 0, np.nan, rows[5] * 1e-7
+    vectors = similarity._Vectors(pa.array([f"v{i}" for i in range(200)]), rows)
+
+    def pairs(batches):
+        return sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
+
+    for threshold in (0.999, 0.99999, 1 - 1e-12):
+        wanted = pairs(similarity._hits({24: vectors}, {24: vectors}, threshold, None))
+        with monkeypatch.context() as few:
+            few.setattr(similarity, "MAX_BROADCAST_QUERIES", 9)
+            few.setattr(similarity, "_ROWS_AT_ONCE", 7)
+            found = pairs(similarity._close_hits({24: vectors}, {24: vectors}, threshold))
+        assert [f[:2] for f in found] == [w[:2] for w in wanted] and len(wanted) > 150
+        assert np.allclose([f[2] for f in found], [w[2] for w in wanted], atol=1e-12, rtol=0)
+
+
+def test_described_hits_are_found_once(spark, monkeypatch):
+    monkeypatch.setattr(skew, "_is_small", lambda df, most: False)
+    found = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            found.add(batch.num_rows)
+            yield batch
+
+    hits = spark.range(50).selectExpr("'q' as query_id", "concat('func:', id) as id", "1.0D as similarity")
+    nodes = spark.range(40).selectExpr(
+        "concat('func:', id) as code_id", "'func' as kind", "'f' as name", "'a.py' as path",
+        "1 as cyclomatic", "2 as loc", "3.0D as maintainability",
+    )
+    rows = similarity.describe_hits(hits.mapInArrow(told, hits.schema), nodes).collect()
+    assert len(rows) == 50 and sum(r.loc == 2 for r in rows) == 40
+    assert found.value == 50
+
+
+def test_described_classes_are_not_joined_with_their_vectors(spark, tmp_path, monkeypatch, capsys):
+    """No node's text is stored beside its vector, and the vectors of classes come from one scan."""
+    parts = spark.range(1200).selectExpr(
+        "id as p_partkey", "cast(id % 50 as int) as p_size", "concat('Brand#', id % 3 + 1) as p_brand"
+    )
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    kept, search = [], similarity.similar_code
+
+    def keep(df, purpose):
+        kept.append(df.columns)
+        return stored(df, purpose)
+
+    def explained(vectors, queries, threshold):
+        queries.explain()
+        return search(vectors, queries, threshold)
+
+    monkeypatch.setattr(plan, "stored", keep)
+    monkeypatch.setattr(similarity, "similar_code", explained)
+    rows = plan.similar_code_described(spark, str(tmp_path)).collect()
+    ids = {f"class:Cls_{b}_{bk}" for b in (1, 2, 3) for bk in (0, 1, 2)}
+    assert {r.query_id for r in rows} == ids and all((r.query_id, r.id) in {(i, i) for i in ids} for r in rows)
+    assert "Join" not in capsys.readouterr().out
+    assert len(kept) == 1 and "embedding" in kept[0] and "code" not in kept[0]
+
+
 def test_encode_model_takes_few_texts_at_once(spark, monkeypatch):
     def make_predict():
         return lambda texts: np.array([[len(texts), len(t), sum(map(len, texts))] for t in texts], dtype=float)
